@@ -1 +1,65 @@
-"""Queries (filled in as operators land)."""
+"""Step 7 queries: collaborative model (SVD). No SQL oracle: the factors come
+from an iterative decomposition; tests check them against NumPy instead."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rankfold.functions.scalar import out_score
+from rankfold.operators import collab as K
+from rankfold.operators import strength, validate
+from rankfold.plans.registry import query
+from rankfold.sources import views as V
+
+N = 10
+_CACHE: dict = {}
+
+
+def interactions(spark, sf):
+    return validate.valid_interactions(V.interactions_raw_v(spark, sf))
+
+
+def model(spark, sf) -> K.CollabModel:
+    """Train once per (session, sf) inside one process; factors are checkpointed."""
+    key = (id(spark), sf)
+    if key not in _CACHE:
+        _CACHE[key] = K.train(strength.strength_fold(interactions(spark, sf)))
+    return _CACHE[key]
+
+
+@query("svd_summary")
+def q_svd_summary(spark, sf):
+    return K.summary(model(spark, sf), spark)
+
+
+@query("predict_rating")
+def q_predict(spark, sf):
+    pairs = V.interactions_raw_v(spark, sf).select("user_id", "item_id").distinct()
+    return K.predict_rating(model(spark, sf), pairs).select(
+        "user_id", "item_id", out_score(F.col("prediction")).alias("prediction"))
+
+
+@query("collab_recommendations", bench=True)
+def q_collab_recs(spark, sf):
+    users = V.users_v(spark, sf)
+    touched = strength.touched_items(interactions(spark, sf))
+    return K.recommend(model(spark, sf), users, touched, N).select(
+        "user_id", "rank", "item_id", out_score(F.col("score")).alias("score"))
+
+
+@query("popular_items")
+def q_popular(spark, sf):
+    return K.popular_items(model(spark, sf), N).select(
+        "rank", "item_id", out_score(F.col("score")).alias("score"))
+
+
+@query("similar_users")
+def q_similar_users(spark, sf):
+    return K.similar(model(spark, sf).user_factors, "user_id", N).select(
+        "user_id", "rank", "other_id", out_score(F.col("score")).alias("score"))
+
+
+@query("similar_items_collab")
+def q_similar_items_collab(spark, sf):
+    return K.similar(model(spark, sf).item_factors, "item_id", N).select(
+        "item_id", "rank", "other_id", out_score(F.col("score")).alias("score"))
