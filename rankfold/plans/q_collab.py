@@ -7,24 +7,16 @@ from pyspark.sql import functions as F
 
 from rankfold.functions.scalar import out_score
 from rankfold.operators import collab as K
-from rankfold.operators import strength, validate
+from rankfold.operators import strength
+from rankfold.plans.models import collab_model, interactions
 from rankfold.plans.registry import query
 from rankfold.sources import views as V
 
 N = 10
-_CACHE: dict = {}
-
-
-def interactions(spark, sf):
-    return validate.valid_interactions(V.interactions_raw_v(spark, sf))
 
 
 def model(spark, sf) -> K.CollabModel:
-    """Train once per (session, sf) inside one process; factors are checkpointed."""
-    key = (id(spark), sf)
-    if key not in _CACHE:
-        _CACHE[key] = K.train(strength.strength_fold(interactions(spark, sf)))
-    return _CACHE[key]
+    return collab_model(spark, sf)
 
 
 @query("svd_summary")
