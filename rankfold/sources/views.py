@@ -80,7 +80,11 @@ def _interaction_type(event_type: Column, event_id: Column) -> Column:
 
 def interactions_raw_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw interaction log from ``events`` (arrival order = ``seq``)."""
-    e = table(spark, sf_dir, "events")
+    return interactions_from_events(table(spark, sf_dir, "events"))
+
+
+def interactions_from_events(e: DataFrame) -> DataFrame:
+    """The interaction mapping over any events DataFrame (batch or stream)."""
     return e.select(
         F.col("event_id").alias("seq"),
         F.col("user_id").cast("string").alias("user_id"),
@@ -98,7 +102,10 @@ def requests_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     client = user id, endpoint = event type, processing_time_ms = value * 10,
     status 500 for error events else 200.
     """
-    e = table(spark, sf_dir, "events")
+    return requests_from_events(table(spark, sf_dir, "events"))
+
+
+def requests_from_events(e: DataFrame) -> DataFrame:
     return e.select(
         F.col("event_id").alias("request_id"),
         F.col("user_id").cast("string").alias("client_id"),
