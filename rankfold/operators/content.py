@@ -104,21 +104,26 @@ def corpus(items: DataFrame, cfg: ContentConfig) -> DataFrame:
 
 # --- M2 ------------------------------------------------------------------------
 
-def term_array(text: Column, stop_words: list[str]) -> Column:
-    """Unigrams and bigrams of the lower-cased word runs, stop words removed."""
-    stops = F.array(*[F.lit(w) for w in stop_words]) if stop_words else F.array().cast("array<string>")
-    toks = F.filter(F.regexp_extract_all(F.lower(text), F.lit(fixed.TOKEN_PATTERN), 0),
-                    lambda t: ~F.array_contains(stops, t))
-    bigrams = F.when(F.size(toks) >= 2, F.transform(
-        F.sequence(F.lit(1), F.size(toks) - 1),
-        lambda i: F.concat(F.element_at(toks, i), F.lit(" "), F.element_at(toks, i + 1)))
-    ).otherwise(F.array().cast("array<string>"))
-    return F.concat(toks, bigrams)
+def tokens(text: Column, stop_words: list[str]) -> Column:
+    """Lower-cased runs of 2+ word characters, stop words removed (repeats kept)."""
+    toks = F.regexp_extract_all(F.lower(text), F.lit(fixed.TOKEN_PATTERN), 0)
+    if not stop_words:
+        return toks
+    return F.filter(toks, lambda t: ~t.isin(stop_words))
+
+
+def with_bigrams(toks: Column) -> Column:
+    """Unigrams followed by the bigrams of adjacent tokens. ``toks`` must be a
+    column reference (not an expression), so it is evaluated once per row."""
+    pairs = F.zip_with(toks, F.slice(toks, 2, F.greatest(F.size(toks) - 1, F.lit(1))),
+                       lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.concat(toks, F.filter(pairs, lambda p: p.isNotNull()))
 
 
 def item_terms(corp: DataFrame, cfg: ContentConfig) -> DataFrame:
     """(item_id, term, tf) raw counts; partial aggregation per (item, term)."""
-    return (corp.select("item_id", F.explode(term_array(F.col("text"), cfg.stop_words)).alias("term"))
+    return (corp.select("item_id", tokens(F.col("text"), cfg.stop_words).alias("toks"))
+            .select("item_id", F.explode(with_bigrams(F.col("toks"))).alias("term"))
             .groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 

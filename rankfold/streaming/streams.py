@@ -30,11 +30,12 @@ def _path(spark: SparkSession, name: str) -> str:
 
 def events_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
     """``events`` as a file stream (schema taken from the batch table)."""
-    schema = V.table(spark, sf_dir, "events").schema
+    glob = f"{sf_dir.rstrip('/')}/events*.parquet"
+    schema = spark.read.parquet(glob).schema
     r = spark.readStream.schema(schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(f"{sf_dir.rstrip('/')}/events*.parquet")
+    return r.parquet(glob)
 
 
 def run_available_now(df: DataFrame, name: str, mode: str, batch_fn: Callable | None = None,
