@@ -1,7 +1,15 @@
 """Collaborative model (M12-M19, A8-A11): truncated SVD of the strength matrix.
 
 The matrix is the long strength table (user_id, item_id, strength); zeros are
-absent rows. The SVD is a randomized range finder run as DataFrame jobs
+absent rows. The short side of the matrix (items or users) is the column side.
+
+Exact path (short side <= 512): the Gram matrix A'A is summed from
+per-partition NumPy partials of the rows (grouped by the long-side key, so a
+group holds at most 512 entries), reduced per cell by Spark, and
+eigen-decomposed on the driver (512 x 512 at most); U S = A V is a join +
+aggregation.
+
+Wide path: a randomized range finder run as DataFrame jobs
 (Halko, Martinsson, Tropp 2011):
 
   Y = A W           join strengths to the item-side block, explode, groupBy(user, j) sum
@@ -11,9 +19,8 @@ absent rows. The SVD is a randomized range finder run as DataFrame jobs
   B B' = Z'Z        with Z = A'Q: eigen-decomposition gives singular values and
                     V = Z U_b / s (items x k), user factors U S = A V
 
-Only l x l matrices (l <= k + 10, or the full short side when that is <= 512,
-which makes one pass exact) ever reach the driver; both factor tables stay
-distributed. Factor signs and rotations inside equal singular values are
+Only l x l matrices (l <= k + 10) or the bounded short-side Gram reach the
+driver; both factor tables stay distributed. Factor signs and rotations inside equal singular values are
 arbitrary; every consumer (dot products, norms, cosines) is invariant.
 """
 
@@ -77,6 +84,43 @@ def _times(df: DataFrame, w: np.ndarray, id_col: str) -> DataFrame:
     return df.select(id_col, "arr").mapInPandas(part, f"{id_col} string, arr array<double>")
 
 
+def _col_gram(pos: DataFrame, row_key: str, col_key: str, col_ids: list[str]) -> np.ndarray:
+    """A'A over the short (column) side, n_c <= FULL_WIDTH_LIMIT.
+
+    Rows are grouped by the long-side key (a group holds at most n_c entries),
+    each partition adds its rows' outer products in NumPy, and the partials
+    are summed by Spark per cell (a tree reduction), so only n_c^2 numbers
+    reach the driver."""
+    n_c = len(col_ids)
+    spark = pos.sparkSession
+    index = spark.createDataFrame(list(enumerate(col_ids)), f"ci int, {col_key} string")  # <= 512 rows
+
+    def part(it):
+        g = np.zeros((n_c, n_c))
+        for pdf in it:
+            if not len(pdf):
+                continue
+            m = np.zeros((len(pdf), n_c))
+            lens = np.fromiter((len(x) for x in pdf["c"]), dtype=np.int64, count=len(pdf))
+            rows = np.repeat(np.arange(len(pdf)), lens)
+            cols = np.concatenate([np.asarray(v, dtype=np.int64) for v in pdf["c"]]) if lens.sum() \
+                else np.zeros(0, dtype=np.int64)
+            vals = np.concatenate([np.asarray(v, dtype=np.float64) for v in pdf["v"]]) if lens.sum() else np.zeros(0)
+            m[rows, cols] = vals
+            g += m.T @ m
+        nz = np.nonzero(g)
+        yield pd.DataFrame({"cell": (nz[0] * n_c + nz[1]).astype(np.int64), "x": g[nz]})
+
+    rows = (pos.join(F.broadcast(index), col_key)
+            .groupBy(row_key).agg(F.collect_list("ci").alias("c"), F.collect_list("s").alias("v"))
+            .select("c", "v").mapInPandas(part, "cell long, x double")
+            .groupBy("cell").agg(F.sum("x").alias("x")).collect())
+    g = np.zeros((n_c, n_c))
+    for r in rows:
+        g[r["cell"] // n_c, r["cell"] % n_c] = r["x"]
+    return g
+
+
 def _orth_matrix(g: np.ndarray, rel_tol: float = 1e-12) -> np.ndarray:
     """M with (Y M)'(Y M) = I from the Gram matrix G = Y'Y (tiny directions dropped)."""
     lam, vec = np.linalg.eigh(g)
@@ -119,6 +163,33 @@ def _gauss_block(ids: DataFrame, l: int, seed: int) -> DataFrame:
 
 # --- training -------------------------------------------------------------------
 
+def _randomized(pos, row_key, col_key, col_ids, n_c, k, n_iterations, seed):
+    """Randomized range finder with power iterations for a wide short side.
+    Each iterate is checkpointed (lineage cut) under spark.checkpoint.dir."""
+    l = min(k + OVERSAMPLE, n_c)
+
+    def orth(y: DataFrame, width: int) -> tuple[DataFrame, int]:
+        for _ in range(2):  # twice: whitening accuracy (like CholeskyQR2)
+            m = _orth_matrix(_gram(y, width))
+            y = _checkpoint(_times(y, m, "id"))
+            width = m.shape[1]
+        return y, width
+
+    omega = _gauss_block(col_ids, l, seed)
+    q, w = orth(_mult(pos, omega, col_key, row_key), l)
+    for _ in range(n_iterations):
+        z, wz = orth(_mult(pos, q, row_key, col_key), w)
+        q, w = orth(_mult(pos, z, col_key, row_key), wz)
+    z = _checkpoint(_mult(pos, q, row_key, col_key))         # Z = A'Q  (cols x w)
+    lam, ub = np.linalg.eigh(_gram(z, w))                    # B B' = Z'Z
+    order = np.argsort(lam)[::-1]
+    lam, ub = np.clip(lam[order], 0.0, None), ub[:, order]
+    k_eff = int(min(k, int((lam > 1e-24 * max(lam.max(), 1e-300)).sum()) or 1))
+    sig = np.sqrt(lam[:k_eff])
+    v_col = _times(z, ub[:, :k_eff] / np.where(sig > 0, sig, 1.0), "id")   # right vectors
+    return _checkpoint(_pad(v_col, col_ids, k_eff)), sig, k_eff
+
+
 def n_factors_for(n_rows: int, n_cols: int, requested: int = fixed.N_FACTORS) -> int:
     return max(1, min(requested, min(n_rows, n_cols) - 1, fixed.N_FACTORS_CAP))
 
@@ -133,47 +204,36 @@ def train(strengths: DataFrame, n_factors: int = fixed.N_FACTORS,
         raise ValueError("Empty interaction matrix")
     k = n_factors_for(n_u, n_i, n_factors)
     pos = strengths.where(F.col("strength") != 0).select("user_id", "item_id", F.col("strength").alias("s"))
-    pos = _checkpoint(pos)
+    pos = pos.cache()
 
-    # orient so the random block lives on the short side
+    # orient so the short side is the column side
     if n_i <= n_u:
         row_key, col_key, row_ids, col_ids, n_c = "user_id", "item_id", users, items, n_i
     else:
         row_key, col_key, row_ids, col_ids, n_c = "item_id", "user_id", items, users, n_u
-    full = n_c <= FULL_WIDTH_LIMIT
-    l = n_c if full else min(k + OVERSAMPLE, n_c)
-    iters = 0 if full else n_iterations
-
-    def orth(y: DataFrame, width: int) -> tuple[DataFrame, int]:
-        for _ in range(2):  # twice: whitening accuracy (like CholeskyQR2)
-            m = _orth_matrix(_gram(y, width))
-            y = _checkpoint(_times(y, m, "id"))
-            width = m.shape[1]
-        return y, width
 
-    omega = _gauss_block(col_ids, l, seed)
-    y = _mult(pos, omega, col_key, row_key)
-    q, w = orth(y, l)
-    for _ in range(iters):
-        z, wz = orth(_mult(pos, q, row_key, col_key), w)
-        q, w = orth(_mult(pos, z, col_key, row_key), wz)
-    z = _checkpoint(_mult(pos, q, row_key, col_key))         # Z = A'Q  (cols x w)
-    lam, ub = np.linalg.eigh(_gram(z, w))                    # B B' = Z'Z
-    order = np.argsort(lam)[::-1]
-    lam, ub = np.clip(lam[order], 0.0, None), ub[:, order]
-    k_eff = int(min(k, int((lam > 1e-24 * max(lam.max(), 1e-300)).sum()) or 1))
-    sig = np.sqrt(lam[:k_eff])
-    v_col = _times(z, ub[:, :k_eff] / np.where(sig > 0, sig, 1.0), "id")   # right vectors
-    v_col = _checkpoint(_pad(v_col, col_ids, k_eff))
+    if n_c <= FULL_WIDTH_LIMIT:
+        # exact: eigen-decomposition of the n_c x n_c Gram matrix
+        ids = sorted(r["id"] for r in col_ids.collect())     # at most FULL_WIDTH_LIMIT ids
+        lam, vec = np.linalg.eigh(_col_gram(pos, row_key, col_key, ids))
+        order = np.argsort(lam)[::-1]
+        lam, vec = np.clip(lam[order], 0.0, None), vec[:, order]
+        k_eff = int(min(k, int((lam > 1e-24 * max(lam.max(), 1e-300)).sum()) or 1))
+        sig = np.sqrt(lam[:k_eff])
+        spark = strengths.sparkSession
+        v_col = spark.createDataFrame([(i, vec[j, :k_eff].tolist()) for j, i in enumerate(ids)],
+                                      "id string, arr array<double>").cache()
+    else:
+        v_col, sig, k_eff = _randomized(pos, row_key, col_key, col_ids, n_c, k, n_iterations, seed)
     if col_key == "item_id":
         item_f = v_col
-        user_f = _checkpoint(_pad(_mult(pos, item_f, col_key, row_key), row_ids, k_eff))  # A V = U S
+        user_f = _pad(_mult(pos, item_f, col_key, row_key), row_ids, k_eff).cache()  # A V = U S
     else:
         # transposed problem: A' = U' S V'^T, so user factors = V' S and item factors = U'
-        user_f = _checkpoint(_times(v_col, np.diag(sig), "id"))
+        user_f = _times(v_col, np.diag(sig), "id").cache()
         us_items = _mult(pos, v_col, col_key, row_key)       # A' V' = U' S  (items)
-        item_f = _checkpoint(_pad(_times(us_items, np.diag(1.0 / np.where(sig > 0, sig, 1.0)), "id"),
-                                  row_ids, k_eff))
+        item_f = _pad(_times(us_items, np.diag(1.0 / np.where(sig > 0, sig, 1.0)), "id"),
+                      row_ids, k_eff).cache()
     user_f = user_f.select(F.col("id").alias("user_id"), F.col("arr").alias("f"))
     item_f = item_f.select(F.col("id").alias("item_id"), F.col("arr").alias("f"))
 
@@ -258,25 +318,13 @@ def recommend(model: CollabModel, users: DataFrame, exclude: DataFrame | None, n
     spark = users.sparkSession
     us = users.select("user_id").distinct()
     excl = exclude.select("user_id", "item_id").distinct() if exclude is not None else None
-    known = us.join(model.user_factors, "user_id")
-    q = known
-    if excl is not None:
-        n_ex = excl.join(model.item_factors.select("item_id"), "item_id", "left_semi") \
-            .groupBy("user_id").agg(F.count(F.lit(1)).alias("n_ex"))
-        q = q.join(n_ex, "user_id", "left")
-    else:
-        q = q.withColumn("n_ex", F.lit(0))
-    q = q.select(F.col("user_id").alias("qid"), F.col("f").alias("val"),
-                 (F.lit(n) + F.coalesce(F.col("n_ex"), F.lit(0))).alias("k"))
+    q = us.join(model.user_factors, "user_id").select(F.col("user_id").alias("qid"), F.col("f").alias("val"))
     cand = top_n_dot(q, model.item_factors.select(F.col("item_id").alias("cid"), F.col("f").alias("val")),
-                     "k", dense=True)
-    if excl is not None:
-        cand = cand.join(excl.select(F.col("user_id").alias("qid"), F.col("item_id").alias("cid")),
-                         ["qid", "cid"], "left_anti")
-    w = Window.partitionBy("qid").orderBy("rank")
-    warm = (cand.withColumn("r2", F.row_number().over(w)).where(F.col("r2") <= n)
-            .select(F.col("qid").alias("user_id"), F.col("r2").alias("rank"),
-                    F.col("cid").alias("item_id"), clip01(F.col("score")).alias("score")))
+                     n, dense=True,
+                     exclude=None if excl is None else
+                     excl.select(F.col("user_id").alias("qid"), F.col("item_id").alias("cid")))
+    warm = cand.select(F.col("qid").alias("user_id"), "rank", F.col("cid").alias("item_id"),
+                       clip01(F.col("score")).alias("score"))
     pop = popular_items(model, n).collect()  # at most n rows
     cold_users = us.join(model.user_factors.select("user_id"), "user_id", "left_anti")
     if pop:

@@ -282,22 +282,12 @@ def recommend_from_liked(model: ContentModel, liked: DataFrame, exclude: DataFra
     excl = liked.select("user_id", "item_id")
     if exclude is not None:
         excl = excl.unionByName(exclude.select("user_id", "item_id"))
-    excl = excl.distinct()
-    n_excl = excl.join(vec.select("item_id"), "item_id", "left_semi") \
-        .groupBy("user_id").agg(F.count(F.lit(1)).alias("n_ex"))
-    queries = (profile.join(n_excl, "user_id", "left")
-               .select(F.col("user_id").alias("qid"),
-                       F.transform("p", lambda s: s["fid"]).alias("idx"),
-                       F.transform("p", lambda s: s["v"]).alias("val"),
-                       (F.lit(n) + F.coalesce(F.col("n_ex"), F.lit(0))).alias("k")))
-    cand = top_n_dot(queries, vec.withColumnRenamed("item_id", "cid"), "k",
-                     dense=False, min_score=0.0)
-    kept = cand.join(excl.select(F.col("user_id").alias("qid"), F.col("item_id").alias("cid")),
-                     ["qid", "cid"], "left_anti")
-    w = Window.partitionBy("qid").orderBy(F.col("rank"))
-    return (kept.withColumn("r2", F.row_number().over(w)).where(F.col("r2") <= n)
-            .select(F.col("qid").alias("user_id"), F.col("r2").alias("rank"),
-                    F.col("cid").alias("item_id"), "score"))
+    queries = profile.select(F.col("user_id").alias("qid"),
+                             F.transform("p", lambda s: s["fid"]).alias("idx"),
+                             F.transform("p", lambda s: s["v"]).alias("val"))
+    res = top_n_dot(queries, vec.withColumnRenamed("item_id", "cid"), n, dense=False, min_score=0.0,
+                    exclude=excl.select(F.col("user_id").alias("qid"), F.col("item_id").alias("cid")))
+    return res.select(F.col("qid").alias("user_id"), "rank", F.col("cid").alias("item_id"), "score")
 
 
 def training_info(model: ContentModel) -> dict:
