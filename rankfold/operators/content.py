@@ -180,13 +180,18 @@ def minmax_features(corp: DataFrame, cfg: ContentConfig) -> DataFrame | None:
 def feature_rows(items: DataFrame, cfg: ContentConfig):
     """Stacked raw feature vector as long rows (item_id, fid, weight)."""
     corp = corpus(items, cfg).cache()
-    n_items = corp.count()
+    # one job: item count and distinct values per categorical field (for M11)
+    st = corp.agg(F.count(F.lit(1)).alias("n"),
+                  *[F.countDistinct(f"cat_{i}").alias(f"d{i}") for i in range(len(cfg.categorical_fields))]
+                  ).first()
+    n_items = st["n"]
     if n_items == 0:
         raise ValueError("No items provided for training")
+    n_cat = sum(st[f"d{i}"] for i in range(len(cfg.categorical_fields)))
     terms = item_terms(corp, cfg)
     vocab = vocabulary(terms, cfg).cache()
-    blocks = []
     n_vocab = vocab.count()
+    blocks = []
     if n_vocab > 0:
         tw = tfidf(terms, vocab, n_items)
         blocks.append(tw.select("item_id", _fid("t", F.col("term")).alias("fid"), "weight"))
@@ -205,10 +210,6 @@ def feature_rows(items: DataFrame, cfg: ContentConfig):
     feats = blocks[0]
     for b in blocks[1:]:
         feats = feats.unionByName(b)
-    n_cat = 0
-    if cfg.categorical_fields:
-        n_cat = sum(corp.select(F.countDistinct(f"cat_{i}")).first()[0]
-                    for i in range(len(cfg.categorical_fields)))
     return corp, vocab, feats, n_items, n_vocab + n_cat + n_num
 
 

@@ -8,6 +8,7 @@ from rankfold.functions.scalar import out_score
 from rankfold.operators import blend as B
 from rankfold.operators import strength
 from rankfold.plans.models import collab_model, content_model, interactions
+from rankfold.plans.q_content import CONTENT_RECS_SQL
 from rankfold.plans.registry import query
 from rankfold.sources import views as V
 
@@ -60,7 +61,10 @@ def q_filtered(spark, sf):
     return _rounded(s, "user_id", "rank", "item_id", "title", "item_type", "score", "explanation")
 
 
-@query("content_strategy_recommendations")
+@query("content_strategy_recommendations", sql=CONTENT_RECS_SQL.replace(
+    "SELECT user_id, CAST(rank AS INTEGER) AS rank, item_id, round(score, 6) AS score FROM ranked",
+    "SELECT user_id, CAST(rank AS INTEGER) AS rank, item_id, round(score, 6) AS score, "
+    "'Based on your preferences' AS explanation FROM ranked"))
 def q_content_strategy(spark, sf):
     inter = interactions(spark, sf)
     r = B.recommend_content(content_model(spark, sf), strength.liked_items(inter),
