@@ -154,3 +154,25 @@ def serve(results: DataFrame, items: DataFrame, n: int, item_type: str | None =
     return (r.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
             .select("user_id", "rank", "item_id", "title", "item_type",
                     clip01(F.col("score")).alias("score"), "explanation", "metadata"))
+
+
+# --- M27 ------------------------------------------------------------------------------
+
+def train_models(items: DataFrame, strengths: DataFrame, strategy: str = "hybrid",
+                 item_types: list[str] | None = None, content_config=None):
+    """Train content, collaborative or both. One failing does not stop the
+    other: the result holds the model (or None) and an error text per model.
+    ``item_types`` restricts the content model only (P11)."""
+    out = {"content": None, "collaborative": None, "errors": {}}
+    if strategy in ("content_based", "hybrid"):
+        try:
+            src = items if not item_types else items.where(F.col("item_type").isin(item_types))
+            out["content"] = C.train(src, content_config)
+        except Exception as e:  # noqa: BLE001 - reported per model
+            out["errors"]["content"] = str(e)
+    if strategy in ("collaborative", "hybrid"):
+        try:
+            out["collaborative"] = K.train(strengths)
+        except Exception as e:  # noqa: BLE001
+            out["errors"]["collaborative"] = str(e)
+    return out

@@ -81,3 +81,10 @@ def test_fallback_and_serve(spark, fix_items, fix_interactions):
     assert [r.item_id for r in g] == ["book_1"]
     h = B.serve(res, fix_items, 10, filters={"year": "1965"}).collect()
     assert h == []
+
+
+def test_train_models_isolates_failures(spark, fix_items, fix_interactions):
+    empty = spark.createDataFrame([], "user_id string, item_id string, strength double")
+    res = B.train_models(fix_items, empty, "hybrid", item_types=["movie"])
+    assert res["content"] is not None and res["content"].n_items == 3
+    assert res["collaborative"] is None and "Empty" in res["errors"]["collaborative"]

@@ -64,3 +64,35 @@ def test_entry_contract(spark):
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert len(q) >= 45
+
+
+def test_micro_batch_ingest(spark, tmp_dir):
+    """Validation, user creation before the item check, FK check, appends."""
+    items_p, users_p = f"{tmp_dir}/items", f"{tmp_dir}/users"
+    spark.createDataFrame([("i1",)], "item_id string").write.parquet(items_p)
+    spark.createDataFrame([("u1", "{}", None, None)],
+                          "user_id string, preferences string, is_active boolean, created_at timestamp_ntz") \
+        .write.parquet(users_p)
+    src = f"{tmp_dir}/in"
+    os.makedirs(src)
+    pd.DataFrame({"seq": [1, 2, 3], "user_id": ["u1", "u2", "u3"], "item_id": ["i1", "zz", "i1"],
+                  "interaction_type": ["like", "view", "view"], "value": [None, None, 11.0]}) \
+        .to_parquet(f"{src}/part0.parquet", index=False)
+    schema = "seq long, user_id string, item_id string, interaction_type string, value double"
+    stream = spark.readStream.schema(schema).parquet(src)
+    fn = streams.ingest_interactions(stream, items_p, users_p, f"{tmp_dir}/out", f"{tmp_dir}/rej")
+    streams.run_available_now(stream, "ingest-test", "append", fn)
+    assert [r.seq for r in spark.read.parquet(f"{tmp_dir}/out").collect()] == [1]
+    rej = {r.seq: r.reason for r in spark.read.parquet(f"{tmp_dir}/rej").collect()}
+    assert rej == {2: "unknown item", 3: "value range"}
+    assert {r.user_id for r in spark.read.parquet(users_p).collect()} == {"u1", "u2"}
+
+
+def test_versioned_refresh(spark):
+    """Users with new interactions get their stored rows replaced."""
+    t = streams.VersionedTable(spark, "recs-test", ["user_id"])
+    t.upsert(spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "user_id string, rank int, item_id string"), 0)
+    fn = streams.refresh_recommendations(
+        t, lambda users: users.select("user_id", F.lit(1).alias("rank"), F.lit("new").alias("item_id")))
+    fn(spark.createDataFrame([("a",), ("a",)], "user_id string"), 1)
+    assert sorted((r.user_id, r.item_id) for r in t.read().collect()) == [("a", "new"), ("b", "y")]
