@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankfold import fixed
+from rankfold.session import ship_package
 
 OUT_SCHEMA = "qid string, cid string, score double, key double, rank int, k long, kb long"
 
@@ -179,6 +180,7 @@ def top_n_dot(queries: DataFrame, cands: DataFrame, n: int | str, *,
     Returns (qid, cid, score, rank) with rank 1..k.
     """
     spark = queries.sparkSession
+    ship_package(spark)
     vec = ["val"] if dense else ["idx", "val"]
     k_col = F.col(n) if isinstance(n, str) else F.lit(int(n))
     # fresh aliases: queries and candidates are often the same table (self product)

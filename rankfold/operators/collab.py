@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from rankfold import fixed
 from rankfold.functions.scalar import clip01
 from rankfold.operators.blockdot import top_n_dot
-from rankfold.session import checkpoint_dir
+from rankfold.session import checkpoint_dir, ship_package
 
 FULL_WIDTH_LIMIT = 512
 OVERSAMPLE = 10
@@ -197,6 +197,7 @@ def n_factors_for(n_rows: int, n_cols: int, requested: int = fixed.N_FACTORS) ->
 def train(strengths: DataFrame, n_factors: int = fixed.N_FACTORS,
           n_iterations: int = fixed.N_ITERATIONS, seed: int = 42) -> CollabModel:
     """M13 on the long strength table; users and items = those with interactions (A2)."""
+    ship_package(strengths.sparkSession)
     strengths = strengths.select("user_id", "item_id", "strength").persist()  # read ~6 times below
     users = strengths.select(F.col("user_id").alias("id")).distinct().cache()
     items = strengths.select(F.col("item_id").alias("id")).distinct().cache()

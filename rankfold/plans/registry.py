@@ -24,7 +24,13 @@ QUERIES: dict[str, Query] = {}
 
 def query(name: str, sql: str | None = None, bench: bool = False):
     def deco(fn: Builder) -> Builder:
-        QUERIES[name] = Query(name, fn, sql, bench)
+        def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from rankfold.session import ship_package
+            ship_package(spark)
+            return fn(spark, sf_dir)
+        build.__name__ = fn.__name__
+        build.__doc__ = fn.__doc__
+        QUERIES[name] = Query(name, build, sql, bench)
         return fn
     return deco
 

@@ -66,3 +66,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``rankfold`` importable on executors (pandas UDF closures refer to
+    its functions by module): zip the package once per SparkContext and add it
+    with ``addPyFile``, which Spark distributes to every executor."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_rankfold_shipped", False):
+        return
+    import rankfold
+
+    pkg = os.path.dirname(os.path.abspath(rankfold.__file__))
+    root = os.path.dirname(pkg)
+    path = os.path.join(tempfile.mkdtemp(prefix="rankfold-pkg-"), "rankfold.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    sc._rankfold_shipped = True

@@ -20,7 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from rankfold import fixed
 from rankfold.operators import changes, validate
 from rankfold.operators.strength import strength_aggregates
-from rankfold.session import checkpoint_dir
+from rankfold.session import checkpoint_dir, ship_package
 from rankfold.sources import views as V
 
 
@@ -39,15 +39,26 @@ def events_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None
 
 
 def run_available_now(df: DataFrame, name: str, mode: str, batch_fn: Callable | None = None,
-                      out_path: str | None = None) -> str:
-    """Run a stream to the end of its current input (availableNow trigger)."""
+                      out_path: str | None = None, state_partitions: int | None = None) -> str:
+    """Run a stream to the end of its current input (availableNow trigger).
+
+    The number of state-store partitions is fixed when a stateful query first
+    starts (and kept in its checkpoint); it is sized here to the cluster
+    (2 x default parallelism unless given) instead of inheriting the batch
+    shuffle setting."""
     spark = df.sparkSession
-    w = df.writeStream.outputMode(mode).option("checkpointLocation", _path(spark, f"{name}-ckpt")) \
-        .trigger(availableNow=True)
-    if batch_fn is not None:
-        q = w.foreachBatch(batch_fn).start()
-    else:
-        q = w.format("parquet").option("path", out_path).start()
+    parts = state_partitions or 2 * spark.sparkContext.defaultParallelism
+    prev = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        w = df.writeStream.outputMode(mode).option("checkpointLocation", _path(spark, f"{name}-ckpt")) \
+            .trigger(availableNow=True)
+        if batch_fn is not None:
+            q = w.foreachBatch(batch_fn).start()
+        else:
+            q = w.format("parquet").option("path", out_path).start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", prev)
     q.awaitTermination()
     if q.exception():
         raise RuntimeError(str(q.exception()))
@@ -159,6 +170,7 @@ def throttle(spark: SparkSession, sf_dir: str, capacity: float = fixed.RATE_LIMI
     (allowed) or retry-after seconds (refused). Keyed state holds two numbers
     per client; idle buckets expire on an event-time timeout."""
     rate = per_window / window_s
+    ship_package(spark)
     req = V.requests_from_events(events_stream(spark, sf_dir, max_files)) \
         .withColumn("event_time", F.col("ts").cast("timestamp")) \
         .withWatermark("event_time", f"{idle_s} seconds") \
