@@ -31,6 +31,8 @@ def main() -> None:
              .config("spark.sql.shuffle.partitions", str(max(8, int(CPUS) * 2)))
              .config("spark.sql.adaptive.enabled", "true")
              .config("spark.sql.adaptive.skewJoin.enabled", "true")
+             # small shuffles feed compute-heavy stages here: keep them split
+             .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "8g"))
              .config("spark.executorEnv.OMP_NUM_THREADS", "1")

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from rankfold import fixed
 from rankfold.functions import jsonfields as J
 from rankfold.operators.blockdot import top_n_dot
+from rankfold.session import spread
 
 
 @dataclass
@@ -179,7 +180,7 @@ def minmax_features(corp: DataFrame, cfg: ContentConfig) -> DataFrame | None:
 
 def feature_rows(items: DataFrame, cfg: ContentConfig):
     """Stacked raw feature vector as long rows (item_id, fid, weight)."""
-    corp = corpus(items, cfg).cache()
+    corp = corpus(spread(items), cfg).cache()
     # one job: item count and distinct values per categorical field (for M11)
     st = corp.agg(F.count(F.lit(1)).alias("n"),
                   *[F.countDistinct(f"cat_{i}").alias(f"d{i}") for i in range(len(cfg.categorical_fields))]

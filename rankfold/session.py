@@ -90,3 +90,14 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(path)
     sc._rankfold_shipped = True
+
+
+def spread(df, factor: int = 2):
+    """Repartition an input that has fewer splits than the cluster has cores
+    (small files feeding per-row heavy work such as tokenization). Inputs that
+    are already split at least that finely -- every large input -- are left
+    untouched, so no shuffle is added at scale."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par * factor)
+    return df
