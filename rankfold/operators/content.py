@@ -246,9 +246,46 @@ def train(items: DataFrame, cfg: ContentConfig | None = None, *, persist: bool =
 
 def similar_items(model: ContentModel, n: int = 10, sources: DataFrame | None = None,
                   k: int | None = None) -> DataFrame:
-    """M9 for every source item at once: top n by cosine, self excluded, score > 0.
-
-    Returns (item_id, rank, other_id, score)."""
+    """M9 for every source item at once: top k (default n) by cosine, self
+    excluded, score > 0. Returns (item_id, rank, other_id, score).
+
+    Items with identical feature vectors (same text, type, ...) are collapsed
+    into one signature first, so the block product runs over distinct vectors
+    only. Exact expansion: candidate signatures are ranked by (score desc,
+    smallest member id), which is the item order among tied scores, so the
+    first k + 1 signatures and the first k + 1 members of each (one slot for
+    the query item itself) contain every item of the true top k.
+    """
+    k = k or n
+    vec = model.vectors.withColumn("h", F.xxhash64("idx", "val"))
+    sig = (vec.groupBy("h", "idx", "val").agg(F.min("item_id").alias("sid"))
+           .persist())
+    members = vec.join(sig.select("h", "idx", "val", "sid"), ["h", "idx", "val"]).select("item_id", "sid")
+    qsig = sig if sources is None else sig.join(
+        members.join(sources.select("item_id").distinct(), "item_id", "left_semi").select("sid").distinct(),
+        "sid", "left_semi")
+    top = top_n_dot(qsig.select(F.col("sid").alias("qid"), "idx", "val"),
+                    sig.select(F.col("sid").alias("cid"), "idx", "val"),
+                    k + 1, dense=False, min_score=0.0)
+    mw = Window.partitionBy("sid").orderBy("item_id")
+    first_members = members.withColumn("mr", F.row_number().over(mw)).where(F.col("mr") <= k + 1)
+    # per query signature: its first k + 1 candidate items in (score desc, id asc) order
+    cand = (top.join(first_members.select(F.col("sid").alias("cid"), F.col("item_id").alias("other_id")), "cid")
+            .select("qid", "other_id", "score", F.round("score", fixed.RANK_PLACES).alias("key")))
+    cw = Window.partitionBy("qid").orderBy(F.col("key").desc(), F.col("other_id"))
+    cand = cand.withColumn("cr", F.row_number().over(cw)).where(F.col("cr") <= k + 1)
+    qitems = members if sources is None else members.join(sources.select("item_id").distinct(),
+                                                          "item_id", "left_semi")
+    pairs = (qitems.join(cand.withColumnRenamed("qid", "sid"), "sid")
+             .where(F.col("item_id") != F.col("other_id")))
+    w = Window.partitionBy("item_id").orderBy(F.col("cr"))
+    return (pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select("item_id", "rank", "other_id", "score"))
+
+
+def similar_items_direct(model: ContentModel, n: int = 10, sources: DataFrame | None = None,
+                         k: int | None = None) -> DataFrame:
+    """M9 without signature collapsing (one block product over all items)."""
     q = model.vectors if sources is None else \
         model.vectors.join(sources.select("item_id").distinct(), "item_id", "left_semi")
     res = top_n_dot(q.withColumnRenamed("item_id", "qid"),

@@ -111,3 +111,19 @@ def test_tokens_and_bigrams(spark):
     toks = df.select(C.tokens(F.col("t"), fixed.STOP_WORDS).alias("toks"))
     got = toks.select(C.with_bigrams(F.col("toks")).alias("x")).first().x
     assert got == ["quick", "brown", "fox", "fox", "quick brown", "brown fox", "fox fox"]
+
+
+def test_signature_collapse_equals_direct(spark):
+    """Many identical vectors and tied scores: collapsed result == direct result."""
+    rows = []
+    for i in range(60):
+        name = ["red fox", "blue fox", "red cat", "green owl"][i % 4]
+        rows.append((f"{i:03d}", name, ["movie", "book", "song"][i % 3], None, "{}", "{}"))
+    items = spark.createDataFrame(rows, "item_id string, title string, item_type string, description string, "
+                                        "features string, metadata string")
+    m = C.train(items)
+    for k in (1, 5, 12):
+        a = sorted((r.item_id, r.rank, r.other_id, round(r.score, 9)) for r in C.similar_items(m, k).collect())
+        b = sorted((r.item_id, r.rank, r.other_id, round(r.score, 9))
+                   for r in C.similar_items_direct(m, k).collect())
+        assert a == b
