@@ -12,10 +12,17 @@ from rankfold.functions.scalar import json_object_or_empty
 
 
 def first_wins(batch: DataFrame, key: str, seq: str) -> tuple[DataFrame, DataFrame]:
-    """(first row per key by ``seq``, later duplicates)."""
-    w = Window.partitionBy(key).orderBy(F.col(seq))
-    r = batch.withColumn("_rn", F.row_number().over(w))
-    return r.where("_rn = 1").drop("_rn"), r.where("_rn > 1").drop("_rn")
+    """(first row per key by ``seq``, later duplicates).
+
+    The winner is a ``min_by`` aggregate (combined map-side), so an id
+    repeated across a large share of the batch never gathers in one task; the
+    losers are the rows whose (key, seq) is not a winner's (an anti join on a
+    unique pair, so no skewed key either)."""
+    cols = [c for c in batch.columns if c != key]
+    win = (batch.groupBy(key).agg(F.min_by(F.struct(*cols), F.col(seq)).alias("_w"))
+           .select(key, *[F.col(f"_w.{c}").alias(c) for c in cols]))
+    losers = batch.join(win.select(key, seq), [key, seq], "left_anti")
+    return win.select(*batch.columns), losers
 
 
 def insert_new(table: DataFrame, batch: DataFrame, key: str, seq: str,

@@ -19,9 +19,9 @@ def active(df: DataFrame) -> DataFrame:
 def by_ids(table: DataFrame, key: str, requests: DataFrame) -> DataFrame:
     """Rows for requested ids.
 
-    requests: (request_id, pos, <key>) -- request order and repeats kept,
-    unknown ids skipped (inner join)."""
-    return requests.join(table, key).orderBy("request_id", "pos")
+    requests: (request_id, pos, <key>) -- repeats kept, unknown ids skipped
+    (inner join); the request order is the ``pos`` column (no global sort)."""
+    return requests.join(table, key)
 
 
 def exists(table: DataFrame, key: str, requests: DataFrame) -> DataFrame:
