@@ -7,13 +7,19 @@ from __future__ import annotations
 from rankfold.operators import collab as K
 from rankfold.operators import content as C
 from rankfold.operators import strength, validate
+from rankfold.session import spread
 from rankfold.sources import views as V
 
 _CACHE: dict = {}
 
 
 def interactions(spark, sf):
-    return validate.valid_interactions(V.interactions_raw_v(spark, sf))
+    """The validated interaction log, read once per session and data folder
+    (many queries fold, rank or exclude with it)."""
+    key = ("interactions", id(spark), sf)
+    if key not in _CACHE:
+        _CACHE[key] = validate.valid_interactions(spread(V.interactions_raw_v(spark, sf))).persist()
+    return _CACHE[key]
 
 
 def content_model(spark, sf) -> C.ContentModel:

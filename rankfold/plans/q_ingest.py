@@ -13,8 +13,7 @@ W_CASE = ("CASE interaction_type WHEN 'view' THEN 0.1 WHEN 'click' THEN 0.2 WHEN
           "WHEN 'bookmark' THEN 0.5 ELSE 0.1 END")
 
 
-def interactions(spark, sf):
-    return validate.valid_interactions(V.interactions_raw_v(spark, sf))
+from rankfold.plans.models import interactions  # noqa: E402  (shared, cached)
 
 
 @query("valid_interactions", sql=V.sql_with("interactions_v") + """
