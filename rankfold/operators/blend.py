@@ -142,6 +142,8 @@ def serve(results: DataFrame, items: DataFrame, n: int, item_type: str | None =
     Filters run after the top n (so fewer than n rows may remain); rows whose
     item no longer exists are dropped; scores are clamped to [0, 1]."""
     it = items.select("item_id", "title", "item_type", "features", "metadata")
+    results = results.withColumn(  # counted before enrichment, like the original envelope
+        "total_candidates", F.count(F.lit(1)).over(Window.partitionBy("user_id")))
     r = results.join(it, "item_id")  # J5 (also drops deleted items)
     if item_type or filters:
         cond = F.lit(True)
@@ -153,7 +155,7 @@ def serve(results: DataFrame, items: DataFrame, n: int, item_type: str | None =
     w = Window.partitionBy("user_id").orderBy("rank")
     return (r.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
             .select("user_id", "rank", "item_id", "title", "item_type",
-                    clip01(F.col("score")).alias("score"), "explanation", "metadata"))
+                    clip01(F.col("score")).alias("score"), "explanation", "metadata", "total_candidates"))
 
 
 # --- M27 ------------------------------------------------------------------------------
@@ -176,3 +178,40 @@ def train_models(items: DataFrame, strengths: DataFrame, strategy: str = "hybrid
         except Exception as e:  # noqa: BLE001
             out["errors"]["collaborative"] = str(e)
     return out
+
+
+# --- M20 / M28 ----------------------------------------------------------------------------
+
+def dispatch(cmodel, kmodel, n: int, strategy: str = "hybrid", users: DataFrame | None = None,
+             items: DataFrame | None = None, liked: DataFrame | None = None,
+             exclude: DataFrame | None = None) -> DataFrame:
+    """Item requests without a user go to similar items (M21); user
+    requests go to the strategy's operator (M22 / M23 / M24). Untrained
+    sources are skipped; nothing trained -> error (the caller falls back, M26)."""
+    if strategy not in fixed.STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy}")
+    if users is None:
+        if items is None:
+            raise ValueError("Either user_id or item_id must be provided")
+        return similar_items(cmodel, kmodel, n, items)
+    if strategy == "content_based":
+        if cmodel is None or liked is None:
+            return users.sparkSession.createDataFrame(
+                [], "user_id string, rank int, item_id string, score double, explanation string")
+        return recommend_content(cmodel, liked.join(users.select("user_id"), "user_id", "left_semi"),
+                                 exclude, n)
+    if strategy == "collaborative":
+        if kmodel is None:
+            return users.sparkSession.createDataFrame(
+                [], "user_id string, rank int, item_id string, score double, explanation string")
+        return recommend_collab(kmodel, users, exclude, n)
+    return recommend_hybrid(cmodel, kmodel, users, liked, exclude, n)
+
+
+def training_info(cmodel, kmodel, content_weight: float = fixed.CONTENT_WEIGHT,
+                  collab_weight: float = fixed.COLLAB_WEIGHT) -> dict:
+    """Both models' training info plus the blend weights."""
+    return {"content_model": C.training_info(cmodel) if cmodel is not None else None,
+            "collaborative_model": dict(kmodel.info) if kmodel is not None else None,
+            "weights": {"content": content_weight, "collaborative": collab_weight},
+            "is_content_trained": cmodel is not None, "is_collaborative_trained": kmodel is not None}

@@ -88,3 +88,20 @@ def test_train_models_isolates_failures(spark, fix_items, fix_interactions):
     res = B.train_models(fix_items, empty, "hybrid", item_types=["movie"])
     assert res["content"] is not None and res["content"].n_items == 3
     assert res["collaborative"] is None and "Empty" in res["errors"]["collaborative"]
+
+
+def test_dispatch_and_info(spark, models, fix_interactions):
+    cm, km = models
+    users = spark.createDataFrame([("user_1",)], "user_id string")
+    items = spark.createDataFrame([("movie_1",)], "item_id string")
+    liked = strength.liked_items(fix_interactions)
+    touched = strength.touched_items(fix_interactions)
+    sim = B.dispatch(cm, km, 3, items=items).collect()
+    assert sim and all(r.item_id == "movie_1" for r in sim)
+    for strat, label in (("content_based", fixed.EXPLAIN_CONTENT), ("collaborative", fixed.EXPLAIN_COLLAB)):
+        rows = B.dispatch(cm, km, 2, strat, users=users, liked=liked, exclude=touched).collect()
+        assert rows and all(r.explanation == label and r.user_id == "user_1" for r in rows)
+    info = B.training_info(cm, km)
+    assert info["is_content_trained"] and info["collaborative_model"]["n_factors"] == km.k
+    with pytest.raises(ValueError):
+        B.dispatch(cm, km, 2, "nope", users=users)
