@@ -32,13 +32,14 @@ def strength_aggregates(seq: str = "seq") -> tuple[list[Column], Column]:
     """Aggregate expressions and the final strength expression over them."""
     is_rated = (F.col("interaction_type") == "rating") & F.col("value").isNotNull()
     weight = interaction_weight(F.col("interaction_type"))
-    aggs = [F.max(F.when(is_rated, F.struct(F.col(seq).alias("s"), F.col("value").alias("v"))))
-            .alias("_lr")]
+    rated_seq = F.when(is_rated, F.col(seq))
+    # fixed-width buffers (long, double): planned as a hash aggregate
+    aggs = [F.max(rated_seq).alias("_lr_s"), F.max_by(F.col("value"), rated_seq).alias("_lr_v")]
     classes = _weight_classes()
     for i, w in enumerate(classes):
         aggs.append(F.max(F.when(~is_rated & (weight == F.lit(w)), F.col(seq))).alias(f"_w{i}"))
-    lr_seq = F.col("_lr.s")
-    base = F.coalesce(rating_norm(F.col("_lr.v")), F.lit(0.0))
+    lr_seq = F.col("_lr_s")
+    base = F.coalesce(rating_norm(F.col("_lr_v")), F.lit(0.0))
     after = [F.when(F.col(f"_w{i}") > F.coalesce(lr_seq, F.lit(-(2 ** 63))), F.lit(float(w)))
              for i, w in enumerate(classes)]
     strength = F.greatest(base, *after).cast("double")
