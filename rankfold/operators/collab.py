@@ -168,18 +168,20 @@ def _randomized(pos, row_key, col_key, col_ids, n_c, k, n_iterations, seed):
     Each iterate is checkpointed (lineage cut) under spark.checkpoint.dir."""
     l = min(k + OVERSAMPLE, n_c)
 
-    def orth(y: DataFrame, width: int) -> tuple[DataFrame, int]:
-        for _ in range(2):  # twice: whitening accuracy (like CholeskyQR2)
+    def orth(y: DataFrame, width: int, passes: int) -> tuple[DataFrame, int]:
+        # intermediate iterates only need to stay well conditioned (one
+        # whitening); the final basis is whitened twice (like CholeskyQR2)
+        for _ in range(passes):
             m = _orth_matrix(_gram(y, width))
             y = _checkpoint(_times(y, m, "id"))
             width = m.shape[1]
         return y, width
 
     omega = _gauss_block(col_ids, l, seed)
-    q, w = orth(_mult(pos, omega, col_key, row_key), l)
-    for _ in range(n_iterations):
-        z, wz = orth(_mult(pos, q, row_key, col_key), w)
-        q, w = orth(_mult(pos, z, col_key, row_key), wz)
+    q, w = orth(_mult(pos, omega, col_key, row_key), l, 1 if n_iterations else 2)
+    for i in range(n_iterations):
+        z, wz = orth(_mult(pos, q, row_key, col_key), w, 1)
+        q, w = orth(_mult(pos, z, col_key, row_key), wz, 2 if i == n_iterations - 1 else 1)
     z = _checkpoint(_mult(pos, q, row_key, col_key))         # Z = A'Q  (cols x w)
     lam, ub = np.linalg.eigh(_gram(z, w))                    # B B' = Z'Z
     order = np.argsort(lam)[::-1]
