@@ -9,6 +9,8 @@ lists), then rank inside the source.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,14 +33,20 @@ def similar_items(cmodel: C.ContentModel | None, kmodel: K.CollabModel | None, n
     """Similar items from both sources: content 2n, collaborative 2n (new ids only,
     x 0.8), merged, top n. Returns (item_id, rank, other_id, score, explanation)."""
     parts = []
+    with ThreadPoolExecutor(max_workers=2) as pool:  # overlap the two legs' eager steps
+        fc = pool.submit(C.similar_items, cmodel, n, sources, fixed.SIMILAR_OVERFETCH * n) \
+            if cmodel is not None else None
+        fk = pool.submit(K.similar, kmodel.item_factors, "item_id", fixed.SIMILAR_OVERFETCH * n, sources) \
+            if kmodel is not None else None
+        c_res = fc.result() if fc else None
+        k_res = fk.result() if fk else None
     if cmodel is not None:
-        c = C.similar_items(cmodel, n, sources, k=fixed.SIMILAR_OVERFETCH * n)
+        c = c_res
         parts.append(c.select("item_id", "other_id", "score", F.lit(0).alias("src"),
                               F.col("rank").alias("src_rank"),
                               F.lit(fixed.EXPLAIN_SIMILAR_CONTENT).alias("explanation")))
     if kmodel is not None:
-        k = K.similar(kmodel.item_factors, "item_id", fixed.SIMILAR_OVERFETCH * n, sources)
-        k = k.select("item_id", "other_id", (F.col("score") * fixed.COLLAB_NEIGHBOUR_DISCOUNT).alias("score"),
+        k = k_res.select("item_id", "other_id", (F.col("score") * fixed.COLLAB_NEIGHBOUR_DISCOUNT).alias("score"),
                      F.lit(1).alias("src"), F.col("rank").alias("src_rank"),
                      F.lit(fixed.EXPLAIN_USERS_ALSO_LIKED).alias("explanation"))
         if parts:
@@ -80,13 +88,17 @@ def recommend_hybrid(cmodel: C.ContentModel | None, kmodel: K.CollabModel | None
     m = fixed.BLEND_OVERFETCH * n
     us = users.select("user_id").distinct()
     n_liked = liked.groupBy("user_id").agg(F.sum("n_likes").alias("n_liked"))
-    legs = []
+    # the legs' eager steps (block sizing, materialised query sides) are
+    # submitted from two driver threads so their jobs overlap
+    tasks = []
     if cmodel is not None:
-        legs.append(content_leg(cmodel, liked.join(us, "user_id", "left_semi"), exclude, m)
-                    .select("user_id", "item_id", F.col("score").alias("cs"), F.col("rank").alias("cr")))
+        tasks.append(lambda: content_leg(cmodel, liked.join(us, "user_id", "left_semi"), exclude, m)
+                     .select("user_id", "item_id", F.col("score").alias("cs"), F.col("rank").alias("cr")))
     if kmodel is not None:
-        legs.append(collab_leg(kmodel, us, exclude, m)
-                    .select("user_id", "item_id", F.col("score").alias("ks"), F.col("rank").alias("kr")))
+        tasks.append(lambda: collab_leg(kmodel, us, exclude, m)
+                     .select("user_id", "item_id", F.col("score").alias("ks"), F.col("rank").alias("kr")))
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        legs = [f.result() for f in [pool.submit(t) for t in tasks]]
     if not legs:
         raise RuntimeError("no trained model")
     if len(legs) == 2:

@@ -166,12 +166,13 @@ def _make_group_fn(dense: bool, exclude_self: bool, min_score: float | None, pla
 def top_n_dot(queries: DataFrame, cands: DataFrame, n: int | str, *,
               dense: bool, exclude_self: bool = False, min_score: float | None = None,
               exclude: DataFrame | None = None, rows_per_block: int = 2048,
-              min_groups: int | None = None) -> DataFrame:
+              min_groups: int | None = None, n_cands: int | None = None) -> DataFrame:
     """Top-k candidates per query by dot product.
 
     queries: columns qid, and val (dense) or idx, val (sparse); optional k column.
     cands:   columns cid, and the same vector columns.
     n:       k for every query, or the name of a per-query k column.
+    n_cands: the candidate row count when the caller knows it (saves a job).
     exclude: optional (qid, cid) pairs that must not be returned. Each
              (query, candidate block) cell over-fetches by the number of its
              excluded pairs that fall in that block (a small aggregate joined
@@ -191,7 +192,8 @@ def top_n_dot(queries: DataFrame, cands: DataFrame, n: int | str, *,
     # shared checkpoint folder (also cuts lineage for executor loss)
     checkpoint_dir(spark)
     q = q.checkpoint(eager=True)
-    nq, nc = q.count(), c.count()
+    nq = q.count()
+    nc = n_cands if n_cands is not None else c.count()
     if nq == 0 or nc == 0:
         return spark.createDataFrame([], "qid string, cid string, score double, rank int")
     QB, CB = _blocks(nq, rows_per_block), _blocks(nc, rows_per_block)

@@ -324,7 +324,7 @@ def recommend(model: CollabModel, users: DataFrame, exclude: DataFrame | None, n
     excl = exclude.select("user_id", "item_id").distinct() if exclude is not None else None
     q = us.join(model.user_factors, "user_id").select(F.col("user_id").alias("qid"), F.col("f").alias("val"))
     cand = top_n_dot(q, model.item_factors.select(F.col("item_id").alias("cid"), F.col("f").alias("val")),
-                     n, dense=True,
+                     n, dense=True, n_cands=model.info.get("num_items"),
                      exclude=None if excl is None else
                      excl.select(F.col("user_id").alias("qid"), F.col("item_id").alias("cid")))
     warm = cand.select(F.col("qid").alias("user_id"), "rank", F.col("cid").alias("item_id"),

@@ -325,7 +325,8 @@ def recommend_from_liked(model: ContentModel, liked: DataFrame, exclude: DataFra
                              F.transform("p", lambda s: s["fid"]).alias("idx"),
                              F.transform("p", lambda s: s["v"]).alias("val"))
     res = top_n_dot(queries, vec.withColumnRenamed("item_id", "cid"), n, dense=False, min_score=0.0,
-                    exclude=excl.select(F.col("user_id").alias("qid"), F.col("item_id").alias("cid")))
+                    exclude=excl.select(F.col("user_id").alias("qid"), F.col("item_id").alias("cid")),
+                    n_cands=model.n_items)
     return res.select(F.col("qid").alias("user_id"), "rank", F.col("cid").alias("item_id"), "score")
 
 

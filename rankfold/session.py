@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 
 from pyspark.sql import SparkSession
 
@@ -68,10 +69,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_SHIP_LOCK = threading.Lock()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``rankfold`` importable on executors (pandas UDF closures refer to
     its functions by module): zip the package once per SparkContext and add it
     with ``addPyFile``, which Spark distributes to every executor."""
+    with _SHIP_LOCK:
+        _ship(spark)
+
+
+def _ship(spark: SparkSession) -> None:
     import zipfile
 
     sc = spark.sparkContext
