@@ -21,6 +21,18 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 
 
+def _driver_memory() -> str:
+    """Heap for the local driver: 60% of the machine's memory, at most 8 GB."""
+    if os.environ.get("BENCH_DRIVER_MEMORY"):
+        return os.environ["BENCH_DRIVER_MEMORY"]
+    try:
+        with open("/proc/meminfo") as f:
+            kb = int(next(line for line in f if line.startswith("MemTotal")).split()[1])
+        return f"{max(1024, min(8192, int(kb / 1024 * 0.6)))}m"
+    except (OSError, StopIteration, ValueError):
+        return "4g"
+
+
 def main() -> None:
     from pyspark.sql import SparkSession
 
@@ -34,7 +46,7 @@ def main() -> None:
              # small shuffles feed compute-heavy stages here: keep them split
              .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
              .config("spark.sql.session.timeZone", "UTC")
-             .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "8g"))
+             .config("spark.driver.memory", _driver_memory())
              .config("spark.executorEnv.OMP_NUM_THREADS", "1")
              .config("spark.checkpoint.dir", f"{scratch}/checkpoints")
              .getOrCreate())
