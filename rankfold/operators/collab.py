@@ -55,18 +55,22 @@ class CollabModel:
 # --- small linear-algebra helpers over (id, arr) tables ------------------------
 
 def _gram(df: DataFrame, l: int) -> np.ndarray:
-    """Sum over rows of arr arr' computed as per-partition partials."""
+    """Sum over rows of arr arr': per-partition NumPy partials, reduced per
+    cell by Spark, so the driver receives l x l numbers whatever the number
+    of partitions."""
     def part(it):
         g = np.zeros((l, l))
         for pdf in it:
             if len(pdf):
                 m = np.vstack(pdf["arr"].to_numpy())
                 g += m.T @ m
-        yield pd.DataFrame({"g": [g.ravel()]})
-    rows = df.select("arr").mapInPandas(part, "g array<double>").collect()
+        nz = np.nonzero(g)
+        yield pd.DataFrame({"cell": (nz[0] * l + nz[1]).astype(np.int64), "x": g[nz]})
+    rows = (df.select("arr").mapInPandas(part, "cell long, x double")
+            .groupBy("cell").agg(F.sum("x").alias("x")).collect())   # at most l * l rows
     tot = np.zeros((l, l))
     for r in rows:
-        tot += np.asarray(r["g"]).reshape(l, l)
+        tot[r["cell"] // l, r["cell"] % l] = r["x"]
     return tot
 
 
@@ -114,7 +118,7 @@ def _col_gram(pos: DataFrame, row_key: str, col_key: str, col_ids: list[str]) ->
     rows = (pos.join(F.broadcast(index), col_key)
             .groupBy(row_key).agg(F.collect_list("ci").alias("c"), F.collect_list("s").alias("v"))
             .select("c", "v").mapInPandas(part, "cell long, x double")
-            .groupBy("cell").agg(F.sum("x").alias("x")).collect())
+            .groupBy("cell").agg(F.sum("x").alias("x")).collect())   # at most n_c * n_c rows
     g = np.zeros((n_c, n_c))
     for r in rows:
         g[r["cell"] // n_c, r["cell"] % n_c] = r["x"]
