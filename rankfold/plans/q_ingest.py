@@ -12,8 +12,6 @@ W_CASE = ("CASE interaction_type WHEN 'view' THEN 0.1 WHEN 'click' THEN 0.2 WHEN
           "WHEN 'bookmark' THEN 0.5 ELSE 0.1 END")
 
 
-
-
 @query("valid_interactions", sql=V.sql_with("interactions_v") + """
 SELECT seq, user_id, item_id, interaction_type, value FROM interactions_v""")
 def q_valid(spark, sf):
