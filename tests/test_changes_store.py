@@ -146,3 +146,19 @@ def test_logs_artifacts_and_expiry(spark, tmp_dir):
     assert [r.user_id for r in store.misses(req, stored).collect()] == ["v"]
     expired = store.store_results(recs, {"n": 10}, ttl_s=-1)
     assert store.misses(req, expired).count() == 2
+
+
+def test_record_interactions_and_pages(spark, fix_items, fix_interactions):
+    from rankfold.operators import lookup as L
+    batch = fix_interactions.withColumn("timestamp", F.lit(None).cast("timestamp_ntz")).unionByName(
+        spark.createDataFrame([(9, "user_1", "ghost", "view", None, None)],
+                              "seq long, user_id string, item_id string, interaction_type string, "
+                              "value double, timestamp timestamp_ntz"))
+    rec = U.record_interactions(batch, fix_items).collect()
+    assert len(rec) == 7 and all(r.interaction_id and r.timestamp is not None for r in rec)
+    assert len({r.interaction_id for r in rec}) == 7
+    soft, _ = U.delete_items(fix_items, spark.createDataFrame([("book_2",)], "item_id string"))
+    assert "book_2" not in {r.item_id for r in L.active(soft).collect()}
+    page = L.page(fix_items, [F.col("created_at").desc(), F.col("item_id")], offset=1, limit=2,
+                  where=F.col("item_type") == "movie").collect()
+    assert [r.item_id for r in page] == ["movie_2", "movie_3"]
