@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankfold import fixed
-from rankfold.session import checkpoint_dir, ship_package
+from rankfold.session import ship_package
 
 OUT_SCHEMA = "qid string, cid string, score double, key double, rank int, k long, kb long"
 
@@ -188,11 +188,9 @@ def top_n_dot(queries: DataFrame, cands: DataFrame, n: int | str, *,
     q = queries.select(F.col("qid").alias("qid"), *[F.col(v).alias(v) for v in vec],
                        k_col.cast("long").alias("kb")).where(F.col("kb") > 0)
     c = cands.select(F.col("cid").alias("cid"), *[F.col(v).alias(v) for v in vec])
-    # counted here and read again by the product: materialise once in the
-    # shared checkpoint folder (also cuts lineage for executor loss)
-    checkpoint_dir(spark)
-    q = q.checkpoint(eager=True)
-    nq = q.count()
+    # only the row count is needed to size the blocks: count a pruned
+    # projection (vector columns are never built for it)
+    nq = q.select("qid").count()
     nc = n_cands if n_cands is not None else c.count()
     if nq == 0 or nc == 0:
         return spark.createDataFrame([], "qid string, cid string, score double, rank int")
