@@ -170,7 +170,11 @@ def _gauss_block(ids: DataFrame, l: int, seed: int) -> DataFrame:
 def _randomized(pos, row_key, col_key, col_ids, n_c, k, n_iterations, seed):
     """Randomized range finder with power iterations for a wide short side.
     Each iterate is checkpointed (lineage cut) under spark.checkpoint.dir."""
-    l = min(k + OVERSAMPLE, n_c)
+    # oversampling decides accuracy when singular values near k are clustered
+    # (measured, k = 10, sigma_10/sigma_11 = 0.991, 10 iterations: p = 10 ->
+    # 3e-2, p = 20 -> 2e-3, p = 40 -> 2e-6 max error in the rank-k products);
+    # the cost is linear in l and the driver only sees l x l matrices
+    l = min(k + max(OVERSAMPLE, 4 * k), n_c)
 
     def orth(y: DataFrame, width: int, passes: int) -> tuple[DataFrame, int]:
         # intermediate iterates only need to stay well conditioned (one
