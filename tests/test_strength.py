@@ -85,3 +85,24 @@ def test_liked_keeps_repeats(spark):
     assert liked == {"i": 2, "k": 1}
     touched = {r.item_id for r in strength.touched_items(df).collect()}
     assert touched == {"i", "j", "k", "m"}
+
+
+def test_fold_plan_is_partial_hash_aggregate(spark):
+    """One hot (user, item) pair holding most rows: map-side combined, no window."""
+    from pyspark.sql import functions as F
+    n = 20000
+    df = (spark.range(n).select(F.col("id").alias("seq"),
+                                F.when(F.col("id") % 10 == 0, F.lit("other")).otherwise(F.lit("hot")).alias("user_id"),
+                                F.lit("i").alias("item_id"),
+                                F.when(F.col("id") % 7 == 0, F.lit("rating")).otherwise(F.lit("view"))
+                                .alias("interaction_type"),
+                                F.when(F.col("id") % 7 == 0, (F.col("id") % 11).cast("double")).alias("value"))
+          .repartition(8))
+    out = strength.strength_fold(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortAggregate" not in plan
+    assert plan.count("HashAggregate") >= 2  # partial (map side) + final
+    rows = [tuple(r) for r in df.orderBy("seq").collect()]
+    want = python_fold(rows)
+    got = {(r.user_id, r.item_id): r.strength for r in out.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
