@@ -211,7 +211,11 @@ def train(strengths: DataFrame, n_factors: int = fixed.N_FACTORS,
     strengths = strengths.select("user_id", "item_id", "strength").persist()  # read ~6 times below
     users = strengths.select(F.col("user_id").alias("id")).distinct().cache()
     items = strengths.select(F.col("item_id").alias("id")).distinct().cache()
-    n_u, n_i = users.count(), items.count()
+    # one job: matrix shape and the statistics of the positive cells
+    st = strengths.agg(F.countDistinct("user_id").alias("n_u"), F.countDistinct("item_id").alias("n_i"),
+                       F.avg(F.when(F.col("strength") > 0, F.col("strength"))).alias("gmean"),
+                       F.sum(F.when(F.col("strength") > 0, 1).otherwise(0)).alias("n_gt0")).first()
+    n_u, n_i = int(st["n_u"]), int(st["n_i"])
     if n_u == 0 or n_i == 0:
         raise ValueError("Empty interaction matrix")
     k = n_factors_for(n_u, n_i, n_factors)
@@ -249,12 +253,9 @@ def train(strengths: DataFrame, n_factors: int = fixed.N_FACTORS,
     user_f = user_f.select(F.col("id").alias("user_id"), F.col("arr").alias("f"))
     item_f = item_f.select(F.col("id").alias("item_id"), F.col("arr").alias("f"))
 
-    stats = pos.agg(F.count(F.lit(1)).alias("n_pos"),
-                    F.avg(F.when(F.col("s") > 0, F.col("s"))).alias("gmean"),
-                    F.sum(F.when(F.col("s") > 0, 1).otherwise(0)).alias("n_gt0")).first()
-    gmean = float(stats["gmean"] or 0.0)
+    gmean = float(st["gmean"] or 0.0)
     info = {"num_users": n_u, "num_items": n_i, "n_factors": k_eff,
-            "sparsity": float(1 - (stats["n_gt0"] or 0) / (n_u * n_i))}
+            "sparsity": float(1 - (st["n_gt0"] or 0) / (n_u * n_i))}
     model = CollabModel(user_f, item_f, k_eff, gmean, info)
     info["reconstruction_mse"] = reconstruction_mse(model, strengths)
     info["explained_variance_ratio"] = explained_variance_ratio(model, strengths, n_u)
