@@ -21,6 +21,7 @@ label that sorts first. Repeated rows give repeated rows.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -192,10 +193,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     label, priority, confidence)."""
     table = rules()
     anchors = sorted({r["anchor"] for r in table})
-    by_anchor = F.create_map(*[x for a in anchors for x in (F.lit(a), F.array(*[
-        F.struct(F.lit(r["pattern"]).alias("pattern"), F.lit(r["label"]).alias("label"),
-                 F.lit(r["priority"]).alias("priority"), F.lit(r["confidence"]).alias("confidence"))
-        for r in table if r["anchor"] == a]))])
+    # a literal, folded once when the query is planned
+    by_anchor = F.from_json(
+        F.lit(json.dumps({a: [r for r in table if r["anchor"] == a] for a in anchors})),
+        "map<string,array<struct<pattern:string,label:string,priority:int,confidence:double>>>")
     span = "struct<s:int,ne:int,np:int,label:string,confidence:double>"
     none = F.array().cast(f"array<{span}>")
 
