@@ -12,12 +12,20 @@ units of two similar documents have one in common (prefix filter), so a document
 with D + 1 units of its own needs no further look; passages and lines that many
 documents share come last in the order and do not make candidates.
 
-Links. A candidate group is first compared with its smallest member only. After
-connected components, the pairs that are left are those of one group in
-different components; they are compared too, so no link between different
-components is missed, while a group of copies never becomes all its pairs.
-Verification joins the fragments of two documents, counts the overlap per
-fragment, and sums the counts per pair.
+Links. No group becomes all its pairs. Every group gets a pivot set (the smallest
+that a member of it meets in any of its groups), and members are compared with
+the pivot only: fragments are joined, the differences are counted per fragment
+and summed per pair. What can be linked besides, across the components found so
+far, are members of one pivot that share enough of their *differences from it*:
+two that are not both linked with the pivot p need at least
+
+* 4/9 s of the s differences of a member linked with p,
+* 9/10 (s - (n + n_p) / 9) of those of a member not linked with p
+
+(from |x - y| = s_x + s_y - 2 c, the bound (n_x + n_y) / 9 on it at 80 %, and
+|n_y - n_p| <= s_y; for other thresholds (1 - t) / (1 + t) takes the place of 1/9).
+So the same prefix filter runs on the differences, rarest first, and the few pairs
+left are verified by them, again per fragment and summed per pair.
 
 Fragments are chosen so that a set of n has more than D = n / 4 non-empty ones
 by many standard deviations (small sets: nearly one n-gram a fragment).
@@ -235,23 +243,36 @@ def _segment_batch(rep, parts, part, seg) -> pa.RecordBatch:
         names=["rep", "parts", "part", "seg"])
 
 
-def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """The linked pairs (a, b) of pairs (a, na, b, nb): overlap per fragment, summed."""
-    log2 = F.floor(F.log2(F.least("na", "nb").cast("double") + 0.5)).cast("int")
-    p = pairs.withColumn("parts", F.greatest(
-        F.lit(1), (F.pow(F.lit(2.0), log2) / FRAGMENT_ROWS).cast("int")))
-    right = segments.select(F.col("rep").alias("b"), "parts", "part", F.col("seg").alias("sb"))
-    left = segments.select(F.col("rep").alias("a"), "parts", "part", F.col("seg").alias("sa"))
-    both = p.join(right, ["b", "parts"]).join(left, ["a", "parts", "part"])
-    per = both.select("a", "na", "b", "nb", "part", F.size(F.array_intersect("sa", "sb")).alias("o")) \
-        .groupBy("a", "na", "b", "nb", "part").agg(F.max("o").alias("o"))
-    return per.groupBy("a", "na", "b", "nb").agg(F.sum("o").alias("o")) \
-        .where(f"100 * o >= {percent} * (na + nb - o)").select("a", "b")
-
-
-def _possible(percent: int) -> str:
-    """Sizes that allow the similarity, and not both only in the lower class."""
-    return f"100 * least(na, nb) >= {percent} * greatest(na, nb) and not (fa = 1 and fb = 1)"
+def _second_level(stars: DataFrame, sizes: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Linked pairs (src, dst) among the members of one pivot that are in different
+    components. stars: (a, b, part, diff); sizes: (a, na, b, nb, s, linked)."""
+    g = (100 - percent) / (100 + percent)
+    of = comp.select(F.col("node").alias("b"), "component")
+    st = sizes.join(of, "b", "left").withColumn("c", F.coalesce("component", "b")).drop("component")
+    split = st.groupBy("a").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("a")
+    keep = materialise(st.join(split, "a"), "nj-open")
+    need = F.when(F.col("linked"), (1 - g) / 2 * F.col("s")).otherwise(
+        (F.col("s") - g * (F.col("nb") + F.col("na"))) / (1 + g))
+    elements = stars.select("a", "b", "diff").join(keep.select("a", "b", "na", "nb", "s", "linked", "c"), ["a", "b"]) \
+        .select("a", "b", "na", "nb", "s", "linked", "c", F.explode("diff").alias("e"))
+    shared = elements.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("a", "e"))).where("df > 1")
+    of_member = Window.partitionBy("a", "b")
+    prefix = shared.withColumn("own", F.col("s") - F.count(F.lit(1)).over(of_member)) \
+        .withColumn("rn", F.row_number().over(of_member.orderBy("df", "e"))) \
+        .where(F.col("rn") + F.col("own") <= F.col("s") - F.greatest(F.lit(1), F.ceil(need - 1e-6)) + 1)
+    x = prefix.select("a", "e", *[F.col(c).alias(c + "1") for c in ("b", "nb", "s", "linked", "c")])
+    y = prefix.select("a", "e", *[F.col(c).alias(c + "2") for c in ("b", "nb", "s", "linked", "c")])
+    pairs = x.join(y, ["a", "e"]).where("b1 < b2 and c1 <> c2 and not (linked1 and linked2)") \
+        .where(f"100 * least(nb1, nb2) >= {percent} * greatest(nb1, nb2)") \
+        .groupBy("b1", "b2", "nb1", "nb2").agg(F.min(F.struct("a", "s1", "s2")).alias("p")) \
+        .select("b1", "b2", "nb1", "nb2", "p.*")
+    left = stars.select("a", F.col("b").alias("b1"), "part", F.col("diff").alias("d1"))
+    right = stars.select("a", F.col("b").alias("b2"), "part", F.col("diff").alias("d2"))
+    both = pairs.join(left, ["a", "b1"]).join(right, ["a", "b2", "part"])
+    return both.withColumn("o", F.size(F.array_intersect("d1", "d2"))) \
+        .groupBy("b1", "b2", "nb1", "nb2", "s1", "s2").agg(F.sum("o").alias("o")) \
+        .where(f"(s1 + s2 - 2 * o) * {100 + percent} <= (nb1 + nb2) * {100 - percent}") \
+        .select(F.col("b1").alias("src"), F.col("b2").alias("dst"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -282,35 +303,35 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     prefix = shared.withColumn("s", F.count(F.lit(1)).over(of_set)) \
         .withColumn("rn", F.row_number().over(of_set.orderBy("df", "sig"))) \
         .join(sets, "nid").where("rn <= d + 1 - (t - s)")
-    groups = prefix.groupBy("sig").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot <> last")
-    cand = materialise(prefix.select("sig", "rep", "n", "flag").join(groups.select("sig", "pivot"), "sig"), "nj-cand")
-
-    wanted = cand.select("rep").distinct().join(reps.select("rep", "node"), "rep")
+    groups = prefix.groupBy("sig").agg(F.min(F.struct("rep", "n")).alias("p"), F.max("rep").alias("last")) \
+        .where("p.rep <> last").select("sig", "p")
+    met = materialise(prefix.select("sig", "nid", "rep", "n", "flag").join(groups, "sig"), "nj-cand")
+    smallest = met.groupBy("nid").agg(F.min("p").alias("p"))
+    pivot = met.select("sig", "nid").join(smallest, "nid").groupBy("sig").agg(F.min("p").alias("pivot"))
+    lo = F.floor(F.pow(F.lit(2.0), F.floor(F.log2(F.col("n") + 0.5)))) / F.pow(F.lit(2.0), F.col("flag"))
+    star = materialise(
+        met.join(pivot, "sig").where("rep <> pivot.rep")
+        .select(F.col("pivot.rep").alias("a"), F.col("pivot.n").alias("na"), F.col("rep").alias("b"), F.col("n").alias("nb"),
+                F.greatest(F.lit(1), (lo / FRAGMENT_ROWS).cast("int")).alias("parts")).distinct(), "nj-stars")
+
+    # the sets of all that takes part, cut into fragments
+    wanted = star.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps.select("rep", "node"), "rep")
     segments = materialise(
-        wanted.join(rows.select(F.col("doc_id").alias("rep"), "text"), "rep").select("rep", "node", "text")
+        wanted.join(rows.select(F.col("doc_id").alias("rep"), "text"), "rep").select("rep", "node", "text").distinct()
         .mapInArrow(_segments, "rep long, parts int, part int, seg array<long>"), "nj-segments")
-
-    member = cand.select("sig", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("flag").alias("fb"), "pivot")
-    star = member.join(cand.where("rep = pivot").select("sig", F.col("rep").alias("a"), F.col("n").alias("na"),
-                                                        F.col("flag").alias("fa")), "sig") \
-        .where("a <> b").where(_possible(percent)).select("a", "na", "b", "nb").distinct()
-    first = materialise(_verified(star, segments, percent), "nj-links")
-    edges = first.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    comp = components(edges)
-
-    # what the stars left open: pairs of a group in different components
-    where = cand.select("sig", "rep", "n", "flag").join(comp, F.col("rep") == F.col("node"), "left") \
-        .select("sig", "rep", "n", "flag", F.coalesce("component", "rep").alias("c"))
-    split = where.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("sig")
-    open_ = where.join(split, "sig")
-    x = open_.select("sig", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("flag").alias("fa"), F.col("c").alias("ca"))
-    y = open_.select("sig", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("flag").alias("fb"), F.col("c").alias("cb"))
-    cross = x.join(y, "sig").where("a < b and ca <> cb").where(_possible(percent)) \
-        .select("a", "na", "b", "nb").distinct() \
-        .join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
-    second = materialise(_verified(cross, segments, percent), "nj-links")
+    right = segments.select(F.col("rep").alias("b"), "parts", "part", F.col("seg").alias("sb"))
+    left = segments.select(F.col("rep").alias("a"), "parts", "part", F.col("seg").alias("sa"))
+    stars = materialise(
+        star.join(right, ["b", "parts"]).join(left, ["a", "parts", "part"]).select(
+            "a", "na", "b", "nb", "part",
+            F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")).alias("diff")), "nj-diff")
+    sizes = stars.groupBy("a", "na", "b", "nb").agg(F.sum(F.size("diff")).alias("s")) \
+        .withColumn("linked", F.expr(f"s * {100 + percent} <= (na + nb) * {100 - percent}"))
+    first = sizes.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    comp = components(first)
+    second = materialise(_second_level(stars, sizes, comp, percent), "nj-links")
     if second.limit(1).count():
-        comp = components(edges.unionByName(second.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+        comp = components(first.unionByName(second))
 
     of_class = reps.select("node", "node2", "rep") \
         .join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left") \
