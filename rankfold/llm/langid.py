@@ -52,7 +52,10 @@ def gram_counts(text: str | None) -> tuple[np.ndarray, int]:
     carry = " "
     for at in range(0, len(text), CHUNK):
         plain = _OTHER.sub(" ", text[at:at + CHUNK].lower())
-        c = np.frombuffer((carry + plain + (" " if at + CHUNK >= len(text) else "")).encode("utf-32-le"), np.uint32)
+        if carry.endswith(" "):
+            plain = plain.removeprefix(" ")  # a run of other characters that a cut divides is one blank
+        end = " " if at + CHUNK >= len(text) and not (carry + plain).endswith(" ") else ""
+        c = np.frombuffer((carry + plain + end).encode("utf-32-le"), np.uint32)
         new = len(carry)
         letters += int((c[new:] != 32).sum())
         h = c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)

@@ -146,7 +146,7 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(_captures, CAPTURE)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], block_lines: int) -> Iterator[pa.RecordBatch]:
     """Captures sorted by key -> (first_key, last_key, n, data): compressed runs
     of lines ``key <tab> JSON``."""
     held: list[tuple[str, str]] = []
@@ -161,7 +161,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in b.to_pylist():
             key = row.pop("key").replace("\t", "%09").replace("\n", "%0A")
             held.append((key, json.dumps(row, ensure_ascii=False)))
-            if len(held) == BLOCK_LINES:
+            if len(held) == block_lines:
                 yield block(held)
                 held = []
     if held:
@@ -181,10 +181,10 @@ class CaptureIndex:
         self.directory = blocks.select("first_key", "last_key", "block")
 
     @classmethod
-    def build(cls, found: DataFrame) -> CaptureIndex:
+    def build(cls, found: DataFrame, block_lines: int = BLOCK_LINES) -> CaptureIndex:
         cut = found.repartitionByRange("key", "page_id", "file", "offset") \
             .sortWithinPartitions("key", "page_id", "file", "offset")
-        blocks = cut.mapInArrow(_blocks, "first_key string, last_key string, n int, data binary") \
+        blocks = cut.mapInArrow(lambda b: _blocks(b, block_lines), "first_key string, last_key string, n int, data binary") \
             .withColumn("block", F.monotonically_increasing_id())
         return cls(materialise(blocks, "warc-index"))
 
@@ -239,10 +239,10 @@ def read_range(spark: SparkSession, file: str, offset: int, length: int) -> tupl
 
 
 def archive(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html",
-            path: str | None = None) -> CaptureIndex:
+            path: str | None = None, block_lines: int = BLOCK_LINES) -> CaptureIndex:
     """Write the archives of ``pages`` (below spark.checkpoint.dir unless a path is
     given), read them back, and index what was read."""
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")
     write(pages, path, key, url, html)
-    return CaptureIndex.build(captures(spark, path))
+    return CaptureIndex.build(captures(spark, path), block_lines)
