@@ -151,12 +151,11 @@ def serve(results: DataFrame, items: DataFrame, n: int, item_type: str | None =
           filters: dict | None = None) -> DataFrame:
     """P13 + T7 + J5 + F1 over ranked results (user_id, rank, item_id, score, explanation).
 
-    Filters run after the top n (so fewer than n rows may remain); rows whose
-    item no longer exists are dropped; scores are clamped to [0, 1]."""
-    it = items.select("item_id", "title", "item_type", "features", "metadata")
-    results = results.withColumn(  # counted before enrichment, like the original envelope
-        "total_candidates", F.count(F.lit(1)).over(Window.partitionBy("user_id")))
-    r = results.join(it, "item_id")  # J5 (also drops deleted items)
+    Filters run after the top n (so fewer than n rows may remain);
+    ``total_candidates`` counts what passes them; then rows whose item no longer
+    exists are dropped and scores are clamped to [0, 1]."""
+    it = items.select("item_id", "title", "item_type", "features", "metadata", F.lit(True).alias("_there"))
+    r = results.join(it, "item_id", "left")
     if item_type or filters:
         cond = F.lit(True)
         if item_type:
@@ -164,6 +163,7 @@ def serve(results: DataFrame, items: DataFrame, n: int, item_type: str | None =
         for k, v in (filters or {}).items():
             cond = cond & J.equals_value(J.first_truthy(F.col("metadata"), F.col("features"), k), v)
         r = r.where(cond)
+    r = r.withColumn("total_candidates", F.count(F.lit(1)).over(Window.partitionBy("user_id"))).where("_there")  # J5
     w = Window.partitionBy("user_id").orderBy("rank")
     return (r.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
             .select("user_id", "rank", "item_id", "title", "item_type",

@@ -325,10 +325,8 @@ def recommend(model: CollabModel, users: DataFrame, exclude: DataFrame | None, n
     """M16 + M15 + J9 for a set of users: (user_id, rank, item_id, score).
 
     Known users: U S V' row, excluded items removed, top n on the raw score,
-    clipped. Users without factors: the popular list (computed once, at most
-    n rows, attached as a literal array: no join, no cross product).
+    clipped. Users without factors: the popular list without their excluded items.
     """
-    spark = users.sparkSession
     us = users.select("user_id").distinct()
     excl = exclude.select("user_id", "item_id").distinct() if exclude is not None else None
     q = us.join(model.user_factors, "user_id").select(F.col("user_id").alias("qid"), F.col("f").alias("val"))
@@ -338,16 +336,31 @@ def recommend(model: CollabModel, users: DataFrame, exclude: DataFrame | None, n
                      excl.select(F.col("user_id").alias("qid"), F.col("item_id").alias("cid")))
     warm = cand.select(F.col("qid").alias("user_id"), "rank", F.col("cid").alias("item_id"),
                        clip01(F.col("score")).alias("score"))
-    pop = popular_items(model, n).collect()  # at most n rows
     cold_users = us.join(model.user_factors.select("user_id"), "user_id", "left_anti")
-    if pop:
-        arr = F.array(*[F.struct(F.lit(r["rank"]).alias("rank"), F.lit(r["item_id"]).alias("item_id"),
-                                 F.lit(float(r["score"])).alias("score")) for r in pop])
-        cold = cold_users.select("user_id", F.explode(arr).alias("p")) \
-            .select("user_id", F.col("p.rank").cast("int").alias("rank"), "p.item_id", "p.score")
-    else:
-        cold = spark.createDataFrame([], "user_id string, rank int, item_id string, score double")
-    return warm.unionByName(cold)
+    return warm.unionByName(_cold(model, cold_users, excl, n))
+
+
+def _cold(model: CollabModel, users: DataFrame, excl: DataFrame | None, n: int) -> DataFrame:
+    """M15 per user: the popular list without the user's excluded items, cut to n,
+    divided by the largest value left. A user with e exclusions looks at the first
+    n + e places only, joined by place (an equi-join, no product)."""
+    u = users.withColumn("e", F.lit(0))
+    if excl is not None:
+        e = excl.groupBy("user_id").agg(F.count(F.lit(1)).cast("int").alias("e"))
+        u = users.join(e, "user_id", "left").withColumn("e", F.coalesce("e", F.lit(0)))
+    most = u.agg(F.max("e")).first()[0]
+    if most is None:
+        most = 0
+    pop = popular_items(model, n + most)
+    places = u.select("user_id", F.explode(F.sequence(F.lit(1), F.lit(n) + F.col("e"))).alias("rank"))
+    rows = places.join(pop, "rank")
+    if excl is not None:
+        rows = rows.join(excl, ["user_id", "item_id"], "left_anti")
+    w = Window.partitionBy("user_id").orderBy("rank")
+    top = F.max("score").over(Window.partitionBy("user_id"))
+    return rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n) \
+        .select("user_id", F.col("r").alias("rank"), "item_id",
+                F.when(top > 0, F.col("score") / top).otherwise(F.lit(0.0)).alias("score"))
 
 
 def similar(factors: DataFrame, id_col: str, n: int, sources: DataFrame | None = None) -> DataFrame:

@@ -6,7 +6,6 @@ from __future__ import annotations
 from rankfold.plans.q_ingest import STRENGTH_SQL
 from rankfold.plans.q_stats import q_interaction_stats  # noqa: F401  (shares the oracle)
 from rankfold.plans.registry import QUERIES, query
-from rankfold.sources import views as V
 from rankfold.streaming import streams
 
 
@@ -18,31 +17,3 @@ def q_running_stats(spark, sf):
 @query("stream_strength", sql=STRENGTH_SQL)
 def q_stream_strength(spark, sf):
     return streams.stream_strength(spark, sf)
-
-
-THROTTLE_SQL = V.sql_with("requests_v").replace("WITH ", "WITH RECURSIVE ", 1) + """,
-ordered AS (
-  SELECT request_id, client_id, ts, CAST(epoch_ns(ts) AS DOUBLE) / 1e9 AS t,
-         row_number() OVER (PARTITION BY client_id ORDER BY ts, request_id) AS rn
-  FROM requests_v),
-bucket AS (
-  SELECT client_id, rn, request_id, ts, t, CAST(20 AS DOUBLE) - 1 AS tokens, true AS allowed,
-         CAST(trunc(CAST(20 AS DOUBLE) - 1) AS INTEGER) AS value
-  FROM ordered WHERE rn = 1
-  UNION ALL
-  SELECT o.client_id, o.rn, o.request_id, o.ts, o.t,
-         CASE WHEN least(CAST(20 AS DOUBLE), b.tokens + (o.t - b.t) * (100.0 / 60)) >= 1
-              THEN least(CAST(20 AS DOUBLE), b.tokens + (o.t - b.t) * (100.0 / 60)) - 1
-              ELSE least(CAST(20 AS DOUBLE), b.tokens + (o.t - b.t) * (100.0 / 60)) END,
-         least(CAST(20 AS DOUBLE), b.tokens + (o.t - b.t) * (100.0 / 60)) >= 1,
-         CAST(CASE WHEN least(CAST(20 AS DOUBLE), b.tokens + (o.t - b.t) * (100.0 / 60)) >= 1
-                   THEN trunc(least(CAST(20 AS DOUBLE), b.tokens + (o.t - b.t) * (100.0 / 60)) - 1)
-                   ELSE trunc((1 - least(CAST(20 AS DOUBLE), b.tokens + (o.t - b.t) * (100.0 / 60)))
-                              / (100.0 / 60)) END AS INTEGER)
-  FROM bucket b JOIN ordered o ON o.client_id = b.client_id AND o.rn = b.rn + 1)
-SELECT request_id, client_id, ts, allowed, value FROM bucket"""
-
-
-@query("throttle_events", sql=THROTTLE_SQL)
-def q_throttle(spark, sf):
-    return streams.throttle(spark, sf)

@@ -7,7 +7,7 @@ the validation rules. A source yields a ``Dataset`` triple of DataFrames.
 
 from __future__ import annotations
 
-import os
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,9 +38,12 @@ def _strings(cols: list[str]) -> T.StructType:
 
 
 def _with_seq(df: DataFrame) -> DataFrame:
-    """Arrival order: file name, then row position inside the file."""
+    """Arrival order: file name, then row position inside the file. The order of
+    the files comes from their names, not from how Spark groups them into tasks."""
+    order = F.from_json(F.lit(json.dumps({f: i for i, f in enumerate(sorted(df.inputFiles()))})), "map<string,bigint>")
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return (df.withColumn("_file", F.input_file_name())
-              .withColumn("seq", F.monotonically_increasing_id()))
+              .withColumn("seq", F.coalesce(F.element_at(order, F.col("_file")), F.lit(0)) * (1 << 33) + row))
 
 
 def _read_csv(spark: SparkSession, path: str, cols: list[str]) -> DataFrame | None:
@@ -55,11 +58,10 @@ def _read_csv(spark: SparkSession, path: str, cols: list[str]) -> DataFrame | No
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    if "://" not in path:
-        return os.path.exists(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    """Whether a path or glob names a file, asked of the file system that Spark reads."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
 
 
 def _items_from_text(df: DataFrame) -> DataFrame:

@@ -10,12 +10,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from typing import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rankfold import fixed
 from rankfold.operators import changes, validate
@@ -124,65 +121,6 @@ def stream_strength(spark: SparkSession, sf_dir: str, max_files: int | None = No
     return table.read()
 
 
-# --- R5 / R6: token bucket per client ------------------------------------------------------------
-
-THROTTLE_SCHEMA = "request_id long, client_id string, ts timestamp_ntz, allowed boolean, value int"
-STATE_SCHEMA = "tokens double, last_ts double"
-
-
-def _bucket_fn(capacity: float, rate: float, idle_s: float):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:  # R6: idle bucket expired
-            state.remove()
-            return
-        parts = [p for p in pdfs if len(p)]
-        if not parts:
-            return
-        pdf = pd.concat(parts).sort_values(["ts", "request_id"], kind="stable")
-        if state.exists:
-            tokens, last = state.get
-        else:
-            tokens, last = capacity, None
-        allowed, value = [], []
-        secs = pdf["ts"].astype("int64").to_numpy() / 1e9 if len(pdf) else []
-        for t in secs:
-            if last is not None:
-                tokens = min(capacity, tokens + (t - last) * rate)
-            last = t
-            if tokens >= 1:
-                tokens -= 1
-                allowed.append(True)
-                value.append(int(tokens))
-            else:
-                allowed.append(False)
-                value.append(int((1 - tokens) / rate))
-        state.update((float(tokens), float(last)))
-        state.setTimeoutTimestamp(int((last + idle_s) * 1000))
-        yield pd.DataFrame({"request_id": pdf["request_id"].to_numpy(), "client_id": key[0],
-                            "ts": pdf["ts"].to_numpy(), "allowed": allowed, "value": value})
-    return fn
-
-
-def throttle(spark: SparkSession, sf_dir: str, capacity: float = fixed.RATE_LIMIT_BURST,
-             per_window: int = fixed.RATE_LIMIT_REQUESTS, window_s: int = fixed.RATE_LIMIT_WINDOW_S,
-             idle_s: int = fixed.BUCKET_IDLE_EXPIRY_S, max_files: int | None = None) -> DataFrame:
-    """Token bucket per client on event time: allowed, and remaining tokens
-    (allowed) or retry-after seconds (refused). Keyed state holds two numbers
-    per client; idle buckets expire on an event-time timeout."""
-    rate = per_window / window_s
-    ship_package(spark)
-    req = V.requests_from_events(events_stream(spark, sf_dir, max_files)) \
-        .withColumn("event_time", F.col("ts").cast("timestamp")) \
-        .withWatermark("event_time", f"{idle_s} seconds") \
-        .select("request_id", "client_id", "ts", "event_time")
-    out = req.groupBy("client_id").applyInPandasWithState(
-        _bucket_fn(float(capacity), rate, float(idle_s)), THROTTLE_SCHEMA, STATE_SCHEMA, "append",
-        GroupStateTimeout.EventTimeTimeout)
-    path = _path(spark, "throttle")
-    run_available_now(out, "throttle", "append", out_path=path)
-    return spark.read.schema(THROTTLE_SCHEMA).parquet(path)
-
-
 # --- R1 / R2 / R7: micro-batch ingest and refresh -------------------------------------------------
 
 def ingest_interactions(stream: DataFrame, items_path: str, users_path: str, out_path: str,

@@ -69,17 +69,17 @@ def test_fallback_and_serve(spark, fix_items, fix_interactions):
     assert all(r.score == 0.5 and r.explanation == fixed.EXPLAIN_FALLBACK for r in fb)
     assert not {(r.user_id, r.item_id) for r in fb} & {(r.user_id, r.item_id) for r in touched.collect()}
     assert len([r for r in fb if r.user_id == "new"]) == 3
-    res = spark.createDataFrame([("u", 1, "movie_1", 1.7, "x"), ("u", 2, "book_1", 0.3, "x"),
-                                 ("u", 3, "gone", 0.2, "x"), ("u", 4, "movie_2", -0.1, "x")],
+    res = spark.createDataFrame([("u", 1, "mv_11", 1.7, "x"), ("u", 2, "bk_21", 0.3, "x"),
+                                 ("u", 3, "gone", 0.2, "x"), ("u", 4, "mv_12", -0.1, "x")],
                                 "user_id string, rank int, item_id string, score double, explanation string")
     served = sorted(B.serve(res, fix_items, 10, item_type="movie").collect(), key=lambda r: r.rank)
-    assert [r.item_id for r in served] == ["movie_1", "movie_2"]
+    assert [r.item_id for r in served] == ["mv_11", "mv_12"]
     assert served[0].score == 1.0 and served[1].score == 0.0
-    f = B.serve(res, fix_items, 10, filters={"director": "Wachowskis"}).collect()
-    assert [r.item_id for r in f] == ["movie_1"]
-    g = B.serve(res, fix_items, 10, filters={"year": 1965}).collect()
-    assert [r.item_id for r in g] == ["book_1"]
-    h = B.serve(res, fix_items, 10, filters={"year": "1965"}).collect()
+    f = B.serve(res, fix_items, 10, filters={"director": "I. Varga"}).collect()
+    assert [r.item_id for r in f] == ["mv_11"]
+    g = B.serve(res, fix_items, 10, filters={"year": 1952}).collect()
+    assert [r.item_id for r in g] == ["bk_21"]
+    h = B.serve(res, fix_items, 10, filters={"year": "1952"}).collect()
     assert h == []
 
 
@@ -93,11 +93,11 @@ def test_train_models_isolates_failures(spark, fix_items, fix_interactions):
 def test_dispatch_and_info(spark, models, fix_interactions):
     cm, km = models
     users = spark.createDataFrame([("user_1",)], "user_id string")
-    items = spark.createDataFrame([("movie_1",)], "item_id string")
+    items = spark.createDataFrame([("mv_11",)], "item_id string")
     liked = strength.liked_items(fix_interactions)
     touched = strength.touched_items(fix_interactions)
     sim = B.dispatch(cm, km, 3, items=items).collect()
-    assert sim and all(r.item_id == "movie_1" for r in sim)
+    assert sim and all(r.item_id == "mv_11" for r in sim)
     for strat, label in (("content_based", fixed.EXPLAIN_CONTENT), ("collaborative", fixed.EXPLAIN_COLLAB)):
         rows = B.dispatch(cm, km, 2, strat, users=users, liked=liked, exclude=touched).collect()
         assert rows and all(r.explanation == label and r.user_id == "user_1" for r in rows)

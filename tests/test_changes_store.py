@@ -15,7 +15,7 @@ from rankfold.sources.importer import import_dataset
 
 def test_insert_first_wins(spark, fix_items):
     batch = spark.createDataFrame(
-        [("movie_1", "dup", "movie", None, "{}", "{}", 1), ("new", "A", "book", None, "{}", "{}", 2),
+        [("mv_11", "dup", "movie", None, "{}", "{}", 1), ("new", "A", "book", None, "{}", "{}", 2),
          ("new", "B", "book", None, "{}", "{}", 3)],
         "item_id string, title string, item_type string, description string, features string, "
         "metadata string, seq long")
@@ -27,12 +27,12 @@ def test_insert_first_wins(spark, fix_items):
 
 
 def test_update_null_keeps(spark, fix_items):
-    upd = spark.createDataFrame([("movie_1", None, "new desc", 1), ("movie_1", "T2", None, 2)],
+    upd = spark.createDataFrame([("mv_11", None, "new desc", 1), ("mv_11", "T2", None, 2)],
                                 "item_id string, title string, description string, seq long")
     items = fix_items.withColumn("updated_at", F.col("created_at"))
     r = {x.item_id: x for x in U.update_items(items, upd).collect()}
-    assert r["movie_1"].title == "T2" and r["movie_1"].description == "new desc"
-    assert r["movie_2"].title == "Inception"
+    assert r["mv_11"].title == "T2" and r["mv_11"].description == "new desc"
+    assert r["mv_12"].title == "Night Ferry"
 
 
 def test_activate_unknown_version(spark):
@@ -56,11 +56,11 @@ def test_get_or_create_and_fk(spark, fix_items, fix_interactions):
 
 
 def test_delete(spark, fix_items, fix_interactions):
-    ids = spark.createDataFrame([("movie_1",)], "item_id string")
+    ids = spark.createDataFrame([("mv_11",)], "item_id string")
     soft, _ = U.delete_items(fix_items, ids)
-    assert {r.item_id for r in soft.where("NOT is_active").collect()} == {"movie_1"}
+    assert {r.item_id for r in soft.where("NOT is_active").collect()} == {"mv_11"}
     hard, inter = U.delete_items(fix_items, ids, fix_interactions, hard=True)
-    assert hard.count() == 4 and inter.where("item_id = 'movie_1'").count() == 0
+    assert hard.count() == 4 and inter.where("item_id = 'mv_11'").count() == 0
 
 
 def test_csv_reader_rules(spark, tmp_dir):
@@ -157,8 +157,31 @@ def test_record_interactions_and_pages(spark, fix_items, fix_interactions):
     rec = U.record_interactions(batch, fix_items).collect()
     assert len(rec) == 7 and all(r.interaction_id and r.timestamp is not None for r in rec)
     assert len({r.interaction_id for r in rec}) == 7
-    soft, _ = U.delete_items(fix_items, spark.createDataFrame([("book_2",)], "item_id string"))
-    assert "book_2" not in {r.item_id for r in L.active(soft).collect()}
+    soft, _ = U.delete_items(fix_items, spark.createDataFrame([("bk_22",)], "item_id string"))
+    assert "bk_22" not in {r.item_id for r in L.active(soft).collect()}
     page = L.page(fix_items, [F.col("created_at").desc(), F.col("item_id")], offset=1, limit=2,
                   where=F.col("item_type") == "movie").collect()
-    assert [r.item_id for r in page] == ["movie_2", "movie_3"]
+    assert [r.item_id for r in page] == ["mv_12", "mv_13"]
+
+
+def test_readers_take_globs_and_keep_file_order(spark, tmp_dir):
+    import os
+    from rankfold.sources import files
+
+    with open(os.path.join(tmp_dir, "a.csv"), "w") as f:
+        f.write("user_id,preferences\nu1,{}\n")
+    with open(os.path.join(tmp_dir, "b.csv"), "w") as f:
+        f.write("user_id,preferences\n" + "".join(f"v{i},{{}}\n" for i in range(5000)))
+    raw = files._read_csv(spark, os.path.join(tmp_dir, "*.csv"), ["user_id", "preferences"])
+    rows = [r.user_id for r in raw.orderBy("seq").select("user_id").collect()]
+    assert rows == ["u1"] + [f"v{i}" for i in range(5000)]
+    assert files._read_csv(spark, os.path.join(tmp_dir, "*.none"), ["user_id"]) is None
+
+
+def test_text_that_looks_falsy_is_kept(spark):
+    from pyspark.sql import functions as F
+    from rankfold.functions.jsonfields import truthy_text
+
+    rows = [('{"k":"0"}',), ('{"k":"false"}',), ('{"k":0}',), ('{"k":false}',), ('{"k":""}',), ("{}",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "j string").select(truthy_text(F.col("j"), "k")).collect()]
+    assert got == ["0", "false", None, None, None, None]

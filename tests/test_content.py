@@ -79,7 +79,7 @@ def test_recommend_from_liked(spark, fix_items, fix_interactions):
     ids = [it[0] for it in FIX_ITEMS]
     u1 = [r for r in recs if r.user_id == "user_1"]
     for r in u1:
-        liked_ids = ["movie_1", "movie_2", "book_1"]
+        liked_ids = ["mv_11", "mv_12", "bk_21"]
         want = np.mean([sim[ids.index(x), ids.index(r.item_id)] for x in liked_ids])
         assert abs(r.score - want) < 1e-9
 

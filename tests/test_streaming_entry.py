@@ -41,22 +41,6 @@ def test_running_stats_equals_batch(spark):
     assert as_text(got) == as_text(want)
 
 
-def test_throttle_burst(spark, tmp_dir):
-    """22 requests of one client in one second: 20 allowed (burst), then refused."""
-    ts = pd.Timestamp("2024-01-01 00:00:00")
-    rows = [{"event_id": i, "ts": ts + pd.Timedelta(milliseconds=10 * i), "user_id": 7, "event_type": "view",
-             "value": 1.0, "props": '{"k": 1}'} for i in range(22)]
-    rows.append({"event_id": 99, "ts": ts + pd.Timedelta(seconds=30), "user_id": 7, "event_type": "view",
-                 "value": 1.0, "props": '{"k": 1}'})
-    pdf = pd.DataFrame(rows)
-    pdf["ts"] = pdf["ts"].astype("datetime64[us]")
-    pdf.to_parquet(os.path.join(tmp_dir, "events.parquet"), index=False)
-    out = {r.request_id: (r.allowed, r.value) for r in streams.throttle(spark, tmp_dir).collect()}
-    assert [out[i][0] for i in range(22)] == [True] * 20 + [False, False]
-    assert out[19] == (True, 0) and out[20][1] >= 0
-    assert out[99][0] is True
-
-
 def test_entry_contract(spark):
     import __spark_entry__ as E
     df = E.entry(spark)

@@ -28,9 +28,9 @@ def fold(spark, rows):
 
 def test_fixture_strengths(spark, fix_interactions):
     got = {(r.user_id, r.item_id): r.strength for r in strength.strength_fold(fix_interactions).collect()}
-    assert got == {("user_1", "movie_1"): 0.7, ("user_1", "movie_2"): 0.7, ("user_1", "book_1"): 0.9,
-                   ("user_2", "movie_3"): 0.7, ("user_2", "movie_1"): 0.1, ("user_3", "movie_1"): 0.8,
-                   ("user_3", "book_2"): 1.0}
+    assert got == {("user_1", "mv_11"): 0.7, ("user_1", "mv_12"): 0.7, ("user_1", "bk_21"): 0.9,
+                   ("user_2", "mv_13"): 0.7, ("user_2", "mv_11"): 0.1, ("user_3", "mv_11"): 0.8,
+                   ("user_3", "bk_22"): 1.0}
 
 
 def test_edge_cases(spark):
