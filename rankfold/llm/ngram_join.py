@@ -24,10 +24,11 @@ two that are not both linked with the pivot p need at least
 
 (from |x - y| = s_x + s_y - 2 c, the bound (n_x + n_y) / 9 on it at 80 %, and
 |n_y - n_p| <= s_y; for other thresholds (1 - t) / (1 + t) takes the place of 1/9).
-So the same prefix filter runs on the differences, rarest first. What two members
-share there, plus all that the rest of either could add (less than its need), must
-reach (s_x + s_y - (n_x + n_y) / 9) / 2; the few pairs left are verified by their
-differences, again per fragment and summed per pair.
+So the same prefix filter runs on the differences, rarest first. A pair must share
+c = (s_x + s_y - (n_x + n_y) / 9) / 2 of them, so the first that it shares stands at
+least c - 1 places before the end of either list; pairs are joined on such places
+only, and the few left are verified by their differences, again per fragment and
+summed per pair.
 
 Fragments are chosen so that a set of n has more than D = n / 4 non-empty ones
 by many standard deviations (small sets: nearly one n-gram a fragment).
@@ -261,13 +262,15 @@ def _second_level(stars: DataFrame, sizes: DataFrame, comp: DataFrame, percent:
     of_member = Window.partitionBy("a", "b")
     prefix = shared.withColumn("own", F.col("s") - F.count(F.lit(1)).over(of_member)) \
         .withColumn("rn", F.row_number().over(of_member.orderBy("df", "e"))) \
-        .withColumn("m", F.greatest(F.lit(1), F.ceil(need - 1e-6))).where("rn + own <= s - m + 1")
-    x = prefix.select("a", "e", *[F.col(c).alias(c + "1") for c in ("b", "nb", "s", "m", "linked", "c")])
-    y = prefix.select("a", "e", *[F.col(c).alias(c + "2") for c in ("b", "nb", "s", "m", "linked", "c")])
+        .withColumn("m", F.greatest(F.lit(1), F.ceil(need - 1e-6))).withColumn("at", F.expr("rn + own")) \
+        .where("at <= s - m + 1")
+    # the first difference that two members share leaves room for all they must share
+    share = f"greatest(1, ceil((s1 + s2 - {g!r} * (nb1 + nb2)) / 2 - 1e-6))"
+    x = prefix.select("a", "e", *[F.col(c).alias(c + "1") for c in ("b", "nb", "s", "at", "linked", "c")])
+    y = prefix.select("a", "e", *[F.col(c).alias(c + "2") for c in ("b", "nb", "s", "at", "linked", "c")])
     pairs = x.join(y, ["a", "e"]).where("b1 < b2 and c1 <> c2 and not (linked1 and linked2)") \
+        .where(f"least(s1 - at1, s2 - at2) + 1 >= {share}") \
         .where(f"100 * least(nb1, nb2) >= {percent} * greatest(nb1, nb2)") \
-        .groupBy("b1", "b2", "nb1", "nb2", "a", "s1", "s2", "m1", "m2").agg(F.count(F.lit(1)).alias("k")) \
-        .where(F.col("k") + F.greatest("m1", "m2") - 1 + 1e-6 >= (F.expr("s1 + s2") - g * F.expr("nb1 + nb2")) / 2) \
         .groupBy("b1", "b2", "nb1", "nb2").agg(F.min(F.struct("a", "s1", "s2")).alias("p")) \
         .select("b1", "b2", "nb1", "nb2", "p.*")
     left = stars.select("a", F.col("b").alias("b1"), "part", F.col("diff").alias("d1"))
