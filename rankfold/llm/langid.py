@@ -10,8 +10,8 @@ that short texts, which are far from every centroid, are judged against training
 texts of the same length class.
 
 The model is fitted on a documented sample: at most ``SAMPLE`` labelled texts a
-language and ``SAMPLE_ALL`` in all (smallest hash of the id first), so one task fits it and the centroids
-are a few rows. Prediction is one pass over all texts without a shuffle.
+language and ``SAMPLE_ALL`` in all (smallest hash of the id first, one text an
+id), so one task fits it and the centroids are a few rows. Prediction is one pass over all texts without a shuffle.
 
 Null or letterless texts are ``und`` with score 0 (and rejected). Without any
 learned language every text is ``und``. Ties go to the language that sorts
@@ -33,6 +33,9 @@ DIMS = 1 << 13
 CENTROIDS = 3
 SAMPLE = 400
 SAMPLE_ALL = 1600
+#: the sample is ranked among this many times as many keys a language
+OVERSAMPLE = 8
+HASHES = 1 << 31
 ROUNDS = 12
 CHUNK = 1 << 20
 #: upper ends of the length classes (letters) with limits of their own
@@ -150,12 +153,23 @@ class Model:
 
 
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Fit on rows (key, text, lang); rows with a null language are left out."""
+    """Fit on rows (key, text, lang); rows with a null language or text are left out.
+
+    The sample is chosen by key alone: rows per language are counted, a share of the
+    hashes that holds several times ``SAMPLE`` keys of each language is let through,
+    and only those few are ranked. One text a key (the smallest) is then read."""
     rows = labelled.select(F.xxhash64(key).alias("h"), F.col(text).alias("text"), F.col(lang).alias("lang")) \
         .where("lang is not null and text is not null")
-    w = Window.partitionBy("lang").orderBy("h")
-    sample = rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= SAMPLE) \
-        .orderBy("rn", "lang").limit(SAMPLE_ALL).select("lang", "text")
+    keys = rows.select("lang", "h", F.pmod("h", F.lit(HASHES)).alias("u"))
+    # a sample of SAMPLE_ALL texts has room for so many languages at most
+    sizes = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_ALL)
+    few = keys.join(F.broadcast(sizes), "lang").where(F.col("u") * F.col("n").cast("double") < HASHES * OVERSAMPLE * SAMPLE) \
+        .select("lang", "u", "h").distinct()
+    w = Window.partitionBy("lang").orderBy("u", "h")
+    chosen = few.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= SAMPLE) \
+        .orderBy("rn", "lang").limit(SAMPLE_ALL).select("lang", "h")
+    sample = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")) \
+        .select("lang", "text")
     got = sample.coalesce(1).groupBy(F.lit(0).alias("g")).applyInPandas(
         _fit, "lang string, kind string, class int, vector array<double>")
     return Model(got.collect())
