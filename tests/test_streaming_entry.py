@@ -66,15 +66,54 @@ def test_micro_batch_ingest(spark, tmp_dir):
     stream = spark.readStream.schema(schema).parquet(src)
     fn = streams.ingest_interactions(stream, items_p, users_p, f"{tmp_dir}/out", f"{tmp_dir}/rej")
     streams.run_available_now(stream, "ingest-test", "append", fn)
-    assert [r.seq for r in spark.read.parquet(f"{tmp_dir}/out").collect()] == [1]
+    fn(spark.read.schema(schema).parquet(src), 0)  # the epoch once more
+    (row,) = spark.read.parquet(f"{tmp_dir}/out").collect()
+    assert row.seq == 1 and row.interaction_id and row.timestamp is not None
+    assert spark.read.parquet(users_p).count() == 2
+    assert spark.read.parquet(f"{tmp_dir}/rej").count() == 2
     rej = {r.seq: r.reason for r in spark.read.parquet(f"{tmp_dir}/rej").collect()}
     assert rej == {2: "unknown item", 3: "value range"}
     assert {r.user_id for r in spark.read.parquet(users_p).collect()} == {"u1", "u2"}
 
 
-def test_versioned_refresh(spark):
+def test_stream_restart(spark, tmp_dir):
+    """A second run with the same base folder reads only new files and ends at the batch result."""
+    ev = V.table(spark, SF001, "events").toPandas().sort_values("event_id")
+    src, n = f"{tmp_dir}/src", len(ev)
+    os.makedirs(src)
+    for j, part in enumerate([ev.iloc[:n // 2], ev.iloc[n // 2:]]):
+        part.to_parquet(f"{src}/events{j}.parquet", index=False, coerce_timestamps="us")
+        stream = streams.stream_strength(spark, src, base=f"{tmp_dir}/strength")
+        counts = streams.running_stats(spark, src, base=f"{tmp_dir}/stats")
+    raw = validate.valid_interactions(V.interactions_raw_v(spark, SF001))
+    cols = ["user_id", "item_id", "strength"]
+    want = _rows(strength.strength_fold(raw), cols)
+    assert _rows(stream, cols) == want
+    assert _rows(streams.stream_strength(spark, src, base=f"{tmp_dir}/strength"), cols) == want
+    epochs = spark.read.parquet(f"{tmp_dir}/strength/table").groupBy(streams.EPOCH).count().collect()
+    assert len(epochs) == 2 and all(r["count"] <= len(want) for r in epochs)
+    as_text = lambda df: sorted(str((r.kind, r.type, r.n)) for r in df.collect())
+    assert as_text(counts) == as_text(S.interaction_stats(raw))
+
+
+def test_versioned_table_replay_and_compaction(spark, tmp_dir):
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, v int")
+    t = streams.VersionedTable(spark, f"{tmp_dir}/t", ["k"])
+    assert t.read() is None
+    t.upsert(rows(("a", 1), ("b", 1)), 0)
+    for _ in range(2):
+        t.upsert(rows(("a", 2), ("c", 2)), 1)
+    again = streams.VersionedTable(spark, f"{tmp_dir}/t", ["k"])
+    assert _rows(again.read(), ["k", "v"]) == [("a", 2), ("b", 1), ("c", 2)]
+    assert _rows(again.read(before=1), ["k", "v"]) == [("a", 1), ("b", 1)]
+    small = again.compact(f"{tmp_dir}/t2", 1)
+    small.upsert(rows(("b", 3)), 2)
+    assert _rows(small.read(), ["k", "v"]) == [("a", 2), ("b", 3), ("c", 2)]
+
+
+def test_versioned_refresh(spark, tmp_dir):
     """Users with new interactions get their stored rows replaced."""
-    t = streams.VersionedTable(spark, "recs-test", ["user_id"])
+    t = streams.VersionedTable(spark, f"{tmp_dir}/recs", ["user_id"])
     t.upsert(spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "user_id string, rank int, item_id string"), 0)
     fn = streams.refresh_recommendations(
         t, lambda users: users.select("user_id", F.lit(1).alias("rank"), F.lit("new").alias("item_id")))
@@ -94,8 +133,10 @@ def test_item_ingest_first_wins_and_updates(spark, tmp_dir):
     schema = ("item_id string, title string, item_type string, description string, features string, "
               "metadata string, seq long")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    table = streams.VersionedTable(spark, "items-test", ["item_id"])
-    streams.run_available_now(stream, "items-ingest", "append", streams.ingest_items(table))
+    table = streams.VersionedTable(spark, f"{tmp_dir}/items", ["item_id"])
+    fn = streams.ingest_items(table)
+    streams.run_available_now(stream, "items-ingest", "append", fn)
+    fn(spark.read.schema(schema).parquet(f"{src}/p1.parquet"), 1)  # the epoch once more
     got = {r.item_id: r.title for r in table.read().collect()}
     assert got == {"a": "A-new", "b": "B", "c": "C"}
 
