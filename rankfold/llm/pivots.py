@@ -13,7 +13,10 @@ smallest vector it is connected with inside the cell. Copies of a vector (equal
 label and components) are one member with a weight and are never expanded.
 
 Pivots are a bounded sample (smallest hash first) whose number grows with the
-vectors per label so that lists stay short; every vector is indexed.
+vectors per label so that lists stay short; every vector is indexed. A sampled
+vector nearer than ``APART`` to an earlier pivot is no pivot: within a large group
+of near copies all nearest pivots would be members of the group, and noise would
+decide which. The lists of such a group are long and fall to the block cells.
 
 Labels that are null, and vectors that are null, empty, zero or hold null or
 non-finite components, link with nothing. Vectors of different length never
@@ -37,6 +40,10 @@ from rankfold.llm.vptree import usable
 LENGTH = 8
 SHARED = 2
 MIN_PIVOTS, MAX_PIVOTS = 64, 4096
+#: largest cosine of two pivots
+APART = 0.9
+#: vectors sampled for one pivot
+OVERSAMPLE = 2
 LIST_ROWS = 1024
 BLOCK_ROWS = 1024
 
@@ -59,6 +66,16 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         low = m
 
 
+def _apart(sample: np.ndarray, count: int) -> np.ndarray:
+    """The first ``count`` unit vectors no nearer than ``APART`` to one before them."""
+    out, n = np.empty((count, sample.shape[1])), 0
+    for x in sample:
+        if n < count and not (out[:n] @ x > APART).any():
+            out[n] = x
+            n += 1
+    return out[:n]
+
+
 def links(vectors: DataFrame, threshold: float = 0.98, key: str = "vec_id", vec: str = "embedding",
           label: str = "label") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, counts, edges): members (rep, h, w) of each distinct vector,
@@ -70,13 +87,14 @@ def links(vectors: DataFrame, threshold: float = 0.98, key: str = "vec_id", vec:
     members = materialise(good.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w")), "pm")
     n, n_labels = members.agg(F.count(F.lit(1)), F.countDistinct("label")).first()
     count = min(MAX_PIVOTS, max(MIN_PIVOTS, math.ceil(n * LENGTH / max(1, n_labels) / LIST_ROWS)))
-    rows = members.select("v").orderBy(F.xxhash64("v", F.lit(7))).limit(count).collect()
+    rows = members.select("v").orderBy(F.xxhash64("v", F.lit(7))).limit(count * OVERSAMPLE).collect()
     width = max((len(r["v"]) for r in rows), default=1)
-    pivots = np.zeros((len(rows), width))
+    sample = np.zeros((len(rows), width))
     for i, r in enumerate(rows):
-        pivots[i, :len(r["v"])] = np.asarray(r["v"]) / np.linalg.norm(r["v"])
+        sample[i, :len(r["v"])] = np.asarray(r["v"]) / np.linalg.norm(r["v"])
+    pivots = _apart(sample, count)
     shared_pivots = vectors.sparkSession.sparkContext.broadcast(pivots)
-    length = min(LENGTH, max(1, len(rows)))
+    length = min(LENGTH, max(1, len(pivots)))
     need = min(SHARED, length)
 
     def describe(batches):

@@ -154,3 +154,16 @@ def test_embedding_near_duplicates(spark):
     for i in ids - {5}:  # 5 is the repeated row
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (n[i], root[i], root[i] == i), i
     assert pivots.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
+
+
+def test_embedding_links_of_a_large_noisy_group_with_many_pivots(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 64))
+    x[:1000] = x[0] + rng.normal(size=(1000, 64)) * 0.1
+    monkeypatch.setattr(pivots, "LIST_ROWS", 24)  # 1,000 pivots
+    df = spark.createDataFrame([(i, v.tolist(), 1, "c") for i, v in enumerate(x)],
+                               "vec_id long, embedding array<double>, label int, rank string")
+    found = pivots.near_duplicates(df).agg(F.sum("n_links")).first()[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    true = int((x @ x.T >= 0.98).sum()) - len(x)
+    assert true > 100_000 and found >= 0.99 * true, (found, true)
