@@ -176,11 +176,6 @@ def classes(n: int, percent: int = PERCENT) -> list[tuple[int, int, int]]:
     return out
 
 
-def _parts(n: int) -> int:
-    """Fragments in which a set of the class of n is verified."""
-    return max(1, (1 << (n.bit_length() - 1)) // FRAGMENT_ROWS)
-
-
 def _info(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         cols: list[list] = [[], [], [], [], []]
@@ -216,15 +211,15 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, parts, part, seg) of the sets of the wanted classes, for either
-    number of parts that a pair may need."""
+    """(rep, parts, part, seg) of the sets of the wanted classes, for each number
+    of parts that one of their pivots asks for."""
     for b in batches:
         rep, parts, part, seg = [], [], [], []
-        for r, node, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), sets_of(b.column(2).to_pylist()),
-                              strict=True):
+        for r, node, cuts, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(),
+                                    sets_of(b.column(3).to_pylist()), strict=True):
             if not len(s) or set_id(s)[0] != node:
                 continue  # another text under the same id
-            for p in sorted({_parts(len(s)), _parts(max(1, -(-len(s) * PERCENT // 100)))}):
+            for p in cuts:
                 f = ((s >> U(32)) * U(p)) >> U(32)
                 for k, (lo, hi) in enumerate(zip(*[np.searchsorted(f, np.arange(p) + d) for d in (0, 1)], strict=True)):
                     rep.append(r)
@@ -312,19 +307,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         .join(sets, "nid").where("rn <= d + 1 - (t - s)")
     groups = prefix.groupBy("sig").agg(F.min(F.struct("rep", "n")).alias("p"), F.max("rep").alias("last")) \
         .where("p.rep <> last").select("sig", "p")
-    met = materialise(prefix.select("sig", "nid", "rep", "n", "flag").join(groups, "sig"), "nj-cand")
+    met = materialise(prefix.select("sig", "nid", "rep", "n").join(groups, "sig"), "nj-cand")
     smallest = met.groupBy("nid").agg(F.min("p").alias("p"))
     pivot = met.select("sig", "nid").join(smallest, "nid").groupBy("sig").agg(F.min("p").alias("pivot"))
-    lo = F.floor(F.pow(F.lit(2.0), F.floor(F.log2(F.col("n") + 0.5)))) / F.pow(F.lit(2.0), F.col("flag"))
+    # all members of a pivot are cut as the pivot's own class, in whichever classes they meet it
+    lo = F.pow(F.lit(2.0), F.floor(F.log2(F.col("pivot.n") + 0.5)))
     star = materialise(
         met.join(pivot, "sig").where("rep <> pivot.rep")
         .select(F.col("pivot.rep").alias("a"), F.col("pivot.n").alias("na"), F.col("rep").alias("b"), F.col("n").alias("nb"),
                 F.greatest(F.lit(1), (lo / FRAGMENT_ROWS).cast("int")).alias("parts")).distinct(), "nj-stars")
 
     # the sets of all that takes part, cut into fragments
-    wanted = star.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps.select("rep", "node"), "rep")
+    wanted = star.select(F.explode(F.array("a", "b")).alias("rep"), "parts") \
+        .groupBy("rep").agg(F.sort_array(F.collect_set("parts")).alias("cuts")).join(reps.select("rep", "node"), "rep")
     segments = materialise(
-        wanted.join(rows.select(F.col("doc_id").alias("rep"), "text"), "rep").select("rep", "node", "text").distinct()
+        wanted.join(rows.select(F.col("doc_id").alias("rep"), "text"), "rep").select("rep", "node", "cuts", "text").distinct()
         .mapInArrow(_segments, "rep long, parts int, part int, seg array<long>"), "nj-segments")
     right = segments.select(F.col("rep").alias("b"), "parts", "part", F.col("seg").alias("sb"))
     left = segments.select(F.col("rep").alias("a"), "parts", "part", F.col("seg").alias("sa"))

@@ -167,3 +167,23 @@ def test_embedding_links_of_a_large_noisy_group_with_many_pivots(spark, monkeypa
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     true = int((x @ x.T >= 0.98).sum()) - len(x)
     assert true > 100_000 and found >= 0.99 * true, (found, true)
+
+
+def test_join_of_long_documents_in_two_size_classes(spark):
+    rng = random.Random(8)
+    texts = []
+    for f, (n, changes) in enumerate([(9000, 160), (9000, 125), (9000, 100), (9600, 150), (18000, 320), (18000, 230), (8500, 195)]):
+        base = [f"f{f}w{i}" for i in range(n + 4)]
+        for c in range(2):
+            t = list(base)
+            for i in rng.sample(range(3, n, 7), changes * c):
+                t[i] = f"f{f}c{c}x{i}"
+            texts.append(" ".join(t))
+    # one pivot, members on both sides of a class boundary
+    base = [f"w{i}" for i in range(9000)]
+    for cut, seed, changes in ((9000, 1, 150), (9000, 2, 130), (8150, 2, 130), (8600, 3, 60), (8100, 3, 60)):
+        t, r = list(base), random.Random(seed)
+        for i in r.sample(range(3, 8000, 7), changes):
+            t[i] = f"s{seed}x{i}"
+        texts.append(" ".join(t[:cut]))
+    check_join(spark, texts)
