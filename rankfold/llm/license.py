@@ -5,9 +5,9 @@ join and no shuffle, so a hot source or repeated rows cost nothing extra.
 
 1. A text becomes its words (runs of digits, letters and non-ASCII characters,
    A-Z lower-cased), each with a blank on both sides.
-2. Keyword prefilter: plain substring searches for a few stems; a text without
-   one is done (its words are only counted). In the others the anchor words of
-   the rules are looked for, and an anchor leads to its rules.
+2. Keyword prefilter: every rule needs one of its anchor words, which are taken
+   from the words that its pattern requires. Plain substring searches look for
+   all anchors; an anchor leads to its rules, a text without any is done.
 3. Each of those rules (a regular expression over words) marks all its places.
 4. Suppression: places are visited by start, longest first; a place inside an
    earlier one whose rule has the same or a higher priority is dropped.
@@ -32,11 +32,7 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-#: every rule needs one of these substrings; a text without any is done
-STEMS = ["licen", "reserved", "copyright", "domain", "creative", "cc", "clause", "attribution", "permission",
-         "warrant", "proprietary", "redistribution"]
-
-#: (label, anchor word, names, short names); a name is a sequence of word patterns,
+#: (label, preferred anchor word, names, short names); a name is a sequence of word patterns,
 #: ``?`` after a word makes it optional
 FAMILIES = [
     ("apache-2.0", "apache", ["apache software? license version? 2 0?"], ["apache 2 0?", "apache2"]),
@@ -107,7 +103,7 @@ FRAMES = [
     (1, 0.7, "S licensed?"),
 ]
 
-#: (label, anchor, priority, confidence, pattern): notices that name no license
+#: (label, preferred anchor, priority, confidence, pattern): notices that name no license
 NOTICES = [
     ("reserved", "reserved", 1, 0.9, "all rights reserved"),
     ("reserved", "reserved", 1, 0.8, "(some|no) rights reserved"),
@@ -130,14 +126,34 @@ NOTICES = [
 ]
 
 
+def _tokens(pattern: str) -> list[tuple[str, bool]]:
+    """(token, optional) of a pattern over words."""
+    out = []
+    for token in re.findall(r"\([^)]*\)\??|\S+", pattern):
+        optional = token.endswith("?") and (token.startswith("(") or "?" not in token[:-1]) and len(token) > 1
+        out.append((token[:-1] if optional else token, optional))
+    return out
+
+
+def anchors_of(pattern: str, wish: str) -> list[str]:
+    """Words of which every match of the pattern holds at least one: one word of
+    each alternative of a required token (the one with ``wish``, if there is any)."""
+    choices = []
+    for core, optional in _tokens(pattern):
+        alts = [alt.split() for alt in core[1:-1].split("|")] if core.startswith("(") else [[core]]
+        plain = [[w for w in alt if re.fullmatch(r"\w+", w)] for alt in alts]
+        if not optional and all(plain):
+            words = sorted({wish if wish in alt else max(alt, key=len) for alt in plain})
+            choices.append((wish not in words, len(words), -min(map(len, words)), words))
+    return min(choices)[-1]
+
+
 def words_regex(pattern: str) -> str:
     """Pattern over words -> regular expression over ' w1  w2 ... ' (a blank on
     both sides of every word). ``x?`` and ``(a b)?`` are optional, ``.*`` is any
     one word; the expression runs the same in Java and in RE2."""
     out = []
-    for token in re.findall(r"\([^)]*\)\??|\S+", pattern):
-        optional = token.endswith("?") and (token.startswith("(") or "?" not in token[:-1]) and len(token) > 1
-        core = token[:-1] if optional else token
+    for core, optional in _tokens(pattern):
         if core.startswith("("):
             alts = ["".join(f" {w} " for w in alt.split()) for alt in core[1:-1].split("|")]
             one = "(?:" + "|".join(alts) + ")"
@@ -148,22 +164,30 @@ def words_regex(pattern: str) -> str:
 
 
 def rules() -> list[dict]:
-    """All rules, in order: one per family, frame and name, then the notices.
-    A name is found by its family's anchor word, a short name by its first word."""
+    """All rules, in order: one per family, frame and name, then the notices; a rule
+    with several anchors is listed under each. A name is found by its family's anchor
+    word where it requires it, a short name by its first word."""
     out = []
+
+    def add(text: str, wish: str, **rule) -> None:
+        out.extend({"pattern": words_regex(text), "anchor": f" {a} ", **rule} for a in anchors_of(text, wish))
+
     for label, anchor, names, shorts in FAMILIES:
         for priority, confidence, frame in FRAMES:
             short = "S" in frame.split()
             for name in (shorts if short else names):
                 text = " ".join(name if w in ("N", "S") else w for w in frame.split())
                 lead = re.split(r"[ ?]", name)[0] if short else anchor
-                out.append({"pattern": words_regex(text), "anchor": f" {lead} ", "label": label,
-                            "priority": priority, "confidence": confidence})
-    out += [{"pattern": words_regex(p), "anchor": f" {a} ", "label": lb, "priority": pr, "confidence": c}
-            for lb, a, pr, c, p in NOTICES]
+                add(text, lead, label=label, priority=priority, confidence=confidence)
+    for label, anchor, priority, confidence, text in NOTICES:
+        add(text, anchor, label=label, priority=priority, confidence=confidence)
     return out
 
 
+#: the anchor words of all rules; a text without any is done
+STEMS = sorted({r["anchor"].strip() for r in rules()})
+
+
 def normalised(text: Column) -> Column:
     """' w1  w2 ... ' of a text; empty without words."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -192,7 +216,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     ``spans`` holds the detections left after suppression (start word, end word,
     label, priority, confidence)."""
     table = rules()
-    anchors = sorted({r["anchor"] for r in table})
+    anchors = [f" {w} " for w in STEMS]
     # a literal, folded once when the query is planned
     by_anchor = F.from_json(
         F.lit(json.dumps({a: [r for r in table if r["anchor"] == a] for a in anchors})),
@@ -202,13 +226,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     # the one-element explode keeps a costly value from being computed again
     # inside every expression that uses it
-    low = docs.select(key, F.explode(F.array(F.struct(
-        F.col(text).alias("text"), F.lower(F.col(text)).alias("low")))).alias("t"))
-    gated = low.select(
-        key, F.size(F.array_remove(F.split(F.coalesce("t.text", F.lit("")), NOT_WORD), "")).cast("long").alias("n_words"),
-        F.explode(F.array(F.when(F.greatest(*[F.coalesce(F.contains("t.low", F.lit(x)), F.lit(False)) for x in STEMS]),
-                                 normalised(F.col("t.text"))).otherwise(F.lit("")))).alias("norm"))
-    found = gated.select(key, "n_words", "norm", F.when(F.col("norm") != "", F.filter(
+    gated = docs.select(key, F.explode(F.array(normalised(F.col(text)))).alias("norm"))
+    n_words = F.when(F.col("norm") == "", F.lit(0)).otherwise(
+        (F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit("  "), F.lit("")))) / 2 + 1).cast("long")
+    found = gated.select(key, n_words.alias("n_words"), "norm", F.when(F.col("norm") != "", F.filter(
         F.array(*[F.when(F.contains("norm", F.lit(a)), F.lit(a)) for a in anchors]),
         lambda a: a.isNotNull())).otherwise(F.array().cast("array<string>")).alias("kws"))
     norm = F.col("norm")

@@ -159,3 +159,42 @@ def test_quality(spark):
     assert {r["score"] for r in quality.score(stats.limit(5), empty).collect()} == {0.5}
     x, y = quality.isotonic(np.arange(5.0), np.array([0, 1, 0, 1, 1.0]), np.ones(5))
     assert list(x) == [0, 0, 1, 2, 3, 4] and list(y) == [0, 0, 0.5, 0.5, 1, 1]
+
+
+def plain_scan(text):
+    import re
+    norm = "".join(f" {w} " for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()))
+    found = set()
+    for r in license.rules():
+        for m in re.finditer(r["pattern"], norm):
+            start = len(norm[:m.start()].split())
+            found.add((start, -start - len(m[0].split()), -r["priority"], r["label"], r["confidence"]))
+    kept = []
+    for d in sorted(found):
+        if not any(k[1] <= d[1] and k[2] <= d[2] for k in kept):
+            kept.append(d)
+    return ",".join(sorted({d[3] for d in kept} | set(filter(None, plain_base(text)[4].split(","))))), \
+        max((d[4] for d in kept), default=0.0)
+
+
+def test_license_prefilter_loses_no_rule(spark):
+    rng = random.Random(6)
+    texts = ["Distributed under GPLv2", "released under Apache 2.0", "MPL 2.0", "MS-PL", "see 0BSD", "MIT-0", "licenced under x",
+             "GNU Library General Public License version 2", "licensed under the x", "copyrighted material",
+             "Creative Commons Attribution NonCommercial NoDerivatives"]
+    named = [n for _, _, names, shorts in license.FAMILIES for n in names + shorts]
+    named += [p for *_, p in license.NOTICES]
+    named += [f.replace(" N", f" {names[0]}").replace("S", shorts[0]) for _, _, f in license.FRAMES
+              for _, _, names, shorts in license.FAMILIES]
+    for p in named:
+        for keep in (0, 0.5, 1):
+            words = []
+            for core, optional in license._tokens(p):
+                if not optional or rng.random() < keep:
+                    words.append(rng.choice(core[1:-1].split("|")) if core.startswith("(") else core)
+            texts.append("xx " + " ".join(words).replace(r"\d{4}", "1999").replace(r"\d", "4").replace(".*", "zz")
+                         .replace("[cs]", "c").replace("v?", rng.choice(["v", ""])) + " yy")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license.scan(docs(spark, texts)).collect()}
+    wrong = [(t, got[i], plain_scan(t)) for i, t in enumerate(texts) if got[i] != plain_scan(t)]
+    assert not wrong, (len(wrong), len(texts), wrong[:8])
+    assert all(got[i][0] for i in range(11))
