@@ -7,7 +7,7 @@ cells), weighted sqrt(tf) * idf and normalised. Each learned language has up to
 centroid with the largest cosine. Its score is that cosine. A text is
 ``rejected`` when the distance 1 - cosine exceeds the language's limit, set so
 that short texts, which are far from every centroid, are judged against training
-texts of the same length class.
+texts, or pieces cut from them, of the same length class.
 
 The model is fitted on a documented sample: at most ``SAMPLE`` labelled texts a
 language and ``SAMPLE_ALL`` in all (smallest hash of the id first, one text an
@@ -40,8 +40,12 @@ ROUNDS = 12
 CHUNK = 1 << 20
 #: upper ends of the length classes (letters) with limits of their own
 CLASSES = (32, 128, 512)
-#: a text is rejected beyond this multiple of the class's largest training distance
+#: a text is rejected beyond this multiple of this quantile of the class's training
+#: distances, or half-way from the quantile to 1 where that is less
 SLACK = 1.25
+QUANTILE = 0.99
+#: a class with fewer texts is judged by pieces of that length, then by all languages
+MIN_TEXTS = 100
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 
 
@@ -95,6 +99,36 @@ def _length_class(letters: np.ndarray) -> np.ndarray:
     return np.searchsorted(np.asarray(CLASSES), letters, side="left")
 
 
+def _piece_counts(texts: list[str], k: int) -> list[np.ndarray]:
+    """Counts of a piece of each text with as many letters as length class ``k`` has."""
+    if k == len(CLASSES):
+        return []  # a text that gave a piece would be of the class itself
+    lo, hi = max(8, CLASSES[k - 1] if k else 0), CLASSES[k]
+    out = []
+    for i, t in enumerate(texts):
+        size = int(1.2 * (lo + (hi - lo) * (i % 8 + 0.5) / 8))
+        at = max(0, (len(t) - size) // 2)
+        g, n = gram_counts(t[at:at + size])
+        if n and _length_class(np.array([n]))[0] == k:
+            out.append(g)
+    return out
+
+
+def _limits(far: dict[str, list[np.ndarray]]) -> dict[str, list[float]]:
+    """Largest accepted distance by language and length class."""
+    out = {}
+    for name, by_class in far.items():
+        limits: list = []
+        for k, d in enumerate(by_class):
+            if len(d) < MIN_TEXTS:
+                d = np.concatenate([x[k] for x in far.values()])
+            q = float(np.quantile(d, QUANTILE)) if len(d) else None
+            limits.append(limits[-1] if q is None and limits else q and min(SLACK * q, (1 + q) / 2))
+        first = next((x for x in limits if x is not None), 1.0)
+        out[name] = [first if x is None else x for x in limits]
+    return out
+
+
 def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["lang", "text"])
     got = [gram_counts(t) for t in pdf["text"]]
@@ -107,17 +141,21 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
     v = _unit(np.sqrt(x) * idf)
     rows = [("", "idf", 0, idf)]
+    texts = pdf["text"].to_numpy()[keep]
+    distances = {}
     for name in sorted(set(lang)):
         own = v[lang == name]
         c = _cluster(own, CENTROIDS)
         far = 1 - (own @ c.T).max(1)
         rows += [(name, "centroid", j, row) for j, row in enumerate(c)]
         of = _length_class(letters[lang == name])
-        limit = [min(1.0, SLACK * float(far[of >= k].max())) if (of >= k).any() else 1.0
-                 for k in range(len(CLASSES) + 1)]
-        # a class without training texts of its own is judged by no limit
-        limit = [lim if (of == k).sum() >= 20 else 1.0 for k, lim in enumerate(limit)]
-        rows.append((name, "limit", 0, np.asarray(limit)))
+        by_class = [far[of == k] for k in range(len(CLASSES) + 1)]
+        for k, d in enumerate(by_class):
+            cut = _piece_counts(list(texts[lang == name]), k) if len(d) < MIN_TEXTS else []
+            if cut:
+                by_class[k] = np.concatenate([d, 1 - (_unit(np.sqrt(np.stack(cut)) * idf) @ c.T).max(1)])
+        distances[name] = by_class
+    rows += [(name, "limit", 0, np.asarray(x)) for name, x in _limits(distances).items()]
     return pd.DataFrame([(a, b, c, [float(z) for z in d]) for a, b, c, d in rows], columns=cols)
 
 

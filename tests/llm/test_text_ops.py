@@ -198,3 +198,17 @@ def test_license_prefilter_loses_no_rule(spark):
     wrong = [(t, got[i], plain_scan(t)) for i, t in enumerate(texts) if got[i] != plain_scan(t)]
     assert not wrong, (len(wrong), len(texts), wrong[:8])
     assert all(got[i][0] for i in range(11))
+
+
+def test_language_limits_reject_unlearned_languages(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    odd = "Η γλώσσα αυτή δεν περιέχεται στα κείμενα από τα οποία έμαθε το μοντέλο. "
+    hindi = "यह भाषा उन पाठों में नहीं है जिनसे मॉडल ने सीखा है। "
+    one = d.limit(1).select(F.lit(-5).cast("long").alias("doc_id"), F.lit(hindi).alias("text"), "lang")
+    model = langid.fit(d.select("doc_id", "text", "lang").unionByName(one))
+    assert (model.limits < 1).all(), model.limits
+    texts = [odd[:24], odd[:60], odd * 4, odd * 40]
+    assert [r["rejected"] for r in langid.predict(docs(spark, texts).select("doc_id", "text"), model)
+            .orderBy("doc_id").collect()] == [True] * 4, model.limits
+    short = d.select("doc_id", F.substring("text", 1, 60).alias("text"))
+    assert langid.predict(short, model).where("rejected").count() <= 0.03 * d.count()
