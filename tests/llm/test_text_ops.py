@@ -212,3 +212,14 @@ def test_language_limits_reject_unlearned_languages(spark):
             .orderBy("doc_id").collect()] == [True] * 4, model.limits
     short = d.select("doc_id", F.substring("text", 1, 60).alias("text"))
     assert langid.predict(short, model).where("rejected").count() <= 0.03 * d.count()
+
+
+def test_packing_document_and_attention_capacities_bind(spark):
+    parts = packing.pieces(docs(spark, ["a b c"] * 40), vocabulary())
+
+    def sequences(**capacities):
+        rows = packing.pack(parts, **capacities).select("sequence_id", "length").collect()
+        assert {r["length"] for r in rows} == {4}
+        return len({r["sequence_id"] for r in rows})
+
+    assert (sequences(), sequences(max_docs=4), sequences(max_attention=64.0)) == (1, 10, 10)
