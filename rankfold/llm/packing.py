@@ -16,7 +16,8 @@ its own, longest piece first. A group leaves about one sequence that is not
 full, a share of 1/1000 to 1/2000.
 
 Null text counts as empty (a piece of one end id); an empty table gives an empty
-table; repeated rows are packed as often as they appear.
+table; repeated rows are packed as often as they appear; a text of any length is
+encoded whole, by one task.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankfold.llm.bpe import SPLIT, byte_alphabet
+from rankfold.llm.bpe import SPLIT, byte_alphabet, codec
 from rankfold.llm.common import materialise
 
 CAPACITY = 1024
@@ -57,17 +58,25 @@ def encoder(path: str) -> tiktoken.Encoding:
     return _ENCODERS[path]
 
 
+def token_ids(text: str, path: str) -> np.ndarray:
+    """Ids of a text. The encoder's pattern engine gives up on a run of about half a
+    million blanks; such a text goes through the codec of operator 4 (equal ids)."""
+    try:
+        return encoder(path).encode_to_numpy(text, allowed_special="all")
+    except ValueError:
+        return np.frombuffer(codec(path).encode(text), "<u4")
+
+
 def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
            capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(key, piece int, start long, length long, ids_crc32 long) per piece."""
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
         for b in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, t in enumerate(b.column(1)):
-                ids = np.append(enc.encode_to_numpy(t.as_py() or "", allowed_special="all"), end_id).astype("<u4")
+                ids = np.append(token_ids(t.as_py() or "", path), end_id).astype("<u4")
                 cuts = [0, *range((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity)]
                 for k in range(len(cuts) - 1):
                     row.append(i)

@@ -18,8 +18,10 @@ and shard leave a cell; a window keeps the k best.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no
 part; vectors are compared with those of the same length. Equal scores go to the
-smaller id. Fewer than k candidates give fewer rows. Repeated rows (same id and
-vector) count as one candidate; an empty table gives an empty table.
+smaller id, also where more vectors than k are tied: a query with a tie at its k-th
+product is searched exactly. Fewer than k candidates give fewer rows. Repeated rows
+(same id and vector) count as one candidate; an id with several vectors is a candidate
+with each and a query with the smallest; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -71,38 +73,70 @@ class Tree:
         self.order[lo:hi] = own[part]
         return lo, hi, (vp, float(d[part[mid]]), self._build(lo, lo + mid), self._build(lo + mid, hi))
 
-    def search(self, q: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(distance squared, row) arrays of shape (queries, k); row -1: none."""
-        self.dist = np.full((len(q), k), np.inf)
-        self.row = np.full((len(q), k), -1)
-        self.q, self.k, self.factor = q, k, factor
+    def search(self, q: np.ndarray, k: int, factor: float, order: np.ndarray,
+               wanted: int | None = None) -> np.ndarray:
+        """Rows of the k largest inner products of every query, shape (queries, k), in
+        no order; -1: none. Equal products: smaller ``order`` first. A query whose
+        ``wanted``-th product is tied is searched again with factor 1, as halves that
+        the relaxed rule skips may hold more of the tie."""
+        own = self.x[:, :q.shape[1]]
+        self.q, self.k, self.order_of, self.plain = q, k, order, own
         self.q2 = (q * q).sum(1)
-        self.x2 = (self.x * self.x).sum(1)
-        self._descend(self.root, np.arange(len(q)))
-        return self.dist, self.row
+        self.m2 = float((self.x * self.x).sum(1).max(initial=0.0))
+        self.tol = 1e-12 * np.sqrt(self.q2 * self.m2)
+        self.dot = np.full((len(q), k), -np.inf)
+        self.row = np.full((len(q), k), -1)
+        self.bound = np.full(len(q), -np.inf)
+        self.crowded = np.zeros(len(q), bool)
+        everyone = np.arange(len(q))
+        self.factor = factor
+        self._descend(self.root, everyone)
+        if factor < 1:
+            at = -np.sort(-self.dot, axis=1)
+            last = min(wanted or k, k) - 1
+            near = (np.abs(at - at[:, last:last + 1]) <= self.tol[:, None]) & np.isfinite(at)
+            again = everyone[self.crowded | (near.sum(1) > 1)]
+            self.bound[again] = at[again, k - 1]
+            self.dot[again], self.row[again], self.factor = -np.inf, -1, 1.0
+            self._descend(self.root, again)
+        return self.row
+
+    def _take(self, who: np.ndarray, own: np.ndarray) -> None:
+        """Offers the rows ``own`` to the queries ``who``."""
+        s = np.hstack([self.dot[who], self.q[who] @ self.plain[own].T])
+        rows = np.hstack([self.row[who], np.broadcast_to(own, (len(who), len(own)))])
+        if s.shape[1] > self.k:
+            best = np.argpartition(-s, self.k - 1, axis=1)[:, :self.k]
+            kth = np.take_along_axis(s, best, 1).min(1)
+            near = s >= (kth - self.tol[who])[:, None]
+            tied = np.flatnonzero(np.isfinite(kth) & (near.sum(1) > self.k))
+            for i in tied:
+                c = np.flatnonzero(near[i])
+                exact = (self.q[who[i]] * self.plain[rows[i, c]]).sum(1)
+                best[i] = c[np.lexsort((self.order_of[rows[i, c]], -exact))[:self.k]]
+            self.crowded[who[tied]] = True
+            s, rows = np.take_along_axis(s, best, 1), np.take_along_axis(rows, best, 1)
+        self.dot[who], self.row[who] = s, rows
 
     def _descend(self, node, who: np.ndarray) -> None:
         lo, hi, inner = node
         if not len(who):
             return
         if inner is None:
-            own = self.order[lo:hi]
-            d = np.maximum(self.q2[who, None] + self.x2[own] - 2 * (self.q[who] @ self.x[own].T), 0)
-            d = np.hstack([self.dist[who], d])
-            rows = np.hstack([self.row[who], np.broadcast_to(own, (len(who), len(own)))])
-            if d.shape[1] > self.k:
-                best = np.argpartition(d, self.k - 1, axis=1)[:, :self.k]
-                d, rows = np.take_along_axis(d, best, 1), np.take_along_axis(rows, best, 1)
-            self.dist[who], self.row[who] = d, rows
+            self._take(who, self.order[lo:hi])
             return
         vp, median, near, far = inner
-        d = np.sqrt(np.maximum(self.q2[who] + self.x2[vp] - 2 * (self.q[who] @ self.x[vp]), 0))
+        x2 = float(self.x[vp] @ self.x[vp])
+        d = np.sqrt(np.maximum(self.q2[who] + x2 - 2 * (self.q[who] @ self.plain[vp]), 0))
         inside = d <= median
         for first, second, side in ((near, far, inside), (far, near, ~inside)):
             mine, gap = who[side], np.abs(d[side] - median)
             self._descend(first, mine)
-            radius = np.sqrt(self.dist[mine].max(1))
-            self._descend(second, mine[gap <= self.factor * radius])
+            kth = np.maximum(self.dot[mine].min(1), self.bound[mine]) - self.tol[mine]
+            span = self.q2[mine] + self.m2
+            radius = np.sqrt(np.maximum(span - 2 * kth, 0))
+            # a bound that equals the radius is never skipped, whatever was rounded
+            self._descend(second, mine[gap <= self.factor * radius + 1e-7 * np.sqrt(span)])
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vec: str = "embedding",
@@ -121,7 +155,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
         "v", F.lit(0.0), lambda a, x: a + x * x)).alias("m2")).first()
     n, m2 = info["n"], info["m2"] or 0.0
     shards = max(1, math.ceil(n / shard_rows))
-    queries = good.where(F.coalesce("isq", F.lit(False))).select("id", "v", "dim").dropDuplicates(["id"])
+    queries = good.where(F.coalesce("isq", F.lit(False))).groupBy("id").agg(F.min("v").alias("v")) \
+        .withColumn("dim", F.size("v"))
     blocks = max(1, math.ceil(queries.count() / QUERY_ROWS))
 
     def cell(group: tuple, q: pa.Table, c: pa.Table) -> pa.Table:
@@ -132,9 +167,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
         qm, cm = _matrix(q["v"]), _matrix(c["v"])
         extra = np.sqrt(np.maximum(m2 - (cm * cm).sum(1), 0))
         tree = Tree(np.hstack([cm, extra[:, None]]))
-        # a few more than k: the query itself may be among them, and near ties
-        # are settled by the exact scores below
-        _, rows = tree.search(np.hstack([qm, np.zeros((len(qm), 1))]), min(len(cm), k + 5), factor)
+        # a few more than k: the query itself may be among them, and products that
+        # differ in the last places are settled by the exact scores below
+        first_id = c["ids"].combine_chunks()
+        order = first_id.flatten().to_numpy()[first_id.offsets.to_numpy()[:-1] - first_id.offsets[0].as_py()]
+        rows = tree.search(qm, min(len(cm), k + 6), factor, order, k + 1)
         qi = np.repeat(np.arange(len(qm)), rows.shape[1])
         ri = rows.ravel()
         qi, ri = qi[ri >= 0], ri[ri >= 0]

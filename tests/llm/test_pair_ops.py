@@ -132,6 +132,31 @@ def test_nearest_is_exact_at_factor_one(spark):
     assert vptree.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_nearest_settles_ties_by_id(spark):
+    rng = np.random.default_rng(7)
+    flat = [(0, [1.0, 0.0], None, 0)] + [(j, [1.0, float(j)], None, 0) for j in range(1, 401)]
+    coarse = [(i, [float(x) for x in rng.integers(-2, 3, 6)], None, 0) for i in range(3000)]
+    coarse[40] = (40, coarse[41][1], None, 0)
+    coarse += [coarse[20], (20, [2.0] * 6, None, 0)]  # a repeated row, an id with two vectors
+    for rows in (flat, coarse):
+        df = spark.createDataFrame(rows, VECTORS)
+        each = sorted({(i, tuple(v)) for i, v, _, _ in rows if usable(v)})
+        query = {}
+        for i, v in each:
+            if i % 20 == 0:
+                query.setdefault(i, v)  # the smallest
+        ids, m = np.array([i for i, _ in each]), np.array([v for _, v in each])
+        for factor in (0.35, 1.0):
+            got = {}
+            for r in vptree.search(df, F.col("vec_id") % 20 == 0, 20, factor=factor, shard_rows=700).collect():
+                got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+            assert set(got) == set(query)
+            for i, v in query.items():
+                s = m @ np.array(v)
+                best = [k for k in np.lexsort((ids, -s)) if ids[k] != i][:20]
+                assert [(b, c) for _, b, c in sorted(got[i])] == [(ids[k], s[k]) for k in best]
+
+
 def test_nearest_recall_of_the_production_factor(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     a = {(r[0], r[2]) for r in vptree.search(df, F.col("vec_id") % 20 == 0).collect()}

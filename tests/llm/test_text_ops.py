@@ -45,6 +45,13 @@ def test_bpe_equals_library(spark, tokenizer):
     assert {r[0]: r[1] for r in bpe.decode(ids, vocabulary()).collect()} == {i: t or "" for i, t in enumerate(texts[:6])}
 
 
+def test_packing_takes_long_blank_runs(spark):
+    texts = ["a" + " " * 600_000 + "b", "\n" * 700_000, " \t" * 300_000 + "<|endoftext|>x"]
+    parts = packing.pieces(docs(spark, texts), vocabulary()).groupBy("doc_id").agg(F.sum("length").alias("n"))
+    ids = {r["doc_id"]: r["n_tokens"] for r in bpe.encode(docs(spark, texts), vocabulary()).collect()}
+    assert {r["doc_id"]: r["n"] for r in parts.collect()} == {i: n + 1 for i, n in ids.items()}
+
+
 def test_packing_pieces_and_capacities(spark, tokenizer):
     texts = ODD + ["word " * 3000, "a b c", "a b c"]
     parts = packing.pieces(docs(spark, texts), vocabulary())
