@@ -1,30 +1,40 @@
-"""Blocked top-n vector product.
-
-Given query vectors and candidate vectors, return for every query the k
-candidates with the largest dot product, ordered by (score rounded to 9
-places desc, candidate id asc).
-
-Plan (no row-level pair is ever materialised as a Spark row):
-  1. both sides are hashed into blocks of at most ``rows_per_block`` rows;
-  2. each (query block, candidate block) cell is a cogroup group: the query
-     rows of that block meet the candidate rows of that block (each side is
-     replicated once per block of the other side, the classic block-matrix
-     product); group size is bounded by the block size, not by the data;
-  3. inside the group NumPy computes the block product and keeps the top k
-     per query row (Arrow batches in, k rows per query out);
-  4. a Spark window merges the per-block top-k lists into the global top k.
-
-Exact: the per-block top-k uses the same total order as the final merge.
-Vectors are either dense (array<double>) or sparse (parallel arrays
-``idx`` array<bigint>, ``val`` array<double>).
+"""Pruned exact top-n by dot product.
+
+For every query vector, the k candidates with the largest dot product, in the order
+(score rounded to 9 places descending, candidate id ascending).
+
+Plan: queries and candidates are dealt into a grid of cells. The number of cells
+follows the cluster's parallelism, not the rows; query parts and candidate shards
+divide it so that the copies shuffled (candidates x query parts + queries x shards)
+are fewest. Only a shard that would not fit a task's memory (``SHARD_ROWS``) makes more
+shards. One exchange brings the rows of a cell together (``repartitionById``, sorted by
+cell, side and k), a task holds its shard as flat arrays and streams the queries past
+it, and at most k rows per query leave a cell. A window merges the shards' lists.
+No pair of rows is ever a Spark row.
+
+Inside a cell candidates lie in blocks of similar vectors, and a block is skipped for
+every query whose bound for the block is below its k-th score so far:
+
+* dense: blocks are bands of similar norm, cut further between far points; by
+  Cauchy-Schwarz q.c <= |q| largest norm and q.c <= q.centre + |q| radius, the smaller
+  one counts;
+* sparse: candidates are sorted by their heaviest features; a block keeps the maximum
+  weight of each feature, and q.c <= sum |q_f| max |c_f| over the features.
+
+Blocks with the largest bounds come first, so the k-th scores rise early. The bounds
+are exact, hence so is the result; ``pruning`` reports the share of pairs skipped.
+
+Vectors are dense (``val`` array<double>) or sparse (parallel ``idx`` array<bigint>,
+``val`` array<double>, an index at most once a row).
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,201 +42,403 @@ from rankfold import fixed
 from rankfold.session import ship_package
 
 OUT_SCHEMA = "qid string, cid string, score double, key double, rank int, k long, kb long"
+STAT_SCHEMA = "cell int, queries long, candidates long, pairs long, scored long"
+#: candidates that a task may hold
+SHARD_ROWS = 1 << 18
+#: rows of a block, queries compared at once, kept entries of those queries at most
+LEAF, QUERY_ROWS, QUERY_ENTRIES = 128, 1024, 1 << 21
+#: pairs that are worth a cell of their own
+CELL_PAIRS = 1 << 21
+#: a rounded score can exceed the raw one by half a unit of the last place
+SLACK = 1e-9
 
 
-def _blocks(n: int, rows_per_block: int) -> int:
-    return max(1, math.ceil(n / rows_per_block))
-
-
-def _matrix(pdf: pd.DataFrame, dense: bool, cols: np.ndarray | None):
-    """Rows of a group as a dense matrix (sparse rows remapped onto ``cols``)."""
-    if dense:
-        if len(pdf) == 0:
-            return np.zeros((0, 0))
-        return np.vstack([np.asarray(v, dtype=np.float64) for v in pdf["val"].to_numpy()])
-    m = np.zeros((len(pdf), len(cols)))
-    lens = np.fromiter((len(v) for v in pdf["idx"].to_numpy()), dtype=np.int64, count=len(pdf))
-    if lens.sum() == 0:
-        return m
-    rows = np.repeat(np.arange(len(pdf)), lens)
-    idx = np.concatenate([np.asarray(v, dtype=np.int64) for v in pdf["idx"].to_numpy()])
-    val = np.concatenate([np.asarray(v, dtype=np.float64) for v in pdf["val"].to_numpy()])
-    m[rows, np.searchsorted(cols, idx)] = val  # feature ids are unique within a row
-    return m
-
-
-def _coo(pdf: pd.DataFrame, cols: np.ndarray):
-    """Sparse rows as (row, column position, value) sorted by column."""
-    lens = np.fromiter((len(v) for v in pdf["idx"].to_numpy()), dtype=np.int64, count=len(pdf))
-    if lens.sum() == 0:
-        z = np.zeros(0, dtype=np.int64)
-        return z, z, np.zeros(0)
-    rows = np.repeat(np.arange(len(pdf)), lens)
-    idx = np.concatenate([np.asarray(v, dtype=np.int64) for v in pdf["idx"].to_numpy()])
-    val = np.concatenate([np.asarray(v, dtype=np.float64) for v in pdf["val"].to_numpy()])
-    col = np.searchsorted(cols, idx)
-    o = np.argsort(col, kind="stable")
-    return rows[o], col[o], val[o]
-
-
-def _sparse_product(q: pd.DataFrame, c: pd.DataFrame, cols: np.ndarray) -> np.ndarray | None:
-    """Q C' by an inverted index over the shared columns: cost sum_f |Q_f| |C_f|
-    instead of |Q| |C| |cols|. Returns None when the dense product is cheaper."""
-    rq, cq, vq = _coo(q, cols)
-    rc, cc, vc = _coo(c, cols)
-    u = len(cols)
-    nq = np.bincount(cq, minlength=u)
-    nc = np.bincount(cc, minlength=u)
-    # measured: a fancy-indexed update costs ~400x a BLAS multiply-add, and each
-    # shared column adds ~1e5 multiply-adds worth of Python overhead
-    shared = (nq > 0) & (nc > 0)
-    sparse_cost = float((nq * nc).sum()) * 400.0 + 1e5 * float(shared.sum())
-    if sparse_cost >= float(len(q)) * len(c) * u:
-        return None
-    s = np.zeros((len(q), len(c)))
-    bq = np.concatenate([[0], np.cumsum(nq)])
-    bc = np.concatenate([[0], np.cumsum(nc)])
-    for f in np.nonzero(shared)[0]:
-        a, b = slice(bq[f], bq[f + 1]), slice(bc[f], bc[f + 1])
-        s[np.ix_(rq[a], rc[b])] += np.outer(vq[a], vc[b])  # rows are unique within a column
-    return s
-
-
-def _select(s: np.ndarray, ks: np.ndarray, places: int, min_score: float | None):
-    """Per row, the ks[row] best columns by (score rounded to ``places`` desc,
-    column asc); -inf entries never; rounded score must exceed ``min_score``.
-
-    A linear-time partition finds each row's threshold on the raw scores;
-    only entries within 1e-9 of it (every entry that can round to or above
-    it) are rounded and sorted, so the order is exact including ties.
-    Returns (row, col, position, rounded key)."""
-    bq, bc = s.shape
-    kmax = int(min(ks.max(), bc))
-    if kmax < bc:
-        part = np.argpartition(-s, kmax - 1, axis=1)[:, :kmax]
-        kth = np.take_along_axis(s, part, axis=1).min(axis=1)
-        mask = s >= (kth - 1e-9)[:, None]
-    else:
-        mask = np.ones_like(s, dtype=bool)
-    mask &= np.isfinite(s)
-    r, c = np.nonzero(mask)
-    key = np.round(s[r, c], places)
-    if min_score is not None:
-        ok = key > min_score
-        r, c, key = r[ok], c[ok], key[ok]
-    o = np.lexsort((c, -key, r))
-    r, c, key = r[o], c[o], key[o]
-    starts = np.searchsorted(r, np.arange(bq))
-    pos = np.arange(len(r)) - starts[r]
-    keep = pos < ks[r]
-    return r[keep], c[keep], pos[keep], key[keep]
-
-
-def _make_group_fn(dense: bool, exclude_self: bool, min_score: float | None, places: int):
-    def fn(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"qid": pd.Series([], dtype=object), "cid": pd.Series([], dtype=object),
-                              "score": pd.Series([], dtype=np.float64),
-                              "key": pd.Series([], dtype=np.float64),
-                              "rank": pd.Series([], dtype=np.int32), "k": pd.Series([], dtype=np.int64),
-                              "kb": pd.Series([], dtype=np.int64)})
-        if len(q) == 0 or len(c) == 0:
-            return empty
-        c = c.sort_values("cid", kind="stable").reset_index(drop=True)
-        s = None
-        if dense:
-            qm, cm = _matrix(q, True, None), _matrix(c, True, None)
-        else:
-            cols = np.unique(np.concatenate(
-                [np.asarray(v, dtype=np.int64) for v in q["idx"].to_numpy()]
-                + [np.asarray(v, dtype=np.int64) for v in c["idx"].to_numpy()]
-                + [np.zeros(0, dtype=np.int64)]))
-            s = _sparse_product(q, c, cols)
-            if s is None:
-                qm, cm = _matrix(q, False, cols), _matrix(c, False, cols)
-        if s is None:
-            s = qm @ cm.T
-        qids = q["qid"].to_numpy()
-        cids = c["cid"].to_numpy()
-        if exclude_self:
-            at = {cid: j for j, cid in enumerate(cids)}
-            hit = [(i, at[x]) for i, x in enumerate(qids) if x in at]
-            if hit:
-                hi = np.array(hit)
-                s[hi[:, 0], hi[:, 1]] = -np.inf
-        ks = q["k"].to_numpy().astype(np.int64)
-        if min(int(ks.max()), len(c)) <= 0:
-            return empty
-        r, j, pos, key = _select(s, ks, places, min_score)
-        return pd.DataFrame({"qid": qids[r], "cid": cids[j], "score": s[r, j], "key": key,
-                             "rank": (pos + 1).astype(np.int32), "k": ks[r],
-                             "kb": q["kb"].to_numpy().astype(np.int64)[r]})
-    return fn
+class Rows:
+    """Row vectors as flat arrays; dense ones all have the same length."""
 
+    def __init__(self, val: np.ndarray, idx: np.ndarray | None, start: np.ndarray):
+        self.val, self.idx, self.start = val, idx, start
 
-def top_n_dot(queries: DataFrame, cands: DataFrame, n: int | str, *,
-              dense: bool, exclude_self: bool = False, min_score: float | None = None,
-              exclude: DataFrame | None = None, rows_per_block: int = 2048,
-              min_groups: int | None = None, n_cands: int | None = None) -> DataFrame:
-    """Top-k candidates per query by dot product.
+    def __len__(self) -> int:
+        return len(self.start) - 1
 
-    queries: columns qid, and val (dense) or idx, val (sparse); optional k column.
-    cands:   columns cid, and the same vector columns.
-    n:       k for every query, or the name of a per-query k column.
-    n_cands: the candidate row count when the caller knows it (saves a job).
-    exclude: optional (qid, cid) pairs that must not be returned. Each
-             (query, candidate block) cell over-fetches by the number of its
-             excluded pairs that fall in that block (a small aggregate joined
-             to the query rows), and the pairs are anti-joined afterwards, so
-             the result is exact without shipping exclusion lists anywhere.
-    Returns (qid, cid, score, rank) with rank 1..k.
-    """
+    @property
+    def matrix(self) -> np.ndarray:
+        return self.val.reshape(len(self), -1) if len(self) else self.val.reshape(0, 0)
+
+    def norms(self) -> np.ndarray:
+        return np.sqrt(np.bincount(self.row_of(), self.val * self.val, len(self)))
+
+    def row_of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), np.diff(self.start))
+
+    def take(self, rows: np.ndarray) -> Rows:
+        if self.idx is None:
+            m = self.matrix[rows]
+            return Rows(m.ravel(), None, np.arange(len(rows) + 1) * m.shape[1])
+        size = np.diff(self.start)[rows]
+        start = np.concatenate([[0], np.cumsum(size)])
+        at = np.arange(start[-1]) + np.repeat(self.start[:-1][rows] - start[:-1], size)
+        return Rows(self.val[at], self.idx[at], start)
+
+
+def _flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    offsets = column.offsets.to_numpy()
+    return values, offsets - offsets[0]
+
+
+def _rows(table: pa.Table, dense: bool) -> Rows:
+    val, start = _flat(table["val"])
+    return Rows(np.asarray(val, np.float64), None if dense else np.asarray(_flat(table["idx"])[0], np.int64),
+                start.astype(np.int64))
+
+
+class DenseShard:
+    def __init__(self, rows: Rows, leaf: int):
+        x = rows.matrix
+        self.order, cuts = self._split(x, leaf)
+        self.x = x[self.order]
+        self.cuts = np.array(cuts)
+        pairs = list(zip(cuts, cuts[1:]))
+        self.centre = np.array([self.x[a:b].mean(0) for a, b in pairs]).reshape(len(pairs), -1)
+        self.radius = np.array([np.sqrt(((self.x[a:b] - c) ** 2).sum(1).max()) for (a, b), c in zip(pairs, self.centre)])
+        self.norm = np.array([np.sqrt((self.x[a:b] ** 2).sum(1).max()) for a, b in pairs])
+
+    @staticmethod
+    def _split(x: np.ndarray, leaf: int) -> tuple[np.ndarray, list[int]]:
+        """Bands of similar norm, each cut along the line between two far points, down to
+        ``leaf`` rows: in the middle of that line, or at the median if that leaves a small
+        side."""
+        band = np.floor(2 * np.log2(np.sqrt((x * x).sum(1)) + 1e-100))
+        order, cuts = np.argsort(-band, kind="stable"), [0]
+        edges = [0, *(np.flatnonzero(np.diff(band[order])) + 1).tolist(), len(x)]
+        todo = list(zip(edges, edges[1:]))
+        while todo:
+            a, b = todo.pop()
+            if b - a <= leaf:
+                cuts.append(b)
+                continue
+            own = order[a:b]
+            y = x[own]
+            one = y[((y - y.mean(0)) ** 2).sum(1).argmax()]
+            two = y[((y - one) ** 2).sum(1).argmax()]
+            along = y @ (two - one)
+            by = np.argsort(along, kind="stable")
+            mid = int(np.searchsorted(along[by], (one + two) @ (two - one) / 2))
+            mid = mid if 8 * min(mid, b - a - mid) >= b - a else (b - a) // 2
+            order[a:b] = own[by]
+            todo += [(a, a + mid), (a + mid, b)]
+        return order, sorted(cuts)
+
+    def prepare(self, q: Rows) -> tuple[np.ndarray, np.ndarray]:
+        m = q.matrix
+        size = np.sqrt((m * m).sum(1))[:, None]
+        return m, np.minimum(m @ self.centre.T + size * self.radius, size * self.norm) + 1e-12 * size * self.norm
+
+    def scores(self, q: np.ndarray, rows: np.ndarray, a: int, b: int) -> np.ndarray:
+        return (q if len(rows) == len(q) else q[rows]) @ self.x[a:b].T
+
+
+class SparseShard:
+    """Candidates as rows over the columns that the shard has."""
+
+    def __init__(self, rows: Rows, leaf: int):
+        row = rows.row_of()
+        heavy = np.lexsort((rows.idx, -np.abs(rows.val), row))
+        first = np.zeros((3, len(rows)), np.int64)  # the three heaviest features
+        size = np.diff(rows.start)
+        for k in range(3):
+            has = size > k
+            first[k, has] = rows.idx[heavy[rows.start[:-1][has] + k]]
+        self.order = np.lexsort(first[::-1])
+        self.rows = rows.take(self.order)
+        self.columns, self.col = np.unique(self.rows.idx, return_inverse=True)
+        self.cuts = np.array([*range(0, len(rows), leaf), len(rows)]) if len(rows) else np.array([0])
+        block = np.repeat(np.arange(len(self.cuts) - 1), np.diff(self.rows.start[self.cuts]))
+        cell = block * len(self.columns) + self.col
+        by = np.argsort(cell, kind="stable")
+        at = np.flatnonzero(np.diff(cell[by], prepend=-1))
+        self.most = (cell[by][at] // max(1, len(self.columns)), cell[by][at] % max(1, len(self.columns)),
+                     np.maximum.reduceat(np.abs(self.rows.val[by]), at) if len(at) else np.zeros(0))
+
+    def prepare(self, q: Rows) -> tuple[tuple, np.ndarray]:
+        """Queries over the shard's columns: (row starts, columns, values), and bounds."""
+        at = np.searchsorted(self.columns, q.idx)
+        at[at == len(self.columns)] = 0
+        known = self.columns[at] == q.idx if len(self.columns) else np.zeros(len(q.idx), bool)
+        row, col, val = q.row_of()[known], at[known], q.val[known]
+        start = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(q)))])
+        bound = product((start, col, np.abs(val)), *self.most, len(self.cuts) - 1, len(self.columns))
+        return (start, col, val), bound * (1 + 1e-12)
+
+    def scores(self, q: tuple, rows: np.ndarray, a: int, b: int) -> np.ndarray:
+        start, col, val = q
+        if len(rows) < len(start) - 1:
+            size = np.diff(start)[rows]
+            cut = np.concatenate([[0], np.cumsum(size)])
+            at = np.arange(cut[-1]) + np.repeat(start[:-1][rows] - cut[:-1], size)
+            start, col, val = cut, col[at], val[at]
+        lo, hi = self.rows.start[a], self.rows.start[b]
+        own = np.repeat(np.arange(b - a), np.diff(self.rows.start[a:b + 1]))
+        return product((start, col, val), own, self.col[lo:hi], self.rows.val[lo:hi], b - a, len(self.columns))
+
+
+def product(q: tuple, row: np.ndarray, col: np.ndarray, val: np.ndarray, n: int, width: int) -> np.ndarray:
+    """Queries (starts, columns, values) times n sparse rows (row, col, val). Columns that
+    many queries have go through a dense product, the others pair by pair."""
+    start, qcol, qval = q
+    m = len(start) - 1
+    qrow = np.repeat(np.arange(m), np.diff(start))
+    nq, nc = np.bincount(qcol, minlength=width), np.bincount(col, minlength=width)
+    # measured: a pair costs about as much as 40 multiply-adds of the dense product
+    common = np.flatnonzero(40 * nq * nc > m * n)
+    out = np.zeros((m, n))
+    place = np.full(width, -1)
+    place[common] = np.arange(len(common))
+    if len(common):
+        qd, cd = np.zeros((m, len(common))), np.zeros((n, len(common)))
+        x, y = place[qcol] >= 0, place[col] >= 0
+        qd[qrow[x], place[qcol[x]]] = qval[x]
+        cd[row[y], place[col[y]]] = val[y]
+        out = qd @ cd.T
+    rare = (place < 0) & (nq > 0) & (nc > 0)
+    y = rare[col]
+    if y.any():
+        by = np.argsort(qcol, kind="stable")
+        first = np.concatenate([[0], np.cumsum(nq)])
+        times = nq[col[y]]
+        cut = np.concatenate([[0], np.cumsum(times)])
+        at = by[np.arange(cut[-1]) + np.repeat(first[col[y]] - cut[:-1], times)]
+        flat = qrow[at] * n + np.repeat(row[y], times)
+        out += np.bincount(flat, qval[at] * np.repeat(val[y], times), m * n).reshape(m, n)
+    return out
+
+
+class Best:
+    """The best entries of some queries so far, and the key below which nothing counts."""
+
+    def __init__(self, k: np.ndarray, place: np.ndarray, min_score: float | None):
+        self.k, self.place, self.min_score = k, place, min_score
+        self.floor = np.full(len(k), -np.inf if min_score is None else min_score + 1.5 * SLACK)
+        self.kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        self.pending: list[tuple] = []
+
+    def offer(self, rows: np.ndarray, s: np.ndarray, a: int) -> None:
+        """Scores of the queries ``rows`` against the candidates from ``a`` on."""
+        ok = s >= (self.floor[rows] - SLACK)[:, None]
+        many = np.flatnonzero(ok.sum(1) > 2 * self.k[rows])
+        if len(many):  # the block alone has k better ones
+            k = int(self.k[rows[many]].max())
+            if k < s.shape[1]:
+                kth = np.partition(s[many], s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+                self.floor[rows[many]] = np.maximum(self.floor[rows[many]], kth)
+                ok[many] = s[many] >= (self.floor[rows[many]] - SLACK)[:, None]
+        r, c = np.nonzero(ok & np.isfinite(s))
+        if len(r):
+            self.pending.append((rows[r], c + a, s[r, c]))
+            if sum(len(p[0]) for p in self.pending) > max(4096, int(self.k.sum())):
+                self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(query, candidate, score, key, position) of the best entries, in order."""
+        row, col, score = (np.concatenate(x) for x in zip(self.kept, *self.pending))
+        self.pending = []
+        key = np.round(score, fixed.RANK_PLACES)
+        if self.min_score is not None:
+            ok = key > self.min_score
+            row, col, score, key = row[ok], col[ok], score[ok], key[ok]
+        o = np.lexsort((self.place[col], -key, row))
+        row, col, score, key = row[o], col[o], score[o], key[o]
+        pos = np.arange(len(row)) - np.searchsorted(row, np.arange(len(self.k)))[row]
+        ok = pos < self.k[row]
+        row, col, score, key, pos = row[ok], col[ok], score[ok], key[ok], pos[ok]
+        full = pos == self.k[row] - 1
+        self.floor[row[full]] = np.maximum(self.floor[row[full]], key[full])
+        self.kept = (row, col, score)
+        return row, col, score, key, pos
+
+
+class Cell:
+    """The shard of one cell, and the queries that pass it."""
+
+    def __init__(self, table: pa.Table, dense: bool, exclude_self: bool, min_score: float | None, leaf: int):
+        self.dense, self.min_score = dense, min_score
+        rows = _rows(table, dense)
+        self.shard = (DenseShard if dense else SparseShard)(rows, leaf)
+        self.ids = table["id"].combine_chunks().take(pa.array(self.shard.order))
+        plain = self.ids.to_numpy(zero_copy_only=False)
+        self.place = np.empty(len(plain), np.int64)
+        self.place[np.argsort(plain, kind="stable")] = np.arange(len(plain))
+        self.at = {x: i for i, x in enumerate(plain)} if exclude_self else {}
+        self.queries = self.pairs = self.scored = 0
+
+    def search(self, table: pa.Table) -> pa.RecordBatch:
+        k = table["k"].to_numpy().astype(np.int64)
+        q, bound = self.shard.prepare(_rows(table, self.dense))
+        best = Best(k, self.place, self.min_score)
+        own = np.array([self.at.get(x, -1) for x in table["id"].to_pylist()]) if self.at else None
+        cuts = self.shard.cuts
+        for j in np.argsort(-bound.max(0), kind="stable") if len(k) else []:
+            a, b = int(cuts[j]), int(cuts[j + 1])
+            rows = np.flatnonzero(bound[:, j] >= best.floor - SLACK)
+            if not len(rows):
+                continue
+            s = self.shard.scores(q, rows, a, b)
+            if own is not None:
+                hit = np.flatnonzero((own[rows] >= a) & (own[rows] < b))
+                s[hit, own[rows[hit]] - a] = -np.inf
+            best.offer(rows, s, a)
+            self.scored += len(rows) * (b - a)
+        self.queries += len(k)
+        self.pairs += len(k) * len(self.ids)
+        row, col, score, key, pos = best.settle()
+        take = pa.array(row)
+        return pa.RecordBatch.from_arrays(
+            [table["id"].combine_chunks().take(take), self.ids.take(pa.array(col)), pa.array(score), pa.array(key),
+             pa.array((pos + 1).astype(np.int32)), table["k"].combine_chunks().take(take),
+             table["kb"].combine_chunks().take(take)], names=["qid", "cid", "score", "key", "rank", "k", "kb"])
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, pa.Table]]:
+    """Consecutive rows of one (cell, side)."""
+    cell, side = batch.column("cell").to_numpy(), batch.column("side").to_numpy()
+    edges = np.flatnonzero((np.diff(cell) != 0) | (np.diff(side) != 0)) + 1
+    for a, b in zip([0, *edges], [*edges, batch.num_rows]):
+        if b > a:
+            yield int(cell[a]), int(side[a]), pa.Table.from_batches([batch.slice(a, b - a)])
+
+
+def _portions(table: pa.Table) -> Iterator[pa.Table]:
+    """Queries in portions whose kept entries stay within bounds (sorted by k)."""
+    a, k = 0, table["k"].to_numpy()
+    while a < len(k):
+        b = min(len(k), a + QUERY_ROWS)
+        while b > a + 1 and int(k[b - 1]) * (b - a) > QUERY_ENTRIES:
+            b = a + max(1, (b - a) // 2)
+        yield table.slice(a, b - a)
+        a = b
+
+
+def _task(dense: bool, exclude_self: bool, min_score: float | None, leaf: int, report: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, waiting, cell = None, [], None
+
+        def stats(number: int, c: Cell) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([number], pa.int32())] + [pa.array([x], pa.int64()) for x in
+                                                    (c.queries, len(c.ids), c.pairs, c.scored)],
+                names=["cell", "queries", "candidates", "pairs", "scored"])
+
+        for batch in batches:
+            for number, side, rows in _runs(batch):
+                if number != now:
+                    if report and cell is not None:
+                        yield stats(now, cell)
+                    now, waiting, cell = number, [], None
+                if side == 0:
+                    waiting.append(rows)
+                    continue
+                if cell is None and waiting:
+                    cell = Cell(pa.concat_tables(waiting), dense, exclude_self, min_score, leaf)
+                    waiting = []
+                if cell is not None:
+                    for portion in _portions(rows):
+                        found = cell.search(portion)
+                        if not report:
+                            yield found
+        if report and cell is not None:
+            yield stats(now, cell)
+
+    return run
+
+
+def grid(n_queries: int, n_cands: int, cells: int, shard_rows: int = SHARD_ROWS) -> tuple[int, int]:
+    """(query parts, candidate shards): about ``cells`` together, fewest copies shuffled."""
+    cells = max(1, min(cells, math.ceil(n_queries * n_cands / CELL_PAIRS)))
+    shards = min(cells, max(1, round(math.sqrt(cells * n_cands / n_queries))))
+    shards = max(shards, math.ceil(n_cands / shard_rows))
+    return max(1, min(cells // shards, n_queries)), shards
+
+
+def _cells(queries: DataFrame, cands: DataFrame, n: int | str, dense: bool, exclude: DataFrame | None,
+           cells: int | None, n_cands: int | None, shard_rows: int):
+    """The rows of all cells, dealt and sorted; the number of shards; the exclusions."""
     spark = queries.sparkSession
     ship_package(spark)
     vec = ["val"] if dense else ["idx", "val"]
     k_col = F.col(n) if isinstance(n, str) else F.lit(int(n))
     # fresh aliases: queries and candidates are often the same table (self product)
-    q = queries.select(F.col("qid").alias("qid"), *[F.col(v).alias(v) for v in vec],
+    q = queries.select(F.col("qid").alias("id"), *[F.col(v).alias(v) for v in vec],
                        k_col.cast("long").alias("kb")).where(F.col("kb") > 0)
-    c = cands.select(F.col("cid").alias("cid"), *[F.col(v).alias(v) for v in vec])
-    # only the row count is needed to size the blocks: count a pruned
-    # projection (vector columns are never built for it)
-    nq = q.select("qid").count()
-    nc = n_cands if n_cands is not None else c.count()
+    c = cands.select(F.col("cid").alias("id"), *[F.col(v).alias(v) for v in vec])
+    # only the row counts are needed: vector columns are never built for them
+    nq = q.select("id").count()
+    nc = n_cands if n_cands is not None else c.select("id").count()
     if nq == 0 or nc == 0:
-        return spark.createDataFrame([], "qid string, cid string, score double, rank int")
-    QB, CB = _blocks(nq, rows_per_block), _blocks(nc, rows_per_block)
-    par = min_groups or spark.sparkContext.defaultParallelism
-    if QB * CB < par:  # split queries further so every core has a group
-        QB = max(QB, min(math.ceil(par / CB), max(1, nq // 16)))
-    qx = (q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(QB)))
-           .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(CB - 1)).cast("array<bigint>"))))
+        return None, 0, None
+    parts, shards = grid(nq, nc, cells or 2 * spark.sparkContext.defaultParallelism, shard_rows)
+    shard_of = lambda x: F.pmod(F.xxhash64(x), F.lit(shards)).cast("int")
+    qx = q.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")) \
+        .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     ex = None
     if exclude is not None:
         ex = exclude.select(F.col("qid").alias("qid"), F.col("cid").alias("cid")).distinct()
-        per_cell = (ex.withColumn("cb", F.pmod(F.xxhash64("cid"), F.lit(CB)))
-                    .groupBy("qid", "cb").agg(F.count(F.lit(1)).alias("n_ex")))
-        qx = qx.join(per_cell, ["qid", "cb"], "left") \
-            .withColumn("k", F.col("kb") + F.coalesce(F.col("n_ex"), F.lit(0))).drop("n_ex")
+        # a cell fetches as many more as it holds excluded pairs of the query
+        more = ex.groupBy(F.col("qid").alias("id"), shard_of("cid").alias("shard")).agg(F.count(F.lit(1)).alias("more"))
+        qx = qx.join(more, ["id", "shard"], "left").withColumn("k", F.col("kb") + F.coalesce("more", F.lit(0)))
     else:
         qx = qx.withColumn("k", F.col("kb"))
-    cx = (c.withColumn("cb", F.pmod(F.xxhash64("cid"), F.lit(CB)))
-           .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(QB - 1)).cast("array<bigint>"))))
-    fn = _make_group_fn(dense, exclude_self, min_score, fixed.RANK_PLACES)
-    # The groups are few and compute-heavy but small in bytes, so adaptive
-    # execution would coalesce them onto a few tasks. A fixed-count
-    # repartition on the group key is left alone by AQE and already satisfies
-    # the cogroup's distribution (no second exchange).
-    n_parts = QB * CB * 2
-    qx = qx.repartition(n_parts, "qb", "cb")
-    cx = cx.repartition(n_parts, "qb", "cb")
-    per_block = (qx.groupBy("qb", "cb").cogroup(cx.groupBy("qb", "cb"))
-                 .applyInPandas(fn, OUT_SCHEMA))
-    if CB == 1 and ex is None:
-        # one candidate block: each query's list is already global and ranked
-        return per_block.drop("k", "kb", "key")
+    cx = c.withColumn("shard", shard_of("id")) \
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    at = (F.col("part") * shards + F.col("shard")).alias("cell")
+    zero = F.lit(0).cast("long")
+    both = cx.select(at, F.lit(0).alias("side"), "id", *vec, zero.alias("k"), zero.alias("kb")) \
+        .unionByName(qx.select(at, F.lit(1).alias("side"), "id", *vec, "k", "kb"))
+    return both.repartitionById(parts * shards, "cell").sortWithinPartitions("cell", "side", "k"), shards, ex
+
+
+def top_n_dot(queries: DataFrame, cands: DataFrame, n: int | str, *,
+              dense: bool, exclude_self: bool = False, min_score: float | None = None,
+              exclude: DataFrame | None = None, cells: int | None = None,
+              n_cands: int | None = None, leaf: int = LEAF, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Top-k candidates per query by dot product.
+
+    queries: columns qid, and val (dense) or idx, val (sparse); optional k column.
+    cands:   columns cid, and the same vector columns.
+    n:       k for every query, or the name of a per-query k column.
+    n_cands: the candidate row count when the caller knows it (saves a job).
+    cells:   size of the grid (default: twice the parallelism).
+    exclude: optional (qid, cid) pairs that must not be returned. Each
+             (query, shard) cell over-fetches by the number of its excluded
+             pairs that fall in that shard (a small aggregate joined to the
+             query rows), and the pairs are anti-joined afterwards, so the
+             result is exact without shipping exclusion lists anywhere.
+    Returns (qid, cid, score, rank) with rank 1..k.
+    """
+    dealt, shards, ex = _cells(queries, cands, n, dense, exclude, cells, n_cands, shard_rows)
+    if dealt is None:
+        return queries.sparkSession.createDataFrame([], "qid string, cid string, score double, rank int")
+    found = dealt.mapInArrow(_task(dense, exclude_self, min_score, leaf, False), OUT_SCHEMA)
+    if shards == 1 and ex is None:
+        # one shard: each query's list is already global and ranked
+        return found.drop("k", "kb", "key")
     if ex is not None:
-        per_block = per_block.join(ex, ["qid", "cid"], "left_anti")
-    # merge per-block lists on the same (rounded key desc, id asc) order
+        found = found.join(ex, ["qid", "cid"], "left_anti")
+    # merge the shards' lists on the same (rounded key desc, id asc) order
     w = Window.partitionBy("qid").orderBy(F.col("key").desc(), F.col("cid"))
-    return (per_block.withColumn("rank", F.row_number().over(w))
+    return (found.withColumn("rank", F.row_number().over(w))
             .where(F.col("rank") <= F.col("kb")).drop("k", "kb", "key"))
+
+
+def pruning(queries: DataFrame, cands: DataFrame, n: int | str, *, dense: bool, exclude_self: bool = False,
+            min_score: float | None = None, exclude: DataFrame | None = None, cells: int | None = None,
+            leaf: int = LEAF, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """What ``top_n_dot`` does for the same arguments: (cell, queries, candidates, pairs,
+    scored), one row a cell; ``pairs - scored`` were skipped by a bound."""
+    dealt, _, _ = _cells(queries, cands, n, dense, exclude, cells, None, shard_rows)
+    if dealt is None:
+        return queries.sparkSession.createDataFrame([], STAT_SCHEMA)
+    return dealt.mapInArrow(_task(dense, exclude_self, min_score, leaf, True), STAT_SCHEMA)

@@ -1,46 +1,24 @@
 """Collaborative model (M12-M19, A8-A11): truncated SVD of the strength matrix.
 
 The matrix is the long strength table (user_id, item_id, strength); zeros are
-absent rows. The short side of the matrix (items or users) is the column side.
-
-Exact path (short side <= 512): the Gram matrix A'A is summed from
-per-partition NumPy partials of the rows (grouped by the long-side key, so a
-group holds at most 512 entries), reduced per cell by Spark, and
-eigen-decomposed on the driver (512 x 512 at most); U S = A V is a join +
-aggregation.
-
-Wide path: a randomized range finder run as DataFrame jobs
-(Halko, Martinsson, Tropp 2011):
-
-  Y = A W           join strengths to the item-side block, explode, groupBy(user, j) sum
-  Q = orth(Y)       Gram Y'Y by per-partition NumPy partials (l x l numbers each),
-                    eigen-whitening on the driver (l x l only), Q = Y M by mapInPandas
-  power iterations  Z = A'Q, Y = A Z, re-orthonormalised each time (lineage cut by checkpoint)
-  B B' = Z'Z        with Z = A'Q: eigen-decomposition gives singular values and
-                    V = Z U_b / s (items x k), user factors U S = A V
-
-Only l x l matrices (l <= k + 10) or the bounded short-side Gram reach the
-driver; both factor tables stay distributed. Factor signs and rotations inside equal singular values are
-arbitrary; every consumer (dot products, norms, cosines) is invariant.
+absent rows. ``operators.svd`` decomposes it by one method for every size; both
+factor tables stay distributed. Factor signs and rotations inside equal singular
+values are arbitrary; every consumer (dot products, norms, cosines) is invariant.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankfold import fixed
 from rankfold.functions.scalar import clip01
+from rankfold.operators import svd
 from rankfold.operators.blockdot import top_n_dot
-from rankfold.session import checkpoint_dir, ship_package
-
-FULL_WIDTH_LIMIT = 512
-OVERSAMPLE = 10
+from rankfold.session import ship_package
 
 
 @dataclass
@@ -52,154 +30,15 @@ class CollabModel:
     info: dict
 
 
-# --- small linear-algebra helpers over (id, arr) tables ------------------------
-
-def _gram(df: DataFrame, l: int) -> np.ndarray:
-    """Sum over rows of arr arr': per-partition NumPy partials, reduced per
-    cell by Spark, so the driver receives l x l numbers whatever the number
-    of partitions."""
-    def part(it):
-        g = np.zeros((l, l))
-        for pdf in it:
-            if len(pdf):
-                m = np.vstack(pdf["arr"].to_numpy())
-                g += m.T @ m
-        nz = np.nonzero(g)
-        yield pd.DataFrame({"cell": (nz[0] * l + nz[1]).astype(np.int64), "x": g[nz]})
-    rows = (df.select("arr").mapInPandas(part, "cell long, x double")
-            .groupBy("cell").agg(F.sum("x").alias("x")).collect())   # at most l * l rows
-    tot = np.zeros((l, l))
-    for r in rows:
-        tot[r["cell"] // l, r["cell"] % l] = r["x"]
-    return tot
-
-
-def _times(df: DataFrame, w: np.ndarray, id_col: str) -> DataFrame:
-    """(id, arr) -> (id, arr @ w) with a small matrix w shipped in the closure."""
-    w = np.asarray(w, dtype=np.float64)
-
-    def part(it):
-        for pdf in it:
-            if len(pdf) == 0:
-                yield pd.DataFrame({id_col: pd.Series([], dtype=object), "arr": []})
-                continue
-            m = np.vstack(pdf["arr"].to_numpy()) @ w
-            yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), "arr": list(m)})
-    return df.select(id_col, "arr").mapInPandas(part, f"{id_col} string, arr array<double>")
-
-
-def _col_gram(pos: DataFrame, row_key: str, col_key: str, col_ids: list[str]) -> np.ndarray:
-    """A'A over the short (column) side, n_c <= FULL_WIDTH_LIMIT.
-
-    Rows are grouped by the long-side key (a group holds at most n_c entries),
-    each partition adds its rows' outer products in NumPy, and the partials
-    are summed by Spark per cell (a tree reduction), so only n_c^2 numbers
-    reach the driver."""
-    n_c = len(col_ids)
-    spark = pos.sparkSession
-    index = spark.createDataFrame(list(enumerate(col_ids)), f"ci int, {col_key} string")  # <= 512 rows
-
-    def part(it):
-        g = np.zeros((n_c, n_c))
-        for pdf in it:
-            if not len(pdf):
-                continue
-            m = np.zeros((len(pdf), n_c))
-            lens = np.fromiter((len(x) for x in pdf["c"]), dtype=np.int64, count=len(pdf))
-            rows = np.repeat(np.arange(len(pdf)), lens)
-            cols = np.concatenate([np.asarray(v, dtype=np.int64) for v in pdf["c"]]) if lens.sum() \
-                else np.zeros(0, dtype=np.int64)
-            vals = np.concatenate([np.asarray(v, dtype=np.float64) for v in pdf["v"]]) if lens.sum() else np.zeros(0)
-            m[rows, cols] = vals
-            g += m.T @ m
-        nz = np.nonzero(g)
-        yield pd.DataFrame({"cell": (nz[0] * n_c + nz[1]).astype(np.int64), "x": g[nz]})
-
-    rows = (pos.join(F.broadcast(index), col_key)
-            .groupBy(row_key).agg(F.collect_list("ci").alias("c"), F.collect_list("s").alias("v"))
-            .select("c", "v").mapInPandas(part, "cell long, x double")
-            .groupBy("cell").agg(F.sum("x").alias("x")).collect())   # at most n_c * n_c rows
-    g = np.zeros((n_c, n_c))
-    for r in rows:
-        g[r["cell"] // n_c, r["cell"] % n_c] = r["x"]
-    return g
-
-
-def _orth_matrix(g: np.ndarray, rel_tol: float = 1e-12) -> np.ndarray:
-    """M with (Y M)'(Y M) = I from the Gram matrix G = Y'Y (tiny directions dropped)."""
-    lam, vec = np.linalg.eigh(g)
-    keep = lam > rel_tol * max(lam.max(), 0.0) if lam.size else np.zeros(0, bool)
-    if not keep.any():
-        return np.zeros((g.shape[0], 0))
-    return vec[:, keep] / np.sqrt(lam[keep])
-
-
-def _mult(a: DataFrame, x: DataFrame, src: str, dst: str) -> DataFrame:
-    """(dst, arr) = sum over src of strength * x[src]; strengths are long rows."""
-    j = (a.join(x.withColumnRenamed("id", src), src)
-         .select(dst, "s", F.posexplode("arr").alias("j", "x")))
-    part = j.groupBy(dst, "j").agg(F.sum(F.col("s") * F.col("x")).alias("v"))
-    return (part.groupBy(dst).agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("p"))
-            .select(F.col(dst).alias("id"), F.transform("p", lambda e: e["v"]).alias("arr")))
-
-
 def _pad(df: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """Ids absent from ``df`` get a zero row; rows shorter than width are padded."""
+    """Ids absent from ``df`` get a zero row."""
     zeros = F.array_repeat(F.lit(0.0), width)
     return (ids.join(df, "id", "left")
             .select("id", F.coalesce(F.col("arr"), zeros).alias("arr")))
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def _gauss_block(ids: DataFrame, l: int, seed: int) -> DataFrame:
-    """Deterministic N(0,1) block: hash-based Box-Muller, reproducible on recompute."""
-    two_pi = 2 * math.pi
-    u1 = lambda j: (F.pmod(F.xxhash64(F.col("id"), j, F.lit(seed)), F.lit(2 ** 52)) + 1) / F.lit(2.0 ** 52 + 2)
-    u2 = lambda j: (F.pmod(F.xxhash64(F.col("id"), j, F.lit(seed + 1)), F.lit(2 ** 52)) + 1) / F.lit(2.0 ** 52 + 2)
-    return ids.select("id", F.transform(F.sequence(F.lit(0), F.lit(l - 1)),
-                                        lambda j: F.sqrt(-2 * F.log(u1(j))) * F.cos(two_pi * u2(j)))
-                      .alias("arr"))
-
-
 # --- training -------------------------------------------------------------------
 
-def _randomized(pos, row_key, col_key, col_ids, n_c, k, n_iterations, seed):
-    """Randomized range finder with power iterations for a wide short side.
-    Each iterate is checkpointed (lineage cut) under spark.checkpoint.dir."""
-    # oversampling decides accuracy when singular values near k are clustered
-    # (measured, k = 10, sigma_10/sigma_11 = 0.991, 10 iterations: p = 10 ->
-    # 3e-2, p = 20 -> 2e-3, p = 40 -> 2e-6 max error in the rank-k products);
-    # the cost is linear in l and the driver only sees l x l matrices
-    l = min(k + max(OVERSAMPLE, 4 * k), n_c)
-
-    def orth(y: DataFrame, width: int, passes: int) -> tuple[DataFrame, int]:
-        # intermediate iterates only need to stay well conditioned (one
-        # whitening); the final basis is whitened twice (like CholeskyQR2)
-        for _ in range(passes):
-            m = _orth_matrix(_gram(y, width))
-            y = _checkpoint(_times(y, m, "id"))
-            width = m.shape[1]
-        return y, width
-
-    omega = _gauss_block(col_ids, l, seed)
-    q, w = orth(_mult(pos, omega, col_key, row_key), l, 1 if n_iterations else 2)
-    for i in range(n_iterations):
-        z, wz = orth(_mult(pos, q, row_key, col_key), w, 1)
-        q, w = orth(_mult(pos, z, col_key, row_key), wz, 2 if i == n_iterations - 1 else 1)
-    z = _checkpoint(_mult(pos, q, row_key, col_key))         # Z = A'Q  (cols x w)
-    lam, ub = np.linalg.eigh(_gram(z, w))                    # B B' = Z'Z
-    order = np.argsort(lam)[::-1]
-    lam, ub = np.clip(lam[order], 0.0, None), ub[:, order]
-    k_eff = int(min(k, int((lam > 1e-24 * max(lam.max(), 1e-300)).sum()) or 1))
-    sig = np.sqrt(lam[:k_eff])
-    v_col = _times(z, ub[:, :k_eff] / np.where(sig > 0, sig, 1.0), "id")   # right vectors
-    return _checkpoint(_pad(v_col, col_ids, k_eff)), sig, k_eff
-
-
 def n_factors_for(n_rows: int, n_cols: int, requested: int = fixed.N_FACTORS) -> int:
     return max(1, min(requested, min(n_rows, n_cols) - 1, fixed.N_FACTORS_CAP))
 
@@ -222,40 +61,28 @@ def train(strengths: DataFrame, n_factors: int = fixed.N_FACTORS,
     pos = strengths.where(F.col("strength") != 0).select("user_id", "item_id", F.col("strength").alias("s"))
     pos = pos.cache()
 
-    # orient so the short side is the column side
+    # the short side is the column side
     if n_i <= n_u:
-        row_key, col_key, row_ids, col_ids, n_c = "user_id", "item_id", users, items, n_i
-    else:
-        row_key, col_key, row_ids, col_ids, n_c = "item_id", "user_id", items, users, n_u
-
-    if n_c <= FULL_WIDTH_LIMIT:
-        # exact: eigen-decomposition of the n_c x n_c Gram matrix
-        ids = sorted(r["id"] for r in col_ids.collect())     # at most FULL_WIDTH_LIMIT ids
-        lam, vec = np.linalg.eigh(_col_gram(pos, row_key, col_key, ids))
-        order = np.argsort(lam)[::-1]
-        lam, vec = np.clip(lam[order], 0.0, None), vec[:, order]
-        k_eff = int(min(k, int((lam > 1e-24 * max(lam.max(), 1e-300)).sum()) or 1))
-        sig = np.sqrt(lam[:k_eff])
-        spark = strengths.sparkSession
-        v_col = spark.createDataFrame([(i, vec[j, :k_eff].tolist()) for j, i in enumerate(ids)],
-                                      "id string, arr array<double>").cache()
+        row_key, col_key, row_ids, col_ids, n_r, n_c = "user_id", "item_id", users, items, n_u, n_i
     else:
-        v_col, sig, k_eff = _randomized(pos, row_key, col_key, col_ids, n_c, k, n_iterations, seed)
+        row_key, col_key, row_ids, col_ids, n_r, n_c = "item_id", "user_id", items, users, n_i, n_u
+    d = svd.truncated_svd(pos, row_key, col_key, col_ids, n_r, n_c, k, n_iterations, seed)
+    sig, k_eff = d.sigma, len(d.sigma)
+    long_side = _pad(svd.multiply(pos, d.columns, col_key, row_key, n_c, k_eff), row_ids, k_eff)  # A V = U S
+    unscale = 1.0 / np.where(sig > 0, sig, 1.0)
     if col_key == "item_id":
-        item_f = v_col
-        user_f = _pad(_mult(pos, item_f, col_key, row_key), row_ids, k_eff).cache()  # A V = U S
+        user_f, item_f = long_side.cache(), d.columns
     else:
-        # transposed problem: A' = U' S V'^T, so user factors = V' S and item factors = U'
-        user_f = _times(v_col, np.diag(sig), "id").cache()
-        us_items = _mult(pos, v_col, col_key, row_key)       # A' V' = U' S  (items)
-        item_f = _pad(_times(us_items, np.diag(1.0 / np.where(sig > 0, sig, 1.0)), "id"),
-                      row_ids, k_eff).cache()
+        # transposed problem: A' V' = U' S, so item factors = U' and user factors = V' S
+        user_f = svd.mapped(d.columns, lambda v: v * sig).cache()
+        item_f = svd.mapped(long_side, lambda u: u * unscale).cache()
     user_f = user_f.select(F.col("id").alias("user_id"), F.col("arr").alias("f"))
     item_f = item_f.select(F.col("id").alias("item_id"), F.col("arr").alias("f"))
 
     gmean = float(st["gmean"] or 0.0)
     info = {"num_users": n_u, "num_items": n_i, "n_factors": k_eff,
-            "sparsity": float(1 - (st["n_gt0"] or 0) / (n_u * n_i))}
+            "sparsity": float(1 - (st["n_gt0"] or 0) / (n_u * n_i)),
+            "residual": d.residual, "steps": d.steps, "singular_values": [float(x) for x in sig]}
     model = CollabModel(user_f, item_f, k_eff, gmean, info)
     info["reconstruction_mse"] = reconstruction_mse(model, strengths)
     info["explained_variance_ratio"] = explained_variance_ratio(model, strengths, n_u)
@@ -378,6 +205,44 @@ def summary(model: CollabModel, spark: SparkSession) -> DataFrame:
     i = model.info
     return spark.createDataFrame(
         [(i["num_users"], i["num_items"], i["n_factors"], float(i["explained_variance_ratio"]),
-          float(i["reconstruction_mse"]), float(i["sparsity"]), float(model.global_mean))],
+          float(i["reconstruction_mse"]), float(i["sparsity"]), float(model.global_mean),
+          float(i["residual"]), int(i["steps"]))],
         "num_users long, num_items long, n_factors int, explained_variance_ratio double, "
-        "reconstruction_mse double, sparsity double, global_mean double")
+        "reconstruction_mse double, sparsity double, global_mean double, residual double, steps int")
+
+
+def invariants(model: CollabModel, strengths: DataFrame) -> DataFrame:
+    """(part, a, b, value) of what every truncated SVD fulfils, one row a statement:
+    ``orthonormal`` V'V; ``diagonal`` off-diagonal (U S)'(U S) against its largest entry;
+    ``sum_squares`` squared singular values plus the squared residual over all cells;
+    ``eigen`` |A'A v - s^2 v| against the largest s^2, from the factor tables alone."""
+    k = model.k
+    item, user = model.item_factors, model.user_factors
+
+    def gram(df: DataFrame) -> DataFrame:
+        return (df.select(F.posexplode("f").alias("a", "x"), "f").select("a", "x", F.posexplode("f").alias("b", "y"))
+                .groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("value")))
+
+    vv, uu = gram(item).cache(), gram(user).cache()
+    top = uu.agg(F.max("value")).first()[0] or 1.0
+    cell = (strengths.join(user.withColumnRenamed("f", "uf"), "user_id").join(item.withColumnRenamed("f", "vf"), "item_id")
+            .select("user_id", "item_id", F.col("strength").alias("s"), "vf", _dot(F.col("uf"), F.col("vf")).alias("p")))
+    # |A - P|^2 over all cells, those without a row included: |A|^2 - 2 <A, P> + |P|^2
+    known = cell.agg(F.sum(F.col("s") * F.col("s") - 2 * F.col("s") * F.col("p")).alias("x"))
+    squared = uu.alias("u").join(vv.alias("v"), ["a", "b"]).agg(F.sum(F.col("u.value") * F.col("v.value")).alias("p2"))
+    energy = uu.where("a = b").agg(F.sum("value").alias("e"))
+    total = known.crossJoin(squared).crossJoin(energy) \
+        .select(F.lit("sum_squares").alias("part"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.expr("e + x + p2").alias("value"))
+    # A'(U S) = V S^2, one number per item and factor
+    back = (strengths.where("strength <> 0").join(user, "user_id")
+            .select("item_id", "strength", F.posexplode("f").alias("a", "x"))
+            .groupBy("item_id", "a").agg(F.sum(F.col("strength") * F.col("x")).alias("y")))
+    own = item.select("item_id", F.posexplode("f").alias("a", "v")).join(
+        uu.where("a = b").select("a", F.col("value").alias("s2")), "a")
+    eigen = (own.join(back, ["item_id", "a"], "left")
+             .groupBy("a").agg(F.sqrt(F.sum((F.coalesce("y", F.lit(0.0)) - F.col("s2") * F.col("v")) ** 2)).alias("r"))
+             .select(F.lit("eigen").alias("part"), "a", F.lit(0).alias("b"), (F.col("r") / top).alias("value")))
+    return (vv.select(F.lit("orthonormal").alias("part"), "a", "b", "value")
+            .unionByName(uu.where("a <> b").select(F.lit("diagonal").alias("part"), "a", "b", (F.col("value") / top).alias("value")))
+            .unionByName(total).unionByName(eigen)
+            .where((F.col("a") < k) & (F.col("b") < k)))

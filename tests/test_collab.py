@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from rankfold.operators import collab as K
+from rankfold.operators import svd
 
 # own matrix: two groups of users and one row between them
 MATRIX = np.array([
@@ -72,14 +73,51 @@ def test_transposed_orientation(spark):
     assert np.abs(got - want).max() < 1e-9
 
 
-def test_randomized_path_converges(spark, strengths, monkeypatch):
-    monkeypatch.setattr(K, "FULL_WIDTH_LIMIT", 2)
-    mod = K.train(strengths, n_factors=2, n_iterations=8)
-    u, s, vt = np.linalg.svd(MATRIX)
-    want = (u[:, :2] * s[:2]) @ vt[:2]
+def random_matrix(rng, n_rows, n_cols, density):
+    """Sparse, with a hot row, a hot column and a slowly falling spectrum."""
+    at = np.unique(np.concatenate([rng.integers(0, n_rows * n_cols, int(density * n_rows * n_cols)),
+                                   np.arange(n_cols), np.arange(n_rows) * n_cols]))
+    return at // n_cols, at % n_cols, rng.random(len(at)) + 0.05
+
+
+@pytest.mark.parametrize("n_rows, n_cols, k, least", [(400, 90, 50, 256), (300, 260, 8, 80), (150, 700, 6, 256)])
+def test_svd_of_every_shape_by_one_method(spark, monkeypatch, n_rows, n_cols, k, least):
+    monkeypatch.setattr(svd, "LEAST_BASIS", least)  # the second case is restarted
+    a, b, s = random_matrix(np.random.default_rng(n_cols), n_rows, n_cols, 0.05)
+    m = np.zeros((n_rows, n_cols))
+    m[a, b] = s
+    df = spark.createDataFrame([(f"u{x}", f"i{y}", float(z)) for x, y, z in zip(a, b, s)],
+                               "user_id string, item_id string, strength double")
+    mod = K.train(df, n_factors=k)
+    u, sv, vt = np.linalg.svd(m, full_matrices=False)
+    assert mod.k == k and np.abs(np.array(mod.info["singular_values"]) - sv[:k]).max() < 1e-8 * sv[0]
+    assert mod.info["residual"] < 1e-6
     uf, vf = factors(mod)
-    got = np.array([[uf[a] @ vf[b] for b in ITEMS] for a in USERS])
-    assert np.abs(got - want).max() < 1e-6
+    got = np.array([uf[f"u{x}"] for x in range(n_rows)]) @ np.array([vf[f"i{y}"] for y in range(n_cols)]).T
+    assert np.abs(got - (u[:, :k] * sv[:k]) @ vt[:k]).max() < 1e-5
+
+
+def test_product_over_several_blocks(spark, monkeypatch):
+    a, b, s = random_matrix(np.random.default_rng(3), 120, 80, 0.1)
+    m = np.zeros((120, 80))
+    m[a, b] = s
+    x = np.random.default_rng(4).normal(size=(80, 3))
+    entries = spark.createDataFrame([(f"u{i}", f"i{j}", float(z)) for i, j, z in zip(a, b, s)], "u string, i string, s double")
+    dense = spark.createDataFrame([(f"i{j}", v.tolist()) for j, v in enumerate(x) if j != 7], "id string, arr array<double>")
+    x[7] = 0
+    for size in (svd.BLOCK_BYTES, 400):
+        monkeypatch.setattr(svd, "BLOCK_BYTES", size)
+        got = {r.id: r.arr for r in svd.multiply(entries, dense, "i", "u", 80, 3).collect()}
+        assert len(got) == 120
+        assert np.abs(np.array([got[f"u{i}"] for i in range(120)]) - m @ x).max() < 1e-12
+
+
+def test_invariants_hold(model, strengths):
+    rows = {(r.part, r.a, r.b): r.value for r in K.invariants(model, strengths).collect()}
+    assert len(rows) == 16 + 12 + 1 + 4
+    for (part, a, b), value in rows.items():
+        want = (MATRIX ** 2).sum() if part == "sum_squares" else float(part == "orthonormal" and a == b)
+        assert abs(value - want) < 1e-9
 
 
 def test_predict_and_recommend(spark, model):
