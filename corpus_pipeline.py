@@ -8,8 +8,8 @@ the columns of ``documents`` unchanged. ``run`` applies them to the whole table.
    documents below the threshold;
 2. language: texts without letters, and texts farther from every language than
    training texts of their length, are rejected;
-3. near_duplicates: one document of each component (the smallest id) stays;
-   documents with a null id are kept unless their text is one of another's copies;
+3. near_duplicates: one document of each component stays, whatever its id; texts
+   without words are linked with nothing and stay;
 4. packing: what is left, packed into sequences.
 """
 
@@ -41,14 +41,13 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component."""
-    comp = ngram_join.near_duplicates(docs)
-    kept = materialise(comp.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct(), "pipeline-kept")
-    own = docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi").dropDuplicates(["doc_id"])
-    nameless = materialise(comp.where("doc_id is null and component_id is null").limit(1), "pipeline-nameless")
-    if not nameless.count():
-        return own
-    return own.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    """One document of each near-duplicate component: its first row. Rows are told apart
+    by a number of their own, so ids may be null or repeated."""
+    rows = materialise(docs.select(F.struct(*docs.columns).alias("d"), F.col("text").alias("_text"),
+                                   F.monotonically_increasing_id().alias("_row")), "pipeline-rows")
+    comp = ngram_join.near_duplicates(rows, "_row", "_text")
+    kept = materialise(comp.where("_row = component_id").select("_row"), "pipeline-kept")
+    return rows.join(kept, "_row", "left_semi").select("d.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
