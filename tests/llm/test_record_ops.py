@@ -101,9 +101,25 @@ def test_pipeline_stages(spark):
     assert out.where(F.col("length") > 1024).count() == 0
 
 
+def test_pipeline_keeps_what_is_no_copy(spark):
+    """Repeated and null ids, equal rows, copies across ids, texts without words, more columns."""
+    import corpus_pipeline as P
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, "en"), (1, b, "en"), (2, a + " more", "en"), (None, b, "de"), (None, c, None), (None, c, None), (3, "", "en"),
+            (4, None, None), (5, c + " x", "en"), (6, "two words", "en"), (6, "two words", "en")]
+    docs = spark.createDataFrame([(*r, r[2], i, i) for i, r in enumerate(rows)], "doc_id long, text string, lang string, d string, "
+                                 "component_id long, node long")
+    out = P.one_of_each(spark, docs, SF)
+    assert out.columns == docs.columns
+    texts = sorted((r.text or "")[:3] for r in out.collect())
+    assert texts == ["", "", "a0 ", "b0 ", "c0 ", "two"]
+    assert P.one_of_each(spark, docs.limit(0), SF).count() == 0
+
+
 def test_entry_registers_all():
     import __spark_entry__ as E
 
     names = set(E.queries())
-    assert {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} <= {n.split("_")[0] for n in names} and "pipeline" in names
     assert set(E.oracle_sql()) <= names
