@@ -70,12 +70,8 @@ EXPLAIN_FALLBACK = "Popular item"
 RANK_PLACES = 9
 OUT_PLACES = 6
 
-# --- request limits, rate limiting, latency histogram -------------------------
+# --- request limits, latency histogram ----------------------------------------
 MAX_RECOMMENDATIONS = 100
-RATE_LIMIT_REQUESTS = 100
-RATE_LIMIT_WINDOW_S = 60
-RATE_LIMIT_BURST = 20
-BUCKET_IDLE_EXPIRY_S = 3600
 LATENCY_BUCKETS_S = [0.01, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
 RESULT_TTL_S = 3600
 

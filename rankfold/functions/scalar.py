@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,19 +42,44 @@ def out_score(score: Column) -> Column:
     return F.round(score, fixed.OUT_PLACES)
 
 
+#: what the text of a number looks like: digits may be grouped by single underscores
+_DIGITS = r"\d+(_\d+)*"
+FLOAT_PATTERN = rf"(?i)^\s*[+-]?(({_DIGITS}(\.({_DIGITS})?)?|\.{_DIGITS})(e[+-]?{_DIGITS})?|nan|inf|infinity)\s*$"
+#: date, any one character, time with optional parts, offset
+ISO_PATTERN = (r"^(\d{4})-?(\d{2})-?(\d{2})(?:.(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?"
+               r"(Z|[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?)?)?$")
+
+
 def parse_double(x: Column) -> Column:
-    """float parse, empty -> null, bad -> null."""
-    return F.nullif(F.trim(x), F.lit("")).try_cast("double")
+    """float parse, empty -> null, bad -> null (``bad_double`` tells them apart)."""
+    return F.when(x.rlike(FLOAT_PATTERN), F.trim(F.replace(x, F.lit("_"), F.lit(""))).try_cast("double"))
+
+
+def bad_double(x: Column) -> Column:
+    """Whether a text is there and is no number."""
+    return F.coalesce((x != "") & parse_double(x).isNull(), F.lit(False))
 
 
 def parse_ts(x: Column) -> Column:
-    """ISO timestamp parse (with 'T' or space), empty -> null, bad -> null."""
-    s = F.nullif(F.trim(x), F.lit(""))
-    return F.coalesce(
-        F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")),
-        F.try_to_timestamp(s, F.lit("yyyy-MM-dd HH:mm:ss[.SSSSSS]")),
-        F.try_to_timestamp(s, F.lit("yyyy-MM-dd")),
-    ).cast("timestamp_ntz")
+    """ISO date or date and time (basic or extended form, any separator, optional
+    fraction cut to microseconds), an offset applied so that the result is UTC; empty ->
+    null, bad -> null (``bad_ts`` tells them apart). Week dates are bad."""
+    part = lambda k: F.regexp_extract(x, ISO_PATTERN, k)
+    two = lambda k: F.when(part(k) == "", F.lit("00")).otherwise(part(k))
+    frac = F.substring(F.concat(part(7), F.lit("000000")), 1, 6)
+    local = F.concat(part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit(" "), two(4), F.lit(":"), two(5),
+                     F.lit(":"), two(6), F.lit("."), frac).try_cast("timestamp_ntz")
+    offset = F.replace(part(8), F.lit(":"), F.lit(""))
+    size = lambda at: F.coalesce(F.substring(offset, at, 2).try_cast("int"), F.lit(0))
+    seconds = F.when(offset.isin("", "Z"), F.lit(0)).otherwise(
+        F.when(offset.startswith("-"), F.lit(-1)).otherwise(F.lit(1)) * (size(2) * 3600 + size(4) * 60 + size(6)))
+    whole = (size(2) < 24) & (size(4) < 60) & (size(6) < 60)
+    return F.when(x.rlike(ISO_PATTERN) & whole, local - F.make_interval(secs=seconds))
+
+
+def bad_ts(x: Column) -> Column:
+    """Whether a text is there and is no time."""
+    return F.coalesce((x != "") & parse_ts(x).isNull(), F.lit(False))
 
 
 def json_object_or_empty(x: Column) -> Column:
@@ -68,11 +91,3 @@ def is_json_object(x: Column) -> Column:
     """True when the text parses as a JSON object (V1 / V2)."""
     return F.coalesce(
         F.schema_of_variant(F.try_parse_json(x)).startswith("OBJECT"), F.lit(False))
-
-
-def safe_div(a: Column, b: Column) -> Column:
-    return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
-
-
-def sum_cols(cols: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, cols)

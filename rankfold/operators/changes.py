@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankfold.functions.scalar import json_object_or_empty
-
 
 def first_wins(batch: DataFrame, key: str, seq: str) -> tuple[DataFrame, DataFrame]:
     """(first row per key by ``seq``, later duplicates).
@@ -135,9 +133,3 @@ def stale_users(stored: DataFrame, interactions: DataFrame) -> DataFrame:
     last = stored.groupBy("user_id").agg(F.min("computed_at").alias("computed_at"))
     newer = interactions.join(last, "user_id").where(F.col("timestamp") > F.col("computed_at"))
     return newer.select("user_id").distinct()
-
-
-def with_json_defaults(df: DataFrame, cols: list[str]) -> DataFrame:
-    for c in cols:
-        df = df.withColumn(c, json_object_or_empty(F.col(c)) if c in df.columns else F.lit("{}"))
-    return df

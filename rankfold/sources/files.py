@@ -1,21 +1,24 @@
 """Readers (S1-S8, S11): CSV, JSON (array or lines), Parquet, JDBC.
 
-No schema inference: text formats are read as strings with fixed column
-lists, parsed with try_* functions and split into accepted / rejected rows by
-the validation rules. A source yields a ``Dataset`` triple of DataFrames.
+Text files are read as records that any split size cuts and numbers alike
+(``sources.records``): ``seq`` is the arrival order, dense from 0, over all files in
+order of name. No schema inference: cells are parsed with try_* functions and rows are
+split into accepted and rejected ones (with a ``reason``) by what cannot be parsed and
+by the validation rules. A source yields a ``Dataset`` triple of DataFrames.
 """
 
 from __future__ import annotations
 
-import json
+import csv
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankfold.functions.scalar import parse_double, parse_ts
-from rankfold.operators import validate
+from rankfold.functions.scalar import bad_double, bad_ts, parse_double, parse_ts
+from rankfold.operators import lookup, validate
+from rankfold.sources import records
 
 ITEM_COLUMNS = ["item_id", "title", "item_type", "description", "features", "metadata"]
 USER_COLUMNS = ["user_id", "preferences"]
@@ -37,26 +40,6 @@ def _strings(cols: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType(), True) for c in cols])
 
 
-def _with_seq(df: DataFrame) -> DataFrame:
-    """Arrival order: file name, then row position inside the file. The order of
-    the files comes from their names, not from how Spark groups them into tasks."""
-    order = F.from_json(F.lit(json.dumps({f: i for i, f in enumerate(sorted(df.inputFiles()))})), "map<string,bigint>")
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return (df.withColumn("_file", F.input_file_name())
-              .withColumn("seq", F.coalesce(F.element_at(order, F.col("_file")), F.lit(0)) * (1 << 33) + row))
-
-
-def _read_csv(spark: SparkSession, path: str, cols: list[str]) -> DataFrame | None:
-    if not _exists(spark, path):
-        return None
-    raw = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-           .option("mode", "PERMISSIVE").csv(path))
-    present = set(raw.columns)
-    return _with_seq(raw.select(*[F.col(c) if c in present else F.lit(None).cast("string").alias(c)
-                                  for c in cols]).withColumn("_present", F.array(*[F.lit(c) for c in cols
-                                                                                     if c in present])))
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
     """Whether a path or glob names a file, asked of the file system that Spark reads."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -64,79 +47,107 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def _items_from_text(df: DataFrame) -> DataFrame:
-    """Absent JSON column -> '{}'; present but empty cell stays invalid."""
-    out = df
-    for c in ("features", "metadata"):
-        absent = ~F.array_contains(F.col("_present"), F.lit(c))
-        out = out.withColumn(c, F.when(absent, F.lit("{}")).otherwise(F.col(c)))
-    return out
-
-
 def _empty(spark: SparkSession, cols: list[str]) -> DataFrame:
-    return spark.createDataFrame([], _strings(cols)).withColumn("seq", F.lit(0).cast("long"))
+    return spark.createDataFrame([], T.StructType([*_strings(cols), T.StructField("seq", T.LongType())]))
+
+
+def _csv_rows(spark: SparkSession, path: str | None, cols: list[str], json_cols: list[str]) -> DataFrame:
+    """Cells as text, by the header of their own file; JSON columns that it does not have
+    are '{}', others null."""
+    if not path or not _exists(spark, path):
+        return _empty(spark, cols)
+    rows = records.read(spark, path, "csv")
+    options = {"escape": '"', "quote": '"', "mode": "PERMISSIVE"}
+    heads: dict[str, list[str]] = {}
+    for r in rows.where("first").select("file", "text").collect():  # one row a file
+        heads.setdefault(r["text"].rstrip("\r"), []).append(r["file"])
+    out = None
+    for head, files in heads.items():
+        names = [c.strip("\ufeff") for c in next(csv.reader([head]))]
+        body = rows.where(~F.col("first"))
+        body = body if len(heads) == 1 else body.where(F.col("file").isin(files))
+        cell = F.from_csv("text", ", ".join(f"_c{i} string" for i in range(len(names))), options)
+        at = {c: f"_c{i}" for i, c in enumerate(names)}
+        body = body.select("seq", cell.alias("c"))
+        part = body.select(*[
+            F.col(f"c.{at[c]}").alias(c) if c in at else F.lit("{}" if c in json_cols else None).cast("string").alias(c)
+            for c in cols], "seq")
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else _empty(spark, cols)
 
 
 def load_csv(spark: SparkSession, items_path: str | None = None, users_path: str | None = None,
              interactions_path: str | None = None) -> Dataset:
-    """CSV files; a missing file yields no rows."""
-    it = _read_csv(spark, items_path, ITEM_COLUMNS) if items_path else None
-    us = _read_csv(spark, users_path, USER_COLUMNS) if users_path else None
-    ix = _read_csv(spark, interactions_path, INTERACTION_COLUMNS) if interactions_path else None
-    items = _items_from_text(it) if it is not None else _empty(spark, ITEM_COLUMNS)
-    users = (us.withColumn("preferences", F.when(~F.array_contains("_present", F.lit("preferences")),
-                                                   F.lit("{}")).otherwise(F.col("preferences")))
-             if us is not None else _empty(spark, USER_COLUMNS))
-    inter = (ix.withColumn("value", parse_double(F.col("value")))
-               .withColumn("timestamp", parse_ts(F.col("timestamp")))
-             if ix is not None else _empty(spark, INTERACTION_COLUMNS)
-             .withColumn("value", F.lit(None).cast("double"))
-             .withColumn("timestamp", F.lit(None).cast("timestamp_ntz")))
+    """CSV files; a missing file yields no rows. An absent JSON column reads as '{}',
+    an empty cell in one is invalid. Numbers and times that are there but cannot be parsed
+    reject their row; empty ones are null."""
+    items = _csv_rows(spark, items_path, ITEM_COLUMNS, ["features", "metadata"])
+    users = _csv_rows(spark, users_path, USER_COLUMNS, ["preferences"])
+    inter = _csv_rows(spark, interactions_path, INTERACTION_COLUMNS, [])
+    inter = inter.withColumn("_bad_value", bad_double(F.col("value"))).withColumn("_bad_time", bad_ts(F.col("timestamp"))) \
+        .withColumn("value", parse_double(F.col("value"))).withColumn("timestamp", parse_ts(F.col("timestamp")))
     return _split(items, users, inter)
 
 
 def _split(items: DataFrame, users: DataFrame, inter: DataFrame) -> Dataset:
-    keep_i = ITEM_COLUMNS + ["seq"]
-    keep_u = USER_COLUMNS + ["seq"]
-    keep_x = INTERACTION_COLUMNS + ["seq"]
-    ia, ir = validate.split(items.select(*keep_i), validate.item_rules())
-    ua, ur = validate.split(users.select(*keep_u), validate.user_rules())
-    xa, xr = validate.split(inter.select(*keep_x), validate.interaction_rules())
+    out = []
+    for df, cols, rules in ((items, ITEM_COLUMNS, validate.item_rules()), (users, USER_COLUMNS, validate.user_rules()),
+                            (inter, INTERACTION_COLUMNS, validate.interaction_rules())):
+        marks = [c for c in df.columns if c.startswith("_bad_")]
+        parsed = [(c.removeprefix("_bad_") + " not readable", ~F.col(c)) for c in marks]
+        good, bad = validate.split(df.select(*cols, "seq", *marks), parsed + rules)
+        out.append((good.drop(*marks), bad.drop(*marks)))
+    (ia, ir), (ua, ur), (xa, xr) = out
     return Dataset(ia, ua, xa, ir, ur, xr)
 
 
-def load_json(spark: SparkSession, items_path: str | None = None, users_path: str | None = None,
-              interactions_path: str | None = None, multiline: bool = True) -> Dataset:
-    """JSON arrays of objects (``multiline``) or JSON Lines.
-
-    Nested JSON objects (features, metadata, preferences) are kept as JSON text;
-    an explicit null there is invalid, an absent key defaults to '{}'."""
-    def read(path, cols):
-        if not path or not _exists(spark, path):
-            return None
-        raw = spark.read.option("multiLine", multiline).option("primitivesAsString", False) \
-            .schema(_strings(cols)).json(path)
-        return _with_seq(raw)
-
-    def obj(path, cols, json_cols):
-        df = read(path, cols)
-        if df is None:
-            return None
-        # a key that is absent reads as null, like an explicit null; tell them apart on the raw text
-        for c in json_cols:
-            df = df.withColumn(c, F.coalesce(F.col(c), F.lit("{}")))
-        return df
+def _json_rows(spark: SparkSession, path: str | None, cols: list[str], json_cols: list[str]) -> DataFrame:
+    """Fields of every object. A record that is no object, or a text field that holds
+    another type, is marked unreadable; ``features`` and the like keep their JSON text, an
+    absent one is '{}' and an explicit null stays null (invalid)."""
+    if not path or not _exists(spark, path):
+        return _empty(spark, cols)
+    v = records.read(spark, path, "json").select("seq", F.try_parse_json("text").alias("v"))
+    field = lambda c: F.try_variant_get("v", f"$.{c}", "variant")
+    kind = lambda c: F.schema_of_variant(field(c))
+
+    def text(c: str) -> Column:
+        return F.when(kind(c) == "STRING", F.try_variant_get("v", f"$.{c}", "string"))
+
+    out, bad = ["seq"], {"object": F.coalesce(~F.schema_of_variant("v").startswith("OBJECT"), F.lit(True))}
+    there = lambda c: F.coalesce(kind(c) != "VOID", F.lit(False))
+    for c in cols:
+        if c in json_cols:
+            value = F.when(field(c).isNull(), F.lit("{}")).when(there(c), F.to_json(field(c)))
+        elif c == "value":
+            value = F.when(kind(c) == "STRING", parse_double(text(c))).otherwise(F.try_variant_get("v", "$.value", "double"))
+            bad["value"] = there(c) & value.isNull()
+        elif c == "timestamp":
+            # what counts as false is no time; another type than text is unreadable
+            value = parse_ts(text(c))
+            zero = F.coalesce(F.try_variant_get("v", "$.timestamp", "double") == 0, F.lit(False))
+            bad["time"] = F.when(kind(c) == "STRING", bad_ts(text(c))).otherwise(there(c) & ~zero)
+        else:
+            value = text(c)
+            bad[c] = there(c) & value.isNull()
+        out.append(value.alias(c))
+    return v.select(*out, *[F.coalesce(b, F.lit(False)).alias(f"_bad_{c}") for c, b in bad.items()])
 
-    it = obj(items_path, ITEM_COLUMNS, ["features", "metadata"])
-    us = obj(users_path, USER_COLUMNS, ["preferences"])
-    ix = read(interactions_path, INTERACTION_COLUMNS)
-    items = it if it is not None else _empty(spark, ITEM_COLUMNS)
-    users = us if us is not None else _empty(spark, USER_COLUMNS)
-    inter = (ix.withColumn("value", F.col("value").try_cast("double"))
-               .withColumn("timestamp", parse_ts(F.col("timestamp")))
-             if ix is not None else _empty(spark, INTERACTION_COLUMNS)
-             .withColumn("value", F.lit(None).cast("double"))
-             .withColumn("timestamp", F.lit(None).cast("timestamp_ntz")))
+
+def load_json(spark: SparkSession, items_path: str | None = None, users_path: str | None = None,
+              interactions_path: str | None = None) -> Dataset:
+    """A JSON array of objects or one object after another (JSON Lines), told apart
+    by nothing: both are objects with something between them.
+
+    Nested objects (features, metadata, preferences) are kept as JSON text; an explicit
+    null there is invalid, an absent key defaults to '{}'. An object that cannot be parsed
+    is rejected alone."""
+    items = _json_rows(spark, items_path, ITEM_COLUMNS, ["features", "metadata"])
+    users = _json_rows(spark, users_path, USER_COLUMNS, ["preferences"])
+    inter = _json_rows(spark, interactions_path, INTERACTION_COLUMNS, [])
+    if "_bad_value" not in inter.columns:
+        inter = inter.withColumn("value", F.lit(None).cast("double")) \
+            .withColumn("timestamp", F.lit(None).cast("timestamp_ntz"))
     return _split(items, users, inter)
 
 
@@ -146,13 +157,12 @@ def load_export_dir(spark: SparkSession, export_dir: str) -> Dataset:
     return load_json(spark, f"{d}/items.json", f"{d}/users.json", f"{d}/interactions.json")
 
 
-def load_parquet(spark: SparkSession, base: str) -> Dataset:
-    """The store's own tables (items/, users/, interactions/) as Parquet."""
+def load_parquet(spark: SparkSession, base: str, active_only: bool = True) -> Dataset:
+    """The store's own tables (items/, users/, interactions/) as Parquet; active rows
+    only unless asked otherwise (the filter reaches the scan)."""
     b = base.rstrip("/")
-    items = spark.read.parquet(f"{b}/items")
-    users = spark.read.parquet(f"{b}/users")
-    inter = spark.read.parquet(f"{b}/interactions")
-    return Dataset(items, users, inter)
+    tables = [spark.read.parquet(f"{b}/{t}") for t in ("items", "users", "interactions")]
+    return Dataset(*[lookup.active(t) if active_only else t for t in tables])
 
 
 def load_jdbc(spark: SparkSession, url: str, properties: dict, active_only: bool = True,

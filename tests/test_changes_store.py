@@ -172,10 +172,10 @@ def test_readers_take_globs_and_keep_file_order(spark, tmp_dir):
         f.write("user_id,preferences\nu1,{}\n")
     with open(os.path.join(tmp_dir, "b.csv"), "w") as f:
         f.write("user_id,preferences\n" + "".join(f"v{i},{{}}\n" for i in range(5000)))
-    raw = files._read_csv(spark, os.path.join(tmp_dir, "*.csv"), ["user_id", "preferences"])
+    raw = files.load_csv(spark, users_path=os.path.join(tmp_dir, "*.csv")).users
     rows = [r.user_id for r in raw.orderBy("seq").select("user_id").collect()]
     assert rows == ["u1"] + [f"v{i}" for i in range(5000)]
-    assert files._read_csv(spark, os.path.join(tmp_dir, "*.none"), ["user_id"]) is None
+    assert files.load_csv(spark, users_path=os.path.join(tmp_dir, "*.none")).users.count() == 0
 
 
 def test_text_that_looks_falsy_is_kept(spark):
