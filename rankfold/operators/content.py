@@ -1,11 +1,12 @@
 """Content model (M1-M11): TF-IDF + one-hot + min-max item features, cosine.
 
-All feature building is DataFrame code:
-  corpus     select + concat_ws over the text fields (F4), F5, F6
-  tokens     lower + regexp_extract_all + stop-word filter + bigrams (M2)
-  vocabulary explode + groupBy(term) (partial aggregation) + top MAX_FEATURES (M3)
-  tf-idf     join to the bounded vocabulary (broadcast: at most MAX_FEATURES rows)
-             + SQL arithmetic + per-item L2 norm (M4)
+  tokens     lower + regexp_extract_all + stop-word filter (M2), written down once
+  vocabulary bounded tables of counts per task, then an exact recount of the terms
+             that may be among the MAX_FEATURES largest (M3, operators.heavy)
+  tf-idf     one pass over the items' term counts; the vocabulary (at most
+             max_features rows) goes to the tasks (M4)
+  vectors    text, one-hot and scaled numbers of an item are one row, scaled to unit
+             length (M5-M7); no term row is ever shuffled
 Similarities are never materialised as an N x N table: neighbours come from
 the blocked top-n product (operators.blockdot) over unit feature vectors.
 
@@ -16,14 +17,20 @@ dictionary.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankfold import fixed
 from rankfold.functions import jsonfields as J
+from rankfold.operators import heavy
 from rankfold.operators.blockdot import top_n_dot
+from rankfold.operators.heavy import materialise
 from rankfold.session import spread
 
 
@@ -41,7 +48,7 @@ class ContentConfig:
 class ContentModel:
     config: ContentConfig
     vocab: DataFrame          # term, df, total
-    features: DataFrame       # item_id, fid, weight  (stacked raw feature vector)
+    features: DataFrame       # item_id, fid, weight  (raw feature vectors as long rows)
     vectors: DataFrame        # item_id, idx array<bigint>, val array<double>  (unit rows)
     n_items: int
     n_dims: int
@@ -121,34 +128,58 @@ def with_bigrams(toks: Column) -> Column:
     return F.concat(toks, F.filter(pairs, lambda p: p.isNotNull()))
 
 
-def item_terms(corp: DataFrame, cfg: ContentConfig) -> DataFrame:
-    """(item_id, term, tf) raw counts; partial aggregation per (item, term)."""
-    return (corp.select("item_id", tokens(F.col("text"), cfg.stop_words).alias("toks"))
-            .select("item_id", F.explode(with_bigrams(F.col("toks"))).alias("term"))
-            .groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("tf")))
-
-
-# --- M3 ------------------------------------------------------------------------
-
-def vocabulary(terms: DataFrame, cfg: ContentConfig) -> DataFrame:
-    """Terms with df >= min_df, then the max_features largest total counts
-    (ties: term ascending). Bounded by max_features rows."""
-    v = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    if cfg.min_df > 1:
-        v = v.where(F.col("df") >= cfg.min_df)
-    return v.orderBy(F.col("total").desc(), F.col("term")).limit(cfg.max_features)
-
-
-# --- M4 ------------------------------------------------------------------------
-
-def tfidf(terms: DataFrame, vocab: DataFrame, n_items: int) -> DataFrame:
-    """(item_id, term, weight): tf * (ln((1+N)/(1+df)) + 1), rows scaled to unit L2."""
-    idf = F.log((F.lit(1.0) + F.lit(float(n_items))) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
-    raw = (terms.join(F.broadcast(vocab.select("term", "df")), "term")
-           .select("item_id", "term", (F.col("tf") * idf).alias("w")))
-    return (raw.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(
-                Window.partitionBy("item_id"))))
-            .select("item_id", "term", (F.col("w") / F.col("norm")).alias("weight")))
+def item_tokens(corp: DataFrame, cfg: ContentConfig) -> DataFrame:
+    """The corpus with its tokens instead of its text, built once and written down."""
+    keep = [c for c in corp.columns if c != "text"]
+    return materialise(corp.select(*keep, tokens(F.col("text"), cfg.stop_words).alias("toks")), "tokens")
+
+
+# --- M3 / M4 -------------------------------------------------------------------
+
+def vocabulary(toks: DataFrame, cfg: ContentConfig) -> tuple[DataFrame, DataFrame]:
+    """M3: terms (tokens and bigrams) with df >= min_df, then the max_features largest
+    total counts (ties: term ascending): (term, df, total), and each item's term counts."""
+    return heavy.frequent_terms(toks, "toks", cfg.max_features, cfg.min_df)
+
+
+def tfidf(counts: DataFrame, vocab: DataFrame, n_items: int) -> DataFrame:
+    """M4: the rows of ``counts`` with ``fids`` and ``weights`` of their vocabulary terms:
+    tf * (ln((1+N)/(1+df)) + 1), scaled to unit L2. One pass, no shuffle; the vocabulary
+    (at most max_features rows) goes to the tasks."""
+    spark = counts.sparkSession
+    rows = vocab.select("term", "df", _fid("t", F.col("term")).alias("fid")).toPandas()
+    idf = np.log((1.0 + n_items) / (1.0 + rows["df"].to_numpy(np.float64))) + 1.0
+    shared = spark.sparkContext.broadcast((rows["term"].tolist(), rows["fid"].to_numpy(np.int64), idf))
+    names = [c for c in counts.columns if c not in ("terms", "counts")]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in counts.schema if f.name in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, fids, idf = shared.value
+        values = pa.array(terms, pa.string())
+        for b in batches:
+            of = b.column("terms")
+            size = np.diff(of.offsets.to_numpy())
+            row = np.repeat(np.arange(b.num_rows), size)
+            at = pc.fill_null(pc.index_in(of.flatten(), value_set=values), -1).to_numpy()
+            ok = at >= 0
+            row, at = row[ok], at[ok]
+            w = b.column("counts").flatten().to_numpy()[ok] * idf[at] if len(at) else np.zeros(0)
+            w = w / np.sqrt(np.bincount(row, w * w, b.num_rows))[row]
+            cut = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b.num_rows))]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [*[b.column(c) for c in names], pa.ListArray.from_arrays(cut, pa.array(fids[at], pa.int64())),
+                 pa.ListArray.from_arrays(cut, pa.array(w, pa.float64()))], names=[*names, "fids", "weights"])
+
+    return counts.select(*names, "terms", "counts").mapInArrow(run, ", ".join(
+        [*fields, "fids array<bigint>", "weights array<double>"]))
+
+
+def term_weights(weighted: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(item_id, term, weight) of ``tfidf`` as long rows."""
+    x = weighted.select("item_id", F.explode(F.arrays_zip("fids", "weights")).alias("x"))
+    named = vocab.select("term", _fid("t", F.col("term")).alias("fid"))
+    return x.select("item_id", F.col("x.fids").alias("fid"), F.col("x.weights").alias("weight")) \
+        .join(F.broadcast(named), "fid").select("item_id", "term", "weight")
 
 
 # --- M5 / M6 / M7 --------------------------------------------------------------
@@ -157,89 +188,76 @@ def _fid(kind: str, name: Column) -> Column:
     return F.xxhash64(F.concat(F.lit(kind + ":"), name))
 
 
-def minmax_features(corp: DataFrame, cfg: ContentConfig) -> DataFrame | None:
-    """(item_id, field, value) scaled to [0,1]; constant column -> 0; None when
-    every numeric value is 0 (block skipped)."""
-    if not cfg.numerical_fields:
-        return None
+def _scaled(corp: DataFrame, cfg: ContentConfig) -> dict[str, Column]:
+    """Field -> its values scaled to [0,1] (constant column -> 0); empty when every value is 0."""
     nums = [f"num_{i}" for i in range(len(cfg.numerical_fields))]
+    if not nums:
+        return {}
     # one global aggregate; only 2 scalars per field reach the driver
     st = corp.agg(*[F.min(c).alias(f"mn_{c}") for c in nums],
                   *[F.max(c).alias(f"mx_{c}") for c in nums],
                   F.max(F.greatest(*[F.abs(F.col(c)) for c in nums], F.lit(0.0))).alias("any_nz")).first()
     if not st["any_nz"]:
-        return None
-    stacked = None
+        return {}
+    out = {}
     for f, c in zip(cfg.numerical_fields, nums):
         mn, mx = float(st[f"mn_{c}"]), float(st[f"mx_{c}"])
-        scaled = F.lit(0.0) if mx == mn else (F.col(c) - F.lit(mn)) / F.lit(mx - mn)
-        part = corp.select("item_id", F.lit(f).alias("field"), scaled.alias("value"))
-        stacked = part if stacked is None else stacked.unionByName(part)
-    return stacked
+        out[f] = F.lit(0.0) if mx == mn else (F.col(c) - F.lit(mn)) / F.lit(mx - mn)
+    return out
 
 
-def feature_rows(items: DataFrame, cfg: ContentConfig):
-    """Stacked raw feature vector as long rows (item_id, fid, weight)."""
-    corp = corpus(spread(items), cfg).cache()
+def minmax_features(corp: DataFrame, cfg: ContentConfig) -> DataFrame | None:
+    """(item_id, field, value) scaled to [0,1]; None when every numeric value is 0."""
+    scaled = _scaled(corp, cfg)
+    if not scaled:
+        return None
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in scaled.items()])
+    return corp.select("item_id", F.explode(pairs).alias("x")).select("item_id", "x.field", "x.value")
+
+
+def raw_features(weighted: DataFrame, cfg: ContentConfig, scaled: dict[str, Column]) -> DataFrame:
+    """(item_id, f array<struct<fid, weight>>): text weights, one-hot categories and scaled
+    numbers of an item side by side. An item is one row, so nothing is shuffled."""
+    pair = lambda fid, w: F.struct(fid.alias("fid"), w.cast("double").alias("weight"))
+    text = F.zip_with("fids", "weights", pair)
+    others = [pair(_fid("c", F.concat(F.lit(f + "="), F.col(f"cat_{i}"))), F.lit(1.0))
+              for i, f in enumerate(cfg.categorical_fields)]
+    others += [pair(_fid("n", F.lit(f)), v) for f, v in scaled.items()]
+    every = F.concat(text, F.filter(F.array(*others), lambda s: s["weight"] != 0)) if others else text
+    return weighted.select("item_id", F.sort_array(every).alias("f"))
+
+
+def unit_vectors(raw: DataFrame) -> DataFrame:
+    """(item_id, idx, val): cosine-ready unit rows; an all-zero item keeps an empty vector
+    (its cosine with anything is 0)."""
+    v = raw.withColumn("norm", F.sqrt(F.aggregate("f", F.lit(0.0), lambda a, s: a + s["weight"] * s["weight"])))
+    return v.select("item_id", F.transform("f", lambda s: s["fid"]).alias("idx"),
+                    F.transform("f", lambda s: s["weight"] / F.col("norm")).alias("val"))
+
+
+def train(items: DataFrame, cfg: ContentConfig | None = None, *, persist: bool = True) -> ContentModel:
+    """M1-M7: tokens once, vocabulary from bounded tables, then one pass to unit vectors."""
+    cfg = cfg or ContentConfig()
+    toks = item_tokens(corpus(spread(items), cfg), cfg)
     # one job: item count and distinct values per categorical field (for M11)
-    st = corp.agg(F.count(F.lit(1)).alias("n"),
+    st = toks.agg(F.count(F.lit(1)).alias("n"),
                   *[F.countDistinct(f"cat_{i}").alias(f"d{i}") for i in range(len(cfg.categorical_fields))]
                   ).first()
     n_items = st["n"]
     if n_items == 0:
         raise ValueError("No items provided for training")
-    n_cat = sum(st[f"d{i}"] for i in range(len(cfg.categorical_fields)))
-    terms = item_terms(corp, cfg)
-    vocab = vocabulary(terms, cfg).cache()
+    vocab, counts = vocabulary(toks, cfg)
     n_vocab = vocab.count()
-    blocks = []
-    if n_vocab > 0:
-        tw = tfidf(terms, vocab, n_items)
-        blocks.append(tw.select("item_id", _fid("t", F.col("term")).alias("fid"), "weight"))
-    for i, f in enumerate(cfg.categorical_fields):
-        blocks.append(corp.select("item_id", _fid("c", F.concat(F.lit(f + "="), F.col(f"cat_{i}"))).alias("fid"),
-                                  F.lit(1.0).alias("weight")))
-    mm = minmax_features(corp, cfg)
-    n_num = 0
-    if mm is not None:
-        blocks.append(mm.where(F.col("value") != 0)
-                      .select("item_id", _fid("n", F.col("field")).alias("fid"),
-                              F.col("value").alias("weight")))
-        n_num = len(cfg.numerical_fields)
-    if not blocks:
+    scaled = _scaled(counts, cfg)
+    if not n_vocab and not cfg.categorical_fields and not scaled:
         raise ValueError("No features could be extracted from items")
-    feats = blocks[0]
-    for b in blocks[1:]:
-        feats = feats.unionByName(b)
-    return corp, vocab, feats, n_items, n_vocab + n_cat + n_num
-
-
-def unit_vectors(feats: DataFrame, items: DataFrame | None = None) -> DataFrame:
-    """(item_id, idx, val): cosine-ready unit rows; an all-zero item keeps an
-    empty vector (its cosine with anything is 0). Group size per item is
-    bounded by the feature dimension."""
-    v = (feats.groupBy("item_id")
-         .agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"),
-              F.sort_array(F.collect_list(F.struct("fid", "weight"))).alias("f")))
-    v = v.select("item_id",
-                 F.transform("f", lambda s: s["fid"]).alias("idx"),
-                 F.transform("f", lambda s: s["weight"] / F.col("norm")).alias("val"))
-    if items is not None:  # items without any feature row
-        empty = items.select("item_id").join(v.select("item_id"), "item_id", "left_anti") \
-            .select("item_id", F.array().cast("array<bigint>").alias("idx"),
-                    F.array().cast("array<double>").alias("val"))
-        v = v.unionByName(empty)
-    return v
-
-
-def train(items: DataFrame, cfg: ContentConfig | None = None, *, persist: bool = True) -> ContentModel:
-    """M1-M7: build the item feature table and unit vectors."""
-    cfg = cfg or ContentConfig()
-    corp, vocab, feats, n_items, n_dims = feature_rows(items, cfg)
-    vectors = unit_vectors(feats, corp)
+    raw = raw_features(tfidf(counts, vocab, n_items), cfg, scaled)
+    vectors = unit_vectors(raw)
     if persist:
         vectors = vectors.cache()
-    return ContentModel(cfg, vocab, feats, vectors, n_items, n_dims)
+    n_dims = n_vocab + sum(st[f"d{i}"] for i in range(len(cfg.categorical_fields))) + len(scaled)
+    features = raw.select("item_id", F.explode("f").alias("x")).select("item_id", "x.fid", "x.weight")
+    return ContentModel(cfg, vocab, features, vectors, n_items, n_dims)
 
 
 # --- M9 ------------------------------------------------------------------------
