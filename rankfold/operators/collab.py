@@ -18,6 +18,7 @@ from rankfold import fixed
 from rankfold.functions.scalar import clip01
 from rankfold.operators import svd
 from rankfold.operators.blockdot import top_n_dot
+from rankfold.operators.numbering import numbered
 from rankfold.session import ship_package
 
 
@@ -167,27 +168,45 @@ def recommend(model: CollabModel, users: DataFrame, exclude: DataFrame | None, n
     return warm.unionByName(_cold(model, cold_users, excl, n))
 
 
+#: places that are sent to every task of the cold users' join
+HEAD_PLACES = 1000
+
+
 def _cold(model: CollabModel, users: DataFrame, excl: DataFrame | None, n: int) -> DataFrame:
-    """M15 per user: the popular list without the user's excluded items, cut to n,
-    divided by the largest value left. A user with e exclusions looks at the first
-    n + e places only, joined by place (an equi-join, no product)."""
-    u = users.withColumn("e", F.lit(0))
-    if excl is not None:
-        e = excl.groupBy("user_id").agg(F.count(F.lit(1)).cast("int").alias("e"))
-        u = users.join(e, "user_id", "left").withColumn("e", F.coalesce("e", F.lit(0)))
-    most = u.agg(F.max("e")).first()[0]
-    if most is None:
-        most = 0
-    pop = popular_items(model, n + most)
-    places = u.select("user_id", F.explode(F.sequence(F.lit(1), F.lit(n) + F.col("e"))).alias("rank"))
-    rows = places.join(pop, "rank")
-    if excl is not None:
-        rows = rows.join(excl, ["user_id", "item_id"], "left_anti")
-    w = Window.partitionBy("user_id").orderBy("rank")
-    top = F.max("score").over(Window.partitionBy("user_id"))
-    return rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n) \
-        .select("user_id", F.col("r").alias("rank"), "item_id",
-                F.when(top > 0, F.col("score") / top).otherwise(F.lit(0.0)).alias("score"))
+    """M15 per user: the popular list without the user's excluded items, cut to n, divided
+    by the largest value left.
+
+    A user's j-th excluded place p takes a place of the first n away if p - j < n, so a user
+    looks as far as n and that many more places, whatever else they exclude. Places and the
+    numbers j come from ``numbered``, so no user's exclusions meet in one task. The first
+    places, which every user looks at, are broadcast (at most ``HEAD_PLACES``); those
+    beyond are joined by place."""
+    users = users.select("user_id")
+    mine = None if excl is None else excl.join(users, "user_id", "left_semi")
+    if mine is None or not mine.limit(1).count():
+        pop = popular_items(model, n)
+        rows = users.select("user_id", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("place")) \
+            .join(F.broadcast(pop.withColumnRenamed("rank", "place")), "place") if n <= HEAD_PLACES else \
+            users.select("user_id", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("place")) \
+            .join(pop.withColumnRenamed("rank", "place"), "place")
+    else:
+        listed = model.item_factors.select("item_id", _norm(F.col("f")).alias("nv"), F.lit(0).alias("all"))
+        places = numbered(listed, "all", [F.round("nv", fixed.RANK_PLACES).desc(), F.col("item_id").asc()], "place") \
+            .select("place", "item_id", F.col("nv").alias("score"))
+        taken = numbered(mine.join(places.select("item_id", "place"), "item_id").select("user_id", "place"),
+                         "user_id", [F.col("place").asc()], "j") \
+            .where(F.col("place") - F.col("j") < n).select("user_id", "place")
+        more = taken.groupBy("user_id").agg(F.count(F.lit(1)).alias("more"))
+        looked = users.join(more, "user_id", "left").select("user_id", F.explode(F.sequence(
+            F.lit(1).cast("long"), F.lit(n) + F.coalesce("more", F.lit(0)))).alias("place")) \
+            .join(taken, ["user_id", "place"], "left_anti")
+        head = F.col("place") <= HEAD_PLACES
+        rows = looked.where(head).join(F.broadcast(places.where(head)), "place") \
+            .unionByName(looked.where(~head).join(places.where(~head), "place"))
+    w = Window.partitionBy("user_id")  # at most n rows
+    top = F.max("score").over(w)
+    return rows.withColumn("rank", F.row_number().over(w.orderBy("place"))) \
+        .select("user_id", "rank", "item_id", F.when(top > 0, F.col("score") / top).otherwise(F.lit(0.0)).alias("score"))
 
 
 def similar(factors: DataFrame, id_col: str, n: int, sources: DataFrame | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankfold.functions.scalar import json_object_or_empty
+from rankfold.operators.numbering import numbered
 
 
 def active(df: DataFrame) -> DataFrame:
@@ -45,6 +46,12 @@ def newest_per_key(df: DataFrame, key: str, limit: int, ts: str = "timestamp",
     return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit)
 
 
+def full_history(df: DataFrame, key: str, ts: str = "timestamp", tie: str = "seq") -> DataFrame:
+    """P7 / W3 without a limit: all rows per key, newest first, numbered in ``rn``. A hot
+    key is spread over as many tasks as its rows need."""
+    return numbered(df, key, [F.col(ts).desc(), F.col(tie).desc()])
+
+
 def user_interactions(interactions: DataFrame, types: list[str] | None = None) -> DataFrame:
     """P6 filter part: a user's interactions, optional type list."""
     return interactions if not types else interactions.where(F.col("interaction_type").isin(types))

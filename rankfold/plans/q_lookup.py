@@ -66,9 +66,8 @@ SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY timestamp
        seq, user_id FROM interactions_v""")
 def q_item_history(spark, sf):
     """Every item's interactions, newest first."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("item_id").orderBy(F.col("timestamp").desc(), F.col("seq").desc())
-    return interactions(spark, sf).select("item_id", F.row_number().over(w).alias("rn"), "seq", "user_id")
+    x = interactions(spark, sf).select("item_id", "timestamp", "seq", "user_id")
+    return L.full_history(x, "item_id").select("item_id", F.col("rn").cast("int").alias("rn"), "seq", "user_id")
 
 
 @query("item_exists", sql=V.sql_with("items_v", "interactions_raw_v") + """
