@@ -43,11 +43,13 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component: its first row. Rows are told apart
     by a number of their own, so ids may be null or repeated."""
-    rows = materialise(docs.select(F.struct(*docs.columns).alias("d"), F.col("text").alias("_text"),
-                                   F.monotonically_increasing_id().alias("_row")), "pipeline-rows")
-    comp = ngram_join.near_duplicates(rows, "_row", "_text")
-    kept = materialise(comp.where("_row = component_id").select("_row"), "pipeline-kept")
-    return rows.join(kept, "_row", "left_semi").select("d.*")
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
+    comp = ngram_join.near_duplicates(rows, row)
+    kept = materialise(comp.where(F.col(row) == F.col("component_id")).select(row), "pipeline-kept")
+    return rows.join(kept, row, "left_semi").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
