@@ -109,7 +109,7 @@ def test_pipeline_keeps_what_is_no_copy(spark):
     rows = [(1, a, "en"), (1, b, "en"), (2, a + " more", "en"), (None, b, "de"), (None, c, None), (None, c, None), (3, "", "en"),
             (4, None, None), (5, c + " x", "en"), (6, "two words", "en"), (6, "two words", "en")]
     docs = spark.createDataFrame([(*r, r[2], i, i) for i, r in enumerate(rows)], "doc_id long, text string, lang string, d string, "
-                                 "component_id long, node long")
+                                 "component_id long, node long").withColumn("_row", F.lit(1))
     out = P.one_of_each(spark, docs, SF)
     assert out.columns == docs.columns
     texts = sorted((r.text or "")[:3] for r in out.collect())
