@@ -10,6 +10,7 @@ lists), then rank inside the source.
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict, dataclass, fields
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,17 +22,38 @@ from rankfold.operators import collab as K
 from rankfold.operators import content as C
 
 
-def _rank(df: DataFrame, key: str, n: int, order) -> DataFrame:
+@dataclass(frozen=True)
+class Weights:
+    """How the two sources are blended; the ``cold`` pair counts for users with fewer
+    liked entries than ``cold_start_threshold``."""
+    content_weight: float = fixed.CONTENT_WEIGHT
+    collaborative_weight: float = fixed.COLLAB_WEIGHT
+    cold_start_threshold: int = fixed.COLD_START_THRESHOLD
+    cold_content_weight: float = fixed.COLD_START_CONTENT_WEIGHT
+    cold_collaborative_weight: float = fixed.COLD_START_COLLAB_WEIGHT
+
+    def config(self) -> dict:
+        return asdict(self)
+
+    @classmethod
+    def of(cls, config: dict) -> Weights:
+        """From a saved configuration; what it does not name keeps its default."""
+        return cls(**{f.name: config[f.name] for f in fields(cls) if f.name in config})
+
+
+def _rank(df: DataFrame, key: str, n: int | str, order) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= (F.col(n) if isinstance(n, str) else n))
 
 
 # --- M21 --------------------------------------------------------------------------
 
 def similar_items(cmodel: C.ContentModel | None, kmodel: K.CollabModel | None, n: int,
-                  sources: DataFrame | None = None) -> DataFrame:
+                  sources: DataFrame | None = None, exclude: DataFrame | None = None) -> DataFrame:
     """Similar items from both sources: content 2n, collaborative 2n (new ids only,
-    x 0.8), merged, top n. Returns (item_id, rank, other_id, score, explanation)."""
+    x 0.8), merged, top n. Pairs (item_id, other_id) of ``exclude`` are taken out of
+    both lists before they are merged (so fewer than n may remain).
+    Returns (item_id, rank, other_id, score, explanation)."""
     parts = []
     with ThreadPoolExecutor(max_workers=2) as pool:  # overlap the two legs' eager steps
         fc = pool.submit(C.similar_items, cmodel, n, sources, fixed.SIMILAR_OVERFETCH * n) \
@@ -55,6 +77,8 @@ def similar_items(cmodel: C.ContentModel | None, kmodel: K.CollabModel | None, n
     if not parts:
         raise RuntimeError("no trained model")
     allc = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    if exclude is not None:
+        allc = allc.join(exclude.select("item_id", "other_id"), ["item_id", "other_id"], "left_anti")
     return _rank(allc, "item_id", n, [rank_score(F.col("score")).desc(), "src", "src_rank"]) \
         .select("item_id", "rank", "other_id", "score", "explanation")
 
@@ -80,11 +104,12 @@ def recommend_collab(kmodel, users, exclude, n):
 
 
 def recommend_hybrid(cmodel: C.ContentModel | None, kmodel: K.CollabModel | None, users: DataFrame,
-                     liked: DataFrame, exclude: DataFrame | None, n: int) -> DataFrame:
+                     liked: DataFrame, exclude: DataFrame | None, n: int,
+                     weights: Weights = Weights()) -> DataFrame:
     """3n from each source, full outer join by item, weighted sum.
 
     Weights .4/.6, or .8/.2 when the liked list (with repeats) has fewer than 5
-    entries. Returns (user_id, rank, item_id, score, explanation)."""
+    entries, unless given. Returns (user_id, rank, item_id, score, explanation)."""
     m = fixed.BLEND_OVERFETCH * n
     us = users.select("user_id").distinct()
     n_liked = liked.groupBy("user_id").agg(F.sum("n_likes").alias("n_liked"))
@@ -101,25 +126,36 @@ def recommend_hybrid(cmodel: C.ContentModel | None, kmodel: K.CollabModel | None
         legs = [f.result() for f in [pool.submit(t) for t in tasks]]
     if not legs:
         raise RuntimeError("no trained model")
-    if len(legs) == 2:
-        j = legs[0].join(legs[1], ["user_id", "item_id"], "full_outer")  # J3
-    elif cmodel is not None:
-        j = legs[0].withColumn("ks", F.lit(None).cast("double")).withColumn("kr", F.lit(None).cast("int"))
+    by = iter(legs)
+    j = blend_legs(next(by) if cmodel is not None else None, next(by) if kmodel is not None else None, n_liked, weights)
+    return _rank(j, "user_id", n, blend_order()).select("user_id", "rank", "item_id", "score", "explanation")
+
+
+def blend_legs(content: DataFrame | None, collab: DataFrame | None, n_liked: DataFrame, weights: Weights) -> DataFrame:
+    """(user_id, item_id, score, explanation, src, src_rank): content rows (user_id, item_id,
+    cs, cr) and collaborative rows (user_id, item_id, ks, kr) of each user and item blended."""
+    if content is not None and collab is not None:
+        j = content.join(collab, ["user_id", "item_id"], "full_outer")  # J3
+    elif content is not None:
+        j = content.withColumn("ks", F.lit(None).cast("double")).withColumn("kr", F.lit(None).cast("int"))
     else:
-        j = legs[0].withColumn("cs", F.lit(None).cast("double")).withColumn("cr", F.lit(None).cast("int"))
+        j = collab.withColumn("cs", F.lit(None).cast("double")).withColumn("cr", F.lit(None).cast("int"))
     j = j.join(n_liked, "user_id", "left")
-    cold = F.coalesce(F.col("n_liked"), F.lit(0)) < fixed.COLD_START_THRESHOLD
-    wc = F.when(cold, F.lit(fixed.COLD_START_CONTENT_WEIGHT)).otherwise(F.lit(fixed.CONTENT_WEIGHT))
-    wk = F.when(cold, F.lit(fixed.COLD_START_COLLAB_WEIGHT)).otherwise(F.lit(fixed.COLLAB_WEIGHT))
+    cold = F.coalesce(F.col("n_liked"), F.lit(0)) < weights.cold_start_threshold
+    wc = F.when(cold, F.lit(weights.cold_content_weight)).otherwise(F.lit(weights.content_weight))
+    wk = F.when(cold, F.lit(weights.cold_collaborative_weight)).otherwise(F.lit(weights.collaborative_weight))
     score = wc * F.coalesce(F.col("cs"), F.lit(0.0)) + wk * F.coalesce(F.col("ks"), F.lit(0.0))
     expl = (F.when(F.col("cs").isNotNull() & F.col("ks").isNotNull(), F.lit(fixed.EXPLAIN_BOTH))
              .when(F.col("cs").isNotNull(), F.lit(fixed.EXPLAIN_CONTENT))
              .otherwise(F.lit(fixed.EXPLAIN_COLLAB)))
-    j = j.select("user_id", "item_id", score.alias("score"), expl.alias("explanation"),
-                 F.when(F.col("cs").isNotNull(), 0).otherwise(1).alias("src"),
-                 F.coalesce(F.col("cr"), F.col("kr")).alias("src_rank"))
-    return _rank(j, "user_id", n, [rank_score(F.col("score")).desc(), "src", "src_rank"]) \
-        .select("user_id", "rank", "item_id", "score", "explanation")
+    return j.select("user_id", "item_id", score.alias("score"), expl.alias("explanation"),
+                    F.when(F.col("cs").isNotNull(), 0).otherwise(1).alias("src"),
+                    F.coalesce(F.col("cr"), F.col("kr")).alias("src_rank"))
+
+
+def blend_order() -> list:
+    """Score, then source (content first), then the rank in the source."""
+    return [rank_score(F.col("score")).desc(), F.col("src"), F.col("src_rank")]
 
 
 # --- M26 ------------------------------------------------------------------------------
@@ -196,10 +232,10 @@ def train_models(items: DataFrame, strengths: DataFrame, strategy: str = "hybrid
 
 def dispatch(cmodel, kmodel, n: int, strategy: str = "hybrid", users: DataFrame | None = None,
              items: DataFrame | None = None, liked: DataFrame | None = None,
-             exclude: DataFrame | None = None) -> DataFrame:
+             exclude: DataFrame | None = None, weights: Weights = Weights()) -> DataFrame:
     """Item requests without a user go to similar items (M21); user
     requests go to the strategy's operator (M22 / M23 / M24). Untrained
-    sources are skipped; nothing trained -> error (the caller falls back, M26)."""
+    sources are skipped; nothing trained -> error (``requests.answer`` falls back, M26)."""
     if strategy not in fixed.STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}")
     if users is None:
@@ -217,7 +253,7 @@ def dispatch(cmodel, kmodel, n: int, strategy: str = "hybrid", users: DataFrame
             return users.sparkSession.createDataFrame(
                 [], "user_id string, rank int, item_id string, score double, explanation string")
         return recommend_collab(kmodel, users, exclude, n)
-    return recommend_hybrid(cmodel, kmodel, users, liked, exclude, n)
+    return recommend_hybrid(cmodel, kmodel, users, liked, exclude, n, weights)
 
 
 def training_info(cmodel, kmodel, content_weight: float = fixed.CONTENT_WEIGHT,

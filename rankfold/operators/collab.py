@@ -149,60 +149,59 @@ def popular_items(model: CollabModel, n: int) -> DataFrame:
                       F.when(mx > 0, F.col("nv") / mx).otherwise(F.lit(0.0)).alias("score"))
 
 
-def recommend(model: CollabModel, users: DataFrame, exclude: DataFrame | None, n: int) -> DataFrame:
-    """M16 + M15 + J9 for a set of users: (user_id, rank, item_id, score).
+def recommend(model: CollabModel, users: DataFrame, exclude: DataFrame | None, n: int | DataFrame) -> DataFrame:
+    """M16 + M15 + J9 for a set of users: (user_id, rank, item_id, score). ``n`` is a
+    number or a table (user_id, n).
 
     Known users: U S V' row, excluded items removed, top n on the raw score,
     clipped. Users without factors: the popular list without their excluded items.
     """
     us = users.select("user_id").distinct()
+    us = us.join(n.select("user_id", "n"), "user_id") if isinstance(n, DataFrame) else us.withColumn("n", F.lit(n))
     excl = exclude.select("user_id", "item_id").distinct() if exclude is not None else None
-    q = us.join(model.user_factors, "user_id").select(F.col("user_id").alias("qid"), F.col("f").alias("val"))
+    q = us.join(model.user_factors, "user_id").select(F.col("user_id").alias("qid"), "n", F.col("f").alias("val"))
     cand = top_n_dot(q, model.item_factors.select(F.col("item_id").alias("cid"), F.col("f").alias("val")),
-                     n, dense=True, n_cands=model.info.get("num_items"),
+                     "n", dense=True, n_cands=model.info.get("num_items"),
                      exclude=None if excl is None else
                      excl.select(F.col("user_id").alias("qid"), F.col("item_id").alias("cid")))
     warm = cand.select(F.col("qid").alias("user_id"), "rank", F.col("cid").alias("item_id"),
                        clip01(F.col("score")).alias("score"))
     cold_users = us.join(model.user_factors.select("user_id"), "user_id", "left_anti")
-    return warm.unionByName(_cold(model, cold_users, excl, n))
+    return warm.unionByName(_cold(model, cold_users, excl))
 
 
 #: places that are sent to every task of the cold users' join
 HEAD_PLACES = 1000
 
 
-def _cold(model: CollabModel, users: DataFrame, excl: DataFrame | None, n: int) -> DataFrame:
-    """M15 per user: the popular list without the user's excluded items, cut to n, divided
-    by the largest value left.
+def _cold(model: CollabModel, users: DataFrame, excl: DataFrame | None) -> DataFrame:
+    """M15 per user (user_id, n): the popular list without the user's excluded items, cut to
+    n, divided by the largest value left.
 
     A user's j-th excluded place p takes a place of the first n away if p - j < n, so a user
     looks as far as n and that many more places, whatever else they exclude. Places and the
     numbers j come from ``numbered``, so no user's exclusions meet in one task. The first
     places, which every user looks at, are broadcast (at most ``HEAD_PLACES``); those
     beyond are joined by place."""
-    users = users.select("user_id")
-    mine = None if excl is None else excl.join(users, "user_id", "left_semi")
+    most = users.agg(F.max("n")).first()[0]
+    mine = None if excl is None or most is None else excl.join(users, "user_id", "left_semi")
     if mine is None or not mine.limit(1).count():
-        pop = popular_items(model, n)
-        rows = users.select("user_id", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("place")) \
-            .join(F.broadcast(pop.withColumnRenamed("rank", "place")), "place") if n <= HEAD_PLACES else \
-            users.select("user_id", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("place")) \
-            .join(pop.withColumnRenamed("rank", "place"), "place")
+        places = popular_items(model, most or 1).select(F.col("rank").cast("long").alias("place"), "item_id", "score")
+        looked = users.select("user_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long"))).alias("place"))
     else:
         listed = model.item_factors.select("item_id", _norm(F.col("f")).alias("nv"), F.lit(0).alias("all"))
         places = numbered(listed, "all", [F.round("nv", fixed.RANK_PLACES).desc(), F.col("item_id").asc()], "place") \
             .select("place", "item_id", F.col("nv").alias("score"))
         taken = numbered(mine.join(places.select("item_id", "place"), "item_id").select("user_id", "place"),
-                         "user_id", [F.col("place").asc()], "j") \
-            .where(F.col("place") - F.col("j") < n).select("user_id", "place")
+                         "user_id", [F.col("place").asc()], "j").join(users, "user_id") \
+            .where(F.col("place") - F.col("j") < F.col("n")).select("user_id", "place")
         more = taken.groupBy("user_id").agg(F.count(F.lit(1)).alias("more"))
         looked = users.join(more, "user_id", "left").select("user_id", F.explode(F.sequence(
-            F.lit(1).cast("long"), F.lit(n) + F.coalesce("more", F.lit(0)))).alias("place")) \
+            F.lit(1).cast("long"), F.col("n") + F.coalesce("more", F.lit(0)))).alias("place")) \
             .join(taken, ["user_id", "place"], "left_anti")
-        head = F.col("place") <= HEAD_PLACES
-        rows = looked.where(head).join(F.broadcast(places.where(head)), "place") \
-            .unionByName(looked.where(~head).join(places.where(~head), "place"))
+    head = F.col("place") <= HEAD_PLACES
+    rows = looked.where(head).join(F.broadcast(places.where(head)), "place") \
+        .unionByName(looked.where(~head).join(places.where(~head), "place"))
     w = Window.partitionBy("user_id")  # at most n rows
     top = F.max("score").over(w)
     return rows.withColumn("rank", F.row_number().over(w.orderBy("place"))) \

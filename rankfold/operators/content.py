@@ -263,9 +263,9 @@ def train(items: DataFrame, cfg: ContentConfig | None = None, *, persist: bool =
 # --- M9 ------------------------------------------------------------------------
 
 def similar_items(model: ContentModel, n: int = 10, sources: DataFrame | None = None,
-                  k: int | None = None) -> DataFrame:
+                  k: int | None = None, exclude_self: bool = True) -> DataFrame:
     """M9 for every source item at once: top k (default n) by cosine, self
-    excluded, score > 0. Returns (item_id, rank, other_id, score).
+    excluded unless told otherwise, score > 0. Returns (item_id, rank, other_id, score).
 
     Items with identical feature vectors (same text, type, ...) are collapsed
     into one signature first, so the block product runs over distinct vectors
@@ -294,8 +294,9 @@ def similar_items(model: ContentModel, n: int = 10, sources: DataFrame | None =
     cand = cand.withColumn("cr", F.row_number().over(cw)).where(F.col("cr") <= k + 1)
     qitems = members if sources is None else members.join(sources.select("item_id").distinct(),
                                                           "item_id", "left_semi")
-    pairs = (qitems.join(cand.withColumnRenamed("qid", "sid"), "sid")
-             .where(F.col("item_id") != F.col("other_id")))
+    pairs = qitems.join(cand.withColumnRenamed("qid", "sid"), "sid")
+    if exclude_self:
+        pairs = pairs.where(F.col("item_id") != F.col("other_id"))
     w = Window.partitionBy("item_id").orderBy(F.col("cr"))
     return (pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("item_id", "rank", "other_id", "score"))
@@ -315,8 +316,8 @@ def similar_items_direct(model: ContentModel, n: int = 10, sources: DataFrame |
 # --- M10 -----------------------------------------------------------------------
 
 def recommend_from_liked(model: ContentModel, liked: DataFrame, exclude: DataFrame | None,
-                         n: int = 10) -> DataFrame:
-    """M10 for many users at once.
+                         n: int | DataFrame = 10) -> DataFrame:
+    """M10 for many users at once. ``n`` is a number or a table (user_id, n).
 
     liked:   (user_id, item_id, n_likes) -- the liked list with multiplicity
     exclude: (user_id, item_id) pairs to drop (liked items are always dropped)
@@ -342,6 +343,8 @@ def recommend_from_liked(model: ContentModel, liked: DataFrame, exclude: DataFra
     queries = profile.select(F.col("user_id").alias("qid"),
                              F.transform("p", lambda s: s["fid"]).alias("idx"),
                              F.transform("p", lambda s: s["v"]).alias("val"))
+    if isinstance(n, DataFrame):
+        queries, n = queries.join(n.select(F.col("user_id").alias("qid"), F.col("n").alias("k")), "qid"), "k"
     res = top_n_dot(queries, vec.withColumnRenamed("item_id", "cid"), n, dense=False, min_score=0.0,
                     exclude=excl.select(F.col("user_id").alias("qid"), F.col("item_id").alias("cid")),
                     n_cands=model.n_items)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from rankfold import fixed
 from rankfold.operators import collab as K
 from rankfold.operators import content as C
+from rankfold.operators.blend import Weights
 from rankfold.sources.files import _exists
 
 
@@ -68,25 +69,24 @@ def load_collab(spark: SparkSession, path: str) -> K.CollabModel:
 # --- S14: hybrid directory -------------------------------------------------------------------
 
 def save_hybrid(directory: str, content: C.ContentModel | None, collab: K.CollabModel | None,
-                content_weight: float = fixed.CONTENT_WEIGHT,
-                collab_weight: float = fixed.COLLAB_WEIGHT) -> None:
+                weights: Weights = Weights()) -> None:
+    """Both models and how they are blended (weights and cold-start threshold)."""
     d = directory.rstrip("/")
     spark = (content.vectors if content is not None else collab.user_factors).sparkSession
     if content is not None:
         save_content(content, f"{d}/content_model")
     if collab is not None:
         save_collab(collab, f"{d}/collaborative_model")
-    conf = {"content_weight": content_weight, "collaborative_weight": collab_weight,
-            "is_content_trained": content is not None, "is_collaborative_trained": collab is not None}
+    conf = {**weights.config(), "is_content_trained": content is not None, "is_collaborative_trained": collab is not None}
     spark.createDataFrame([(json.dumps(conf),)], "config string").coalesce(1) \
         .write.mode("overwrite").parquet(f"{d}/hybrid_config")
 
 
 def load_hybrid(spark: SparkSession, directory: str):
-    """Returns (content model or None, collab model or None, config dict);
-    missing parts are tolerated."""
+    """Returns (content model or None, collab model or None, config dict); missing parts are
+    tolerated. ``Weights.of(config)`` are the weights to blend with."""
     d = directory.rstrip("/")
-    conf = {"content_weight": fixed.CONTENT_WEIGHT, "collaborative_weight": fixed.COLLAB_WEIGHT}
+    conf = Weights().config()
     if _exists(spark, f"{d}/hybrid_config"):
         conf.update(json.loads(spark.read.parquet(f"{d}/hybrid_config").first()["config"]))
     content = load_content(spark, f"{d}/content_model") if _exists(spark, f"{d}/content_model/config") else None
