@@ -47,6 +47,8 @@ QUANTILE = 0.99
 #: a class with fewer texts is judged by pieces of that length, then by all languages
 MIN_TEXTS = 100
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+_MARK = regex.compile(r"\p{M}")
+FIRST_MARK = 0x300
 
 
 def gram_counts(text: str | None) -> tuple[np.ndarray, int]:
@@ -65,6 +67,8 @@ def gram_counts(text: str | None) -> tuple[np.ndarray, int]:
         c = np.frombuffer((carry + plain + end).encode("utf-32-le"), np.uint32)
         new = len(carry)
         letters += int((c[new:] != 32).sum())
+        if (c >= FIRST_MARK).any():  # marks are part of a word, but no letters
+            letters -= len(_MARK.findall(plain))
         h = c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         h2 = (h[:-1] >> np.uint64(7)) ^ (h[1:] * np.uint64(3))
         h3 = (h2[:-1] >> np.uint64(5)) ^ (h[2:] * np.uint64(7))

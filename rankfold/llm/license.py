@@ -16,7 +16,9 @@ The base phrases are counted separately at all places, suppressed or not.
 
 A null text counts as empty: 0 words, no places, null positions, empty labels,
 score 0. Overlapping places that tie (same interval, same priority) keep the
-label that sorts first. Repeated rows give repeated rows.
+label that sorts first. Repeated rows give repeated rows. A text is scanned whole, however
+long, in time linear in its places; an empty table gives an empty table; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 #: fixed values: base phrases and their labels
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
+#: marks that the suppression fold appends before it moves them on
+FOLD = 512
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: (label, preferred anchor word, names, short names); a name is a sequence of word patterns,
@@ -256,19 +260,26 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                                    F.when(hit, starts).otherwise(F.array().cast("array<int>")).alias("starts"),
                                    F.when(hit, base_labels).otherwise(F.array().cast("array<string>")).alias("base"),
                                    ))).alias("x"))
-    zero = F.struct(none.alias("kept"), *[F.lit(-1).alias(f"m{p}") for p in range(4)])
+    # the fold keeps four running maxima and a mark a place, in pieces of FOLD marks, so
+    # that no value grows with every step
+    zero = F.struct(F.lit("").alias("done"), F.lit("").alias("now"), *[F.lit(-1).alias(f"m{p}") for p in range(4)])
 
     def visit(acc: Column, d: Column) -> Column:
         end, p = -d["ne"], -d["np"]
         reach = F.greatest(*[F.when(F.lit(t) >= p, acc[f"m{t}"]).otherwise(F.lit(-1)) for t in range(4)])
+        full = F.octet_length(acc["now"]) >= FOLD
+        mark = F.when(reach >= end, F.lit("0")).otherwise(F.lit("1"))
         return F.struct(
-            F.when(reach >= end, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(d))).alias("kept"),
+            F.when(full, F.concat(acc["done"], acc["now"])).otherwise(acc["done"]).alias("done"),
+            F.when(full, mark).otherwise(F.concat(acc["now"], mark)).alias("now"),
             *[F.when(p == t, F.greatest(acc[f"m{t}"], end)).otherwise(acc[f"m{t}"]).alias(f"m{t}")
               for t in range(4)])
 
-    kept = F.when(F.size("x.dets") == 0, none).otherwise(
-        F.aggregate(F.array_sort("x.dets"), zero, visit, lambda acc: acc["kept"]))
-    step2 = step1.select(key, "n_words", "x", F.explode(F.array(kept)).alias("kept"))
+    marked = step1.select(key, "n_words", "x", F.explode(F.array(F.array_sort("x.dets"))).alias("dets"))
+    marks = F.split(F.aggregate("dets", zero, visit, lambda acc: F.concat(acc["done"], acc["now"])), "")
+    kept = F.when(F.size("dets") == 0, none).otherwise(F.transform(F.filter(
+        F.zip_with("dets", marks, lambda d, m: F.struct(d.alias("d"), m.alias("m"))), lambda x: x["m"] == "1"), lambda x: x["d"]))
+    step2 = marked.select(key, "n_words", "x", F.explode(F.array(kept)).alias("kept"))
     return step2.select(
         key, "n_words", F.size("x.starts").cast("long").alias("n_base"),
         F.get("x.starts", F.lit(0)).cast("long").alias("first_word"),

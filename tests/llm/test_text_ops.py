@@ -45,6 +45,24 @@ def test_bpe_equals_library(spark, tokenizer):
     assert {r[0]: r[1] for r in bpe.decode(ids, vocabulary()).collect()} == {i: t or "" for i, t in enumerate(texts[:6])}
 
 
+def test_license_scan_of_many_places(spark):
+    """Suppression stays linear: tens of thousands of places in one text."""
+    n = 40_000
+    got = license.scan(docs(spark, ["all rights reserved " * n, "gplv3 " * 3])).collect()
+    row = next(r for r in got if r["doc_id"] == 0)
+    assert (row["n_base"], row["first_word"], row["last_word"], len(row["spans"])) == (n, 0, 3 * (n - 1), n)
+    assert {r["start"] % 3 for r in row["spans"]} == {0}
+
+
+def test_marks_are_no_letters(spark):
+    train = spark.createDataFrame([(i, "the cat and the dog", "en") for i in range(5)], "doc_id long, text string, lang string")
+    model = langid.fit(train)
+    texts = ["\u2764\ufe0f", "\u0301", "\u0301 12", "e\u0301", "the cat"]
+    got = {r["text"]: r["lang_pred"] for r in langid.predict(spark.createDataFrame([(t,) for t in texts], "text string"), model).collect()}
+    assert [got[t] for t in texts[:3]] == ["und"] * 3 and "und" not in (got[texts[3]], got[texts[4]])
+    assert langid.gram_counts("e\u0301a")[1] == 2
+
+
 def test_packing_takes_long_blank_runs(spark):
     texts = ["a" + " " * 600_000 + "b", "\n" * 700_000, " \t" * 300_000 + "<|endoftext|>x"]
     parts = packing.pieces(docs(spark, texts), vocabulary()).groupBy("doc_id").agg(F.sum("length").alias("n"))
