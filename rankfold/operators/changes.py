@@ -5,7 +5,7 @@ rejected rows). Callers persist the result by writing a new table version."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -66,12 +66,22 @@ def check_items(interactions: DataFrame, items: DataFrame) -> tuple[DataFrame, D
             interactions.join(ids, "item_id", "left_anti"))
 
 
-def record_interactions(interactions: DataFrame, items: DataFrame, now=None) -> DataFrame:
-    """Stamp id and default timestamp on accepted rows."""
+def derived_id(*parts) -> Column:
+    """An id in the form of a UUID that the same parts always give."""
+    h = F.md5(F.concat_ws("\u0001", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
+    cuts = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
+    return F.concat_ws("-", *[F.substring(h, at, n) for at, n in cuts])
+
+
+def record_interactions(interactions: DataFrame, items: DataFrame, now=None, source=None) -> DataFrame:
+    """Stamp id and default timestamp on accepted rows. With ``source`` (a column or
+    text naming where the rows come from) ids derive from it and ``seq``, so the same rows
+    get the same ids again; without, they are random."""
     now = now if now is not None else F.current_timestamp().cast("timestamp_ntz")
     ok, _ = check_items(interactions, items)
-    return ok.select("*", F.expr("uuid()").alias("interaction_id"),
-                     now.alias("created_at")).withColumn(
+    name = F.expr("uuid()") if source is None else derived_id(
+        source if isinstance(source, Column) else F.lit(source), F.col("seq"))
+    return ok.select("*", name.alias("interaction_id"), now.alias("created_at")).withColumn(
         "timestamp", F.coalesce(F.col("timestamp"), now))
 
 

@@ -31,9 +31,11 @@ def exists(table: DataFrame, key: str, requests: DataFrame) -> DataFrame:
 
 
 def page(table: DataFrame, order: list, offset: int = 0, limit: int = 100,
-         where=None) -> DataFrame:
-    """Filter, total order, offset + limit (a top-k, not a full sort)."""
-    df = table if where is None else table.where(where)
+         where=None, include_inactive: bool = False) -> DataFrame:
+    """Filter (inactive rows go unless asked for), total order, offset +
+    limit (a top-k, not a full sort)."""
+    df = table if include_inactive else active(table)
+    df = df if where is None else df.where(where)
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
@@ -57,10 +59,28 @@ def user_interactions(interactions: DataFrame, types: list[str] | None = None) -
     return interactions if not types else interactions.where(F.col("interaction_type").isin(types))
 
 
+def _records(df: DataFrame, columns: list[str], json_columns: list[str]) -> DataFrame:
+    return df.select(*[json_object_or_empty(F.col(c)).alias(c) if c in json_columns else F.col(c)
+                       for c in columns if c in df.columns])
+
+
+# Rows as records, null JSON -> '{}'; columns that a table does not have are left out
+
 def item_records(items: DataFrame) -> DataFrame:
-    """Row -> record projection, null JSON -> '{}'."""
-    return items.select(
-        "item_id", "title", "item_type", "description",
-        json_object_or_empty(F.col("features")).alias("features"),
-        json_object_or_empty(F.col("metadata")).alias("metadata"),
-        *[c for c in ("is_active", "created_at", "updated_at") if c in items.columns])
+    return _records(items, ["item_id", "title", "item_type", "description", "features", "metadata", "is_active",
+                            "created_at", "updated_at"], ["features", "metadata"])
+
+
+def user_records(users: DataFrame) -> DataFrame:
+    return _records(users, ["user_id", "preferences", "is_active", "created_at", "last_active_at"], ["preferences"])
+
+
+def interaction_records(interactions: DataFrame) -> DataFrame:
+    return _records(interactions, ["interaction_id", "seq", "user_id", "item_id", "interaction_type", "value", "context",
+                                   "timestamp", "created_at"], ["context"])
+
+
+def artifact_records(artifacts: DataFrame) -> DataFrame:
+    return _records(artifacts, ["model_name", "model_version", "model_type", "artifact_path", "hyperparameters", "metrics",
+                                "item_count", "user_count", "interaction_count", "is_active", "trained_at"],
+                    ["hyperparameters", "metrics"])

@@ -52,8 +52,19 @@ def strength_summary(strengths: DataFrame) -> DataFrame:
 
 
 def request_counters(requests: DataFrame) -> DataFrame:
-    """Request counts by endpoint and status."""
-    return requests.groupBy("endpoint", "status").agg(F.count(F.lit(1)).alias("n"))
+    """Request counts by endpoint, method (where the log has it) and status."""
+    keys = [c for c in ("endpoint", "method", "status") if c in requests.columns]
+    return requests.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def training_counters(runs: DataFrame) -> DataFrame:
+    """Training runs by model type and status."""
+    return runs.groupBy("model_type", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def interaction_count(interactions: DataFrame, keys: list[str]) -> DataFrame:
+    """A5: interactions per user, item or both."""
+    return interactions.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
 def latency_histogram(requests: DataFrame, ms_col: str = "processing_time_ms") -> DataFrame:

@@ -38,7 +38,7 @@ def query(name: str, sql: str | None = None, bench: bool = False):
 def load_all() -> dict[str, Query]:
     # importing the modules registers their queries
     from rankfold.plans import (  # noqa: F401
-        q_ingest, q_lookup, q_stats, q_changes, q_content, q_collab, q_blend, q_factors, q_requests, q_store,
-        q_stream,
+        q_ingest, q_lookup, q_stats, q_changes, q_content, q_collab, q_blend, q_factors, q_requests,
+        q_records, q_store, q_stream,
     )
     return QUERIES

@@ -27,7 +27,8 @@ class ImportResult:
     stats: DataFrame   # (entity, imported, skipped)
 
 
-def import_dataset(store: Dataset, batch: Dataset, skip_errors: bool = True) -> ImportResult:
+def import_dataset(store: Dataset, batch: Dataset, skip_errors: bool = True, source: str = "import") -> ImportResult:
+    """``source`` names the batch: ids of its interactions derive from it and their ``seq``."""
     items, new_items, rej_items = _insert(store.items, batch.items, "item_id")
     if not skip_errors and rej_items.limit(1).count() > 0:
         raise ValueError("item conflict during import")
@@ -36,7 +37,8 @@ def import_dataset(store: Dataset, batch: Dataset, skip_errors: bool = True) ->
     users_all = changes.get_or_create_users(users, inter_in)
     auto = users_all.where("created").drop("created")
     users = users_all.drop("created")
-    ok, bad = changes.check_items(inter_in, items)
+    bad = changes.check_items(inter_in, items)[1]
+    ok = changes.record_interactions(inter_in, items, source=source)
     interactions = store.interactions.unionByName(ok, allowMissingColumns=True)
     stats = (_counts("items", new_items, rej_items)
              .unionByName(_counts("users", new_users, rej_users))

@@ -73,10 +73,19 @@ def write_epoch(batch: DataFrame, path: str, epoch: int) -> None:
     batch.write.mode("overwrite").parquet(f"{path}/{EPOCH}={epoch}")
 
 
+def epoch_time(spark: SparkSession, path: str, epoch: int):
+    """The time at which an epoch was first begun, written down before its rows, so that a
+    replay stamps the same one."""
+    at = f"{path.rstrip('/')}-times/{EPOCH}={epoch}"
+    if not _exists(spark, f"{at}/*.parquet"):
+        spark.range(1).select(F.current_timestamp().cast("timestamp_ntz").alias("at")).write.mode("overwrite").parquet(at)
+    return spark.read.parquet(at).first()["at"]
+
+
 class VersionedTable:
     """A keyed table maintained by micro-batches. Each one adds its rows as an epoch
     of the table at ``path``; the rows of a key are those of the last epoch that has
-    the key. A micro-batch costs what it holds, not what the table holds, and the
+    the key. Writing an epoch costs what it holds; reading merges all epochs, and the
     table's state is nowhere but in its folder. ``compact`` writes the current rows
     as one epoch of another folder, to go on from there."""
 
@@ -146,18 +155,20 @@ def ingest_interactions(stream: DataFrame, items_path: str, users_path: str, out
     """R1 batch function: validate (V3), create unknown users (U3, before the
     item check), foreign-key check (J1), write accepted rows (stamped with an id and
     a default timestamp, U7) and rejected rows as an epoch of their tables. Users
-    that exist are not created again, so a replayed epoch changes nothing."""
+    that exist are not created again, ids derive from the table, the epoch and ``seq``,
+    and times from when the epoch first began, so a replayed epoch changes nothing."""
     def fn(batch: DataFrame, epoch: int):
         spark = batch.sparkSession
         if "timestamp" not in batch.columns:
             batch = batch.withColumn("timestamp", F.lit(None).cast("timestamp_ntz"))
         items = spark.read.parquet(items_path)
         users = spark.read.parquet(users_path)
+        now = F.lit(epoch_time(spark, out_path, epoch)).cast("timestamp_ntz")
         ok, bad = validate.split(batch, validate.interaction_rules())
-        new_users = changes.get_or_create_users(users, ok).where("created").drop("created")
+        new_users = changes.get_or_create_users(users, ok, now).where("created").drop("created")
         new_users.write.mode("append").parquet(users_path)
         unknown = changes.check_items(ok, items)[1]
-        write_epoch(changes.record_interactions(ok, items), out_path, epoch)
+        write_epoch(changes.record_interactions(ok, items, now, F.lit(f"{out_path}#{epoch}")), out_path, epoch)
         write_epoch(bad.unionByName(unknown.withColumn("reason", F.lit("unknown item"))), rejects_path, epoch)
     return fn
 

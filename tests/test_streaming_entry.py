@@ -66,9 +66,11 @@ def test_micro_batch_ingest(spark, tmp_dir):
     stream = spark.readStream.schema(schema).parquet(src)
     fn = streams.ingest_interactions(stream, items_p, users_p, f"{tmp_dir}/out", f"{tmp_dir}/rej")
     streams.run_available_now(stream, "ingest-test", "append", fn)
+    first = spark.read.parquet(f"{tmp_dir}/out").collect()
     fn(spark.read.schema(schema).parquet(src), 0)  # the epoch once more
     (row,) = spark.read.parquet(f"{tmp_dir}/out").collect()
     assert row.seq == 1 and row.interaction_id and row.timestamp is not None
+    assert first == [row]  # the replay gives the same row, id and time included
     assert spark.read.parquet(users_p).count() == 2
     assert spark.read.parquet(f"{tmp_dir}/rej").count() == 2
     rej = {r.seq: r.reason for r in spark.read.parquet(f"{tmp_dir}/rej").collect()}
