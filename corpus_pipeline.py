@@ -41,12 +41,16 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component: its first row. Rows are told apart
-    by a number of their own, so ids may be null or repeated."""
-    row = "_row"
-    while row in docs.columns:
-        row += "_"
-    rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
+    """One document of each near-duplicate component: that with the smallest id. If an id
+    is null or repeated, rows are told apart by a number of their own instead, and the
+    first row of a component stays; which documents are linked does not depend on it."""
+    n = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    row, rows = "doc_id", docs
+    if n["rows"] != n["ids"]:
+        row = "_row"
+        while row in docs.columns:
+            row += "_"
+        rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
     comp = ngram_join.near_duplicates(rows, row)
     kept = materialise(comp.where(F.col(row) == F.col("component_id")).select(row), "pipeline-kept")
     return rows.join(kept, row, "left_semi").select(docs.columns)
