@@ -81,7 +81,7 @@ def test_strengths_do_not_depend_on_splits(spark, tmp_dir, split_size):
     """Order decides the fold (a rating replaces what came before): one file, several split sizes."""
     rng = random.Random(23)
     rows = [{"user_id": f"u{rng.randrange(5)}", "item_id": f"i{rng.randrange(6)}",
-             "interaction_type": rng.choice(["view", "like", "dislike", "rating"]), "value": rng.randrange(11)} for _ in range(4000)]
+             "interaction_type": rng.choice(["view", "like", "dislike", "rating"]), "value": rng.randrange(11)} for _ in range(1500)]
     with open(f"{tmp_dir}/x.json", "w") as f:
         f.write("\n".join(map(json.dumps, rows)))
     with open(f"{tmp_dir}/x.csv", "w") as f:
@@ -89,12 +89,12 @@ def test_strengths_do_not_depend_on_splits(spark, tmp_dir, split_size):
         out.writeheader()
         out.writerows(rows)
     seen = set()
-    for size in (10_000, 55_555, 1 << 24):
+    for size in (9_000, 1 << 24):
         split_size(size)
         for ds in (files.load_json(spark, interactions_path=f"{tmp_dir}/x.json"),
                    files.load_csv(spark, interactions_path=f"{tmp_dir}/x.csv")):
             log = ds.interactions
-            assert log.select("seq").distinct().count() == 4000
+            assert log.select("seq").distinct().count() == 1500
             seen.add(tuple(sorted(tuple(r) for r in strength.strength_fold(log).collect())))
     assert len(seen) == 1
 
