@@ -210,10 +210,12 @@ def truncated_svd(a: DataFrame, row: str, col: str, columns: DataFrame, n_rows:
     """The k largest singular values of ``a`` (row, col, s) and their right vectors, one row
     per id of ``columns``."""
     width = min(n_cols, max(2 * k, 16))
-    block = checkpoint(_gauss_block(columns, width, seed))
-    m, _ = _whitening(_moments(block, lambda y: (y, y)), 1e-8)
-    again, _ = _whitening(_moments(block, lambda y: (y @ m, y @ m)), 1e-8)
-    m = m @ again
+    block = _gauss_block(columns, width, seed)               # the same numbers whenever it is computed
+    gram = _moments(block, lambda y: (y, y))
+    m, _ = _whitening(gram, 1e-8)
+    if np.linalg.cond(gram) > 1e7:                           # one whitening left errors: once more
+        again, _ = _whitening(_moments(block, lambda y: (y @ m, y @ m)), 1e-8)
+        m = m @ again
     width = m.shape[1]
     basis = checkpoint(mapped(block, lambda y: y @ m))
     t = np.zeros((0, 0))
