@@ -19,8 +19,10 @@ with at most 2 k columns gets there in one step). A basis that grows beyond ``BA
 Sparse-by-dense product: the entries are dealt into a grid of cells by (source block,
 destination part), so neither a hot row nor a hot column meets in one task. A task holds
 its block of the dense matrix and streams its entries, sorted by destination: what leaves
-it is one row of sums per destination, not one row per entry. Blocks are bounded in bytes;
-only if there are several are the cells' sums added up by a second exchange.
+it is one row of sums per destination, not one row per entry. Blocks are bounded in bytes,
+and the grid is cut so that the dense rows copied and the sums sent are fewest: parts for
+a short source side, blocks for a short destination side. Only if there are several blocks
+are the cells' sums added up by a second exchange.
 
 The driver sees matrices of basis x block numbers; all tables stay distributed and each
 step is checkpointed in the shared folder.
@@ -110,21 +112,34 @@ def sum_rows(rows: DataFrame) -> DataFrame:
     return rows.select("id", "arr").repartition(parts, "id").sortWithinPartitions("id").mapInArrow(run, ROW)
 
 
-def multiply(a: DataFrame, x: DataFrame, src: str, dst: str, n_src: int, width: int) -> DataFrame:
+def blocks_for(n_src: int, n_dst: int | None, width: int, cells: int) -> int:
+    """Source blocks of a product: enough for their bytes, and of those up to ``cells`` the
+    number with the fewest rows sent (copies of dense rows, sums of several blocks)."""
+    least = max(1, math.ceil(n_src * width * 8 / BLOCK_BYTES))
+    if n_dst is None or least >= cells:
+        return least
+    sent = lambda b: n_src * max(1, cells // b) + (n_dst * b if b > 1 else 0)
+    return min((b for b in {least, *(2 ** i for i in range(16)), cells} if least <= b <= cells), key=lambda b: (sent(b), b))
+
+
+def multiply(a: DataFrame, x: DataFrame, src: str, dst: str, n_src: int, width: int, n_dst: int | None = None) -> DataFrame:
     """(id, arr): for every ``dst`` the sum over its entries of s * x[src]. ``a`` has the
     columns src, dst, s; ``x`` (id, arr of ``width``); sources without a vector add nothing."""
     ship_package(a.sparkSession)
-    blocks = max(1, math.ceil(n_src * width * 8 / BLOCK_BYTES))
-    parts = max(1, 2 * a.sparkSession.sparkContext.defaultParallelism // blocks)
+    cells = 2 * a.sparkSession.sparkContext.defaultParallelism
+    blocks = blocks_for(n_src, n_dst, width, cells)
+    parts = max(1, cells // blocks)
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     part = F.pmod(F.xxhash64(F.lit(1), dst), F.lit(parts)).cast("int")
     none = lambda t: F.lit(None).cast(t)
     every = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: i * blocks + block("id"))
+    # an empty array, not a null one: null arrays reach the tasks several times slower
+    no_vector = F.array().cast("array<double>")
     dense = x.select(F.explode(every).alias("cell"),
                      F.lit(0).alias("side"), F.col("id").alias("src"), none("string").alias("dst"),
                      none("double").alias("s"), "arr")
     sparse = a.select((part * blocks + block(src)).alias("cell"), F.lit(1).alias("side"), F.col(src).alias("src"),
-                      F.col(dst).alias("dst"), "s", none("array<double>").alias("arr"))
+                      F.col(dst).alias("dst"), "s", no_vector.alias("arr"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, rows, held, sums = None, [], [], None, _Sums()
@@ -157,6 +172,61 @@ def multiply(a: DataFrame, x: DataFrame, src: str, dst: str, n_src: int, width:
     return out if blocks == 1 else sum_rows(out)
 
 
+def squared_error(a: DataFrame, rows: DataFrame, cols: DataFrame, row: str, col: str,
+                  n_rows: int, n_cols: int, width: int) -> tuple[int, float]:
+    """(entries, sum of (s - x.y)^2) over the entries of ``a`` (row, col, s) whose row has a
+    vector x in ``rows`` and whose column a vector y in ``cols``, both (id, arr of ``width``).
+
+    Entries are dealt into a grid of (row block, column block) cells; a task holds both
+    blocks, bounded in bytes, and streams its entries. No entry ever carries a vector."""
+    spark = a.sparkSession
+    ship_package(spark)
+    need = lambda n: max(1, math.ceil(n * width * 8 / BLOCK_BYTES))
+    rb, cb = need(n_rows), need(n_cols)
+    while rb * cb < 2 * spark.sparkContext.defaultParallelism:  # the cheaper copies first
+        rb, cb = (2 * rb, cb) if n_cols * rb <= n_rows * cb else (rb, 2 * cb)
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    no = lambda t: F.lit(None).cast(t)
+
+    def side(x: DataFrame, number: int, cells) -> DataFrame:
+        return x.select(F.explode(cells).alias("cell"), F.lit(number).alias("side"), F.col("id").alias("r"),
+                        no("string").alias("c"), no("double").alias("s"), "arr")
+
+    every = side(rows, 0, F.transform(F.sequence(F.lit(0), F.lit(cb - 1)), lambda j: block("id", rb) * cb + j)) \
+        .unionByName(side(cols, 1, F.transform(F.sequence(F.lit(0), F.lit(rb - 1)), lambda i: i * cb + block("id", cb)))) \
+        .unionByName(a.select((block(row, rb) * cb + block(col, cb)).alias("cell"), F.lit(2).alias("side"), F.col(row).alias("r"),
+                              F.col(col).alias("c"), "s", F.array().cast("array<double>").alias("arr")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, got, held, n, total = None, ([], []), None, 0, 0.0
+        for b in batches:
+            cell, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
+            edges = np.flatnonzero((np.diff(cell) != 0) | (np.diff(kind) != 0)) + 1
+            for lo, hi in zip([0, *edges], [*edges, b.num_rows]):
+                if hi <= lo:
+                    continue
+                if cell[lo] != now:
+                    now, got, held = cell[lo], ([], []), None
+                own = b.slice(lo, hi - lo)
+                if kind[lo] < 2:
+                    got[kind[lo]].append((own.column(2), _matrix(own.column(5), own.num_rows)))
+                    continue
+                if held is None and got[0] and got[1]:
+                    held = [(pa.concat_arrays([i for i, _ in g]), np.vstack([m for _, m in g])) for g in got]
+                if held is None:
+                    continue
+                at = [pc.fill_null(pc.index_in(own.column(j), value_set=ids), -1).to_numpy()
+                      for j, (ids, _) in zip((2, 3), held)]
+                ok = (at[0] >= 0) & (at[1] >= 0)
+                off = own.column(4).to_numpy()[ok] - np.einsum("ij,ij->i", held[0][1][at[0][ok]], held[1][1][at[1][ok]])
+                n, total = n + int(ok.sum()), total + float(off @ off)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total], pa.float64())], names=["n", "e"])
+
+    got = every.repartitionById(rb * cb, "cell").sortWithinPartitions("cell", "side") \
+        .mapInArrow(run, "n long, e double").agg(F.sum("n").alias("n"), F.sum("e").alias("e")).first()
+    return int(got["n"] or 0), float(got["e"] or 0.0)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -180,7 +250,7 @@ def mapped(rows: DataFrame, fn) -> DataFrame:
     return rows.select("id", "arr").mapInArrow(run, ROW)
 
 
-def _moments(rows: DataFrame, fn) -> np.ndarray:
+def moments(rows: DataFrame, fn) -> np.ndarray:
     """Sum over batches of left' right, where (left, right) = fn(matrix of the batch's
     rows): partials of each task, added up by Spark per row of the result."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,10 +281,10 @@ def truncated_svd(a: DataFrame, row: str, col: str, columns: DataFrame, n_rows:
     per id of ``columns``."""
     width = min(n_cols, max(2 * k, 16))
     block = _gauss_block(columns, width, seed)               # the same numbers whenever it is computed
-    gram = _moments(block, lambda y: (y, y))
+    gram = moments(block, lambda y: (y, y))
     m, _ = _whitening(gram, 1e-8)
     if np.linalg.cond(gram) > 1e7:                           # one whitening left errors: once more
-        again, _ = _whitening(_moments(block, lambda y: (y @ m, y @ m)), 1e-8)
+        again, _ = _whitening(moments(block, lambda y: (y @ m, y @ m)), 1e-8)
         m = m @ again
     width = m.shape[1]
     basis = checkpoint(mapped(block, lambda y: y @ m))
@@ -224,13 +294,13 @@ def truncated_svd(a: DataFrame, row: str, col: str, columns: DataFrame, n_rows:
         old = n - width
         t = np.pad(t, (0, width))
         newest = basis.select("id", F.slice("arr", old + 1, width).alias("arr"))
-        y = multiply(a, newest, col, row, n_cols, width)
-        z = multiply(a, y, row, col, n_rows, width).withColumnRenamed("arr", "z")
+        y = multiply(a, newest, col, row, n_cols, width, n_rows)
+        z = multiply(a, y, row, col, n_rows, width, n_cols).withColumnRenamed("arr", "z")
         both = checkpoint(basis.join(z, "id", "left").select(
             "id", F.concat("arr", F.coalesce("z", F.array_repeat(F.lit(0.0), width))).alias("arr")))
-        c1 = _moments(both, lambda x: (x[:, :n], x[:, n:]))                                  # B'Z
+        c1 = moments(both, lambda x: (x[:, :n], x[:, n:]))                                  # B'Z
         left = lambda x: x[:, n:] - x[:, :n] @ c1
-        g = _moments(both, lambda x: (np.hstack([x[:, :n], left(x)]), left(x)))
+        g = moments(both, lambda x: (np.hstack([x[:, :n], left(x)]), left(x)))
         c2, s = g[:n], g[n:]
         t[:, old:], t[old:, :] = c1 + c2, (c1 + c2).T
         t = (t + t.T) / 2

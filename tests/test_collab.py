@@ -159,3 +159,25 @@ def test_cold_users_lose_their_excluded_items(spark, model):
     assert [x[:2] for x in got["cold"]] == [(1, pop[1]), (2, pop[3])] and got["cold"][0][2] == pytest.approx(1.0)
     assert [x[:2] for x in got["none"]] == [(1, pop[0]), (2, pop[1])]
     assert "all" not in got
+
+
+def test_product_grid_sends_few_rows():
+    assert svd.blocks_for(54_000, 100, 100, 16) == 16  # a short destination: sums are sent, dense rows once
+    assert svd.blocks_for(100, 54_000, 100, 16) == 1   # a short source: its rows are copied
+    assert svd.blocks_for(100, None, 100, 16) == 1
+    assert svd.blocks_for(10 ** 9, 100, 100, 16) == -(-10 ** 9 * 800 // svd.BLOCK_BYTES)
+
+
+def test_squared_error_over_a_grid_of_blocks(spark, monkeypatch):
+    a, b, s = random_matrix(np.random.default_rng(5), 90, 40, 0.1)
+    x, y = np.random.default_rng(6).normal(size=(90, 3)), np.random.default_rng(7).normal(size=(40, 3))
+    entries = spark.createDataFrame([(f"u{i}", f"i{j}", float(z)) for i, j, z in zip(a, b, s)], "u string, i string, s double")
+    rows = spark.createDataFrame([(f"u{i}", v.tolist()) for i, v in enumerate(x) if i != 4], "id string, arr array<double>")
+    cols = spark.createDataFrame([(f"i{j}", v.tolist()) for j, v in enumerate(y) if j != 7], "id string, arr array<double>")
+    ok = (a != 4) & (b != 7)
+    want = ((s - (x[a] * y[b]).sum(1))[ok] ** 2).sum()
+    for size in (svd.BLOCK_BYTES, 500):
+        monkeypatch.setattr(svd, "BLOCK_BYTES", size)
+        n, e = svd.squared_error(entries, rows, cols, "u", "i", 90, 40, 3)
+        assert n == ok.sum() and abs(e - want) < 1e-9
+    assert svd.squared_error(entries.limit(0), rows, cols, "u", "i", 90, 40, 3) == (0, 0.0)
