@@ -114,3 +114,11 @@ def test_grid_follows_the_cluster_not_the_rows():
     parts, shards = grid(100, 10_000_000, 64)
     assert parts == 1 and shards == 64
     assert grid(100, 10_000_000, 8)[1] == 39  # no shard beyond what a task holds
+
+
+def test_grid_bounds_the_rows_of_a_cell():
+    parts, shards = grid(40_000_000, 1000, 64)
+    assert shards == 1 and parts == 153           # no part beyond what a task sorts
+    assert grid(2_000_000, 2_000_000, 64, k=1000) == (8, 8)
+    assert grid(200_000, 200_000, 64, k=1000) == (64, 1)  # long lists: few shards to merge
+    assert grid(200_000, 200_000, 64, shard_rows=1 << 16, part_rows=1 << 16) == (8, 8)

@@ -127,3 +127,34 @@ def test_signature_collapse_equals_direct(spark):
         b = sorted((r.item_id, r.rank, r.other_id, round(r.score, 9))
                    for r in C.similar_items_direct(m, k).collect())
         assert a == b
+
+
+def test_recommendations_rank_distinct_vectors_once(spark, monkeypatch):
+    """Equal vectors, tied scores, exclusions of whole vectors: as the plain product over all
+    items, which is never made."""
+    rows = [(f"{i:03d}", ["red fox", "blue fox", "red cat", "green owl", "blue cat"][i % 5], ["movie", "book"][i // 5 % 2], None, "{}", "{}")
+            for i in range(70)]
+    items = spark.createDataFrame(rows, "item_id string, title string, item_type string, description string, "
+                                        "features string, metadata string")
+    m = C.train(items)
+    liked_rows = [("a", "000", 2), ("a", "001", 1), ("b", "003", 1), ("b", "gone", 4), ("c", "012", 1)]
+    excl_rows = [("a", f"{i:03d}") for i in range(0, 70, 10)] + [("a", "065"), ("b", "013"), ("c", "gone")]
+    liked = spark.createDataFrame(liked_rows, "user_id string, item_id string, n_likes long")
+    excl = spark.createDataFrame(excl_rows, "user_id string, item_id string")
+    vec = {r.item_id: dict(zip(r.idx, r.val)) for r in m.vectors.collect()}
+    seen = []
+    real = C.top_n_dot
+    monkeypatch.setattr(C, "top_n_dot", lambda q, c, *a, **k: seen.append(c.count()) or real(q, c, *a, **k))
+    limits = spark.createDataFrame([("a", 40), ("b", 3), ("c", 0)], "user_id string, n int")
+    for n in (1, 6, 30, limits):
+        got = {}
+        for r in sorted(C.recommend_from_liked(m, liked, excl, n).collect(), key=lambda r: (r.user_id, r.rank)):
+            got.setdefault(r.user_id, []).append((r.item_id, round(r.score, 9)))
+        for u in "abc":
+            mine = [(vec[i], k) for x, i, k in liked_rows if x == u and i in vec]
+            gone = {i for x, i in excl_rows if x == u} | {i for x, i, _ in liked_rows if x == u}
+            score = {i: round(sum(k * sum(w * v.get(f, 0.0) for f, w in l.items()) for l, k in mine) / sum(k for _, k in mine), 9)
+                     for i, v in vec.items() if i not in gone}
+            want = sorted(((i, s) for i, s in score.items() if s > 0), key=lambda x: (-x[1], x[0]))
+            assert got.get(u, []) == want[:n if isinstance(n, int) else {"a": 40, "b": 3, "c": 0}[u]]
+    assert seen == [10] * 4
