@@ -105,3 +105,22 @@ def test_dispatch_and_info(spark, models, fix_interactions):
     assert info["is_content_trained"] and info["collaborative_model"]["n_factors"] == km.k
     with pytest.raises(ValueError):
         B.dispatch(cm, km, 2, "nope", users=users)
+
+
+def test_users_without_history_are_ranked_once(spark, models, fix_interactions, monkeypatch):
+    cm, km = models
+    asked = []
+    real = B.collab_leg
+    monkeypatch.setattr(B, "collab_leg", lambda k, u, *a: asked.append(u.count()) or real(k, u, *a))
+    users = spark.createDataFrame([(f"new_{i}",) for i in range(40)] + [("user_1",), ("user_2",)], "user_id string")
+    liked, touched = strength.liked_items(fix_interactions), strength.touched_items(fix_interactions)
+    got = {}
+    for r in B.recommend_hybrid(cm, km, users, liked, touched, 3).collect():
+        got.setdefault(r.user_id, []).append((r.rank, r.item_id, r.score, r.explanation))
+    assert sorted(asked) == [1, 2]
+    popular = K.popular_items(km, 3).orderBy("rank").collect()
+    for i in range(40):
+        mine = sorted(got[f"new_{i}"])
+        assert [x[:2] for x in mine] == [(r["rank"], r["item_id"]) for r in popular]
+        assert [x[2] for x in mine] == pytest.approx([fixed.COLD_START_COLLAB_WEIGHT * r["score"] for r in popular])
+    assert {"user_1", "user_2"} <= set(got)
