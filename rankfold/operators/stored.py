@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankfold import fixed
+from rankfold.operators.heavy import materialise
 
 #: strategy -> models whose training makes its results stale
 MODELS_OF = {"content_based": ["content"], "collaborative": ["collaborative"], "hybrid": ["content", "collaborative"]}
@@ -47,7 +48,8 @@ def stale(stored: DataFrame, now: Column, interactions: DataFrame | None = None,
         found.append(rows.join(last, "user_id").where("at > computed_at").select("result_key", F.lit(2).alias("r")))
     if changed_items is not None:
         last = changed_items.groupBy("item_id").agg(F.max("changed_at").alias("at"))
-        latest = index(stored).join(last, "item_id").groupBy("result_key").agg(F.max("at").alias("at"))
+        # an item shown twice has the same latest change: no need to tell its rows apart
+        latest = stored.select(F.explode("item_ids").alias("item_id"), "result_key").join(last, "item_id").groupBy("result_key").agg(F.max("at").alias("at"))
         found.append(rows.join(latest, "result_key").where("at > computed_at").select("result_key", F.lit(3).alias("r")))
     every = found[0]
     for f in found[1:]:
@@ -63,6 +65,7 @@ def get_or_compute(requests: DataFrame, stored: DataFrame, compute: Callable[[Da
     have a stored row which is not stale are served from it; for the others, and only for
     them, ``compute`` gives (result_key, item_ids). ``hit`` tells which is which. Stored
     rows that nobody asked for stay, stale ones too (they are found stale again)."""
+    stored = materialise(stored, "stored")  # read several times below, mostly without the lists
     bad = stale(stored, now, **changes)
     good = stored.join(bad.select("result_key"), "result_key", "left_anti")
     asked = requests.dropDuplicates(["result_key"])

@@ -78,3 +78,19 @@ def test_derived_ids(spark):
     assert one == two and len(one) == 2
     ids = {r[-2] for r in one} | {r.interaction_id for r in other}
     assert len(ids) == 4 and all(len(i) == 36 for i in ids)
+
+
+def test_stored_lists_are_built_once(spark):
+    rows = spark.createDataFrame([(1, "u", "i1"), (1, "u", "i2"), (2, "v", "i1")], "result_key long, user_id string, item string")
+    at = F.lit("2024-01-01").cast("timestamp_ntz")
+    kept = rows.groupBy("result_key", "user_id").agg(F.collect_set("item").alias("item_ids")).select(
+        "result_key", "user_id", F.lit("hybrid").alias("strategy"), "item_ids", at.alias("computed_at"),
+        F.lit("2024-03-01").cast("timestamp_ntz").alias("expires_at"))
+    moved = spark.createDataFrame([("i2",)], "item_id string").withColumn("changed_at", F.lit("2024-01-05").cast("timestamp_ntz"))
+    asked = spark.createDataFrame([(1, "u", "hybrid"), (2, "v", "hybrid")], "result_key long, user_id string, strategy string")
+    answers, after = stored.get_or_compute(
+        asked, kept, lambda x: x.select("result_key", F.array(F.lit("new")).alias("item_ids")),
+        F.lit("2024-02-01").cast("timestamp_ntz"), changed_items=moved)
+    assert "collect_set" not in answers._jdf.queryExecution().toString()
+    assert sorted((r.result_key, r.hit, r.item_ids) for r in answers.collect()) == [(1, False, ["new"]), (2, True, ["i1"])]
+    assert after.count() == 2
