@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rankfold.operators import collab as K
 from rankfold.operators import svd
@@ -181,3 +182,16 @@ def test_squared_error_over_a_grid_of_blocks(spark, monkeypatch):
         n, e = svd.squared_error(entries, rows, cols, "u", "i", 90, 40, 3)
         assert n == ok.sum() and abs(e - want) < 1e-9
     assert svd.squared_error(entries.limit(0), rows, cols, "u", "i", 90, 40, 3) == (0, 0.0)
+
+
+def test_norm_is_worked_out_once_a_row(spark):
+    """Not for every element: that grows with the square of the vector's length."""
+    from rankfold.operators import content as C
+    f = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "f array<double>")
+    u = f.select(K._unit(F.col("f")).alias("u"))
+    assert [r.u for r in u.collect()] == [[0.6, 0.8], None, None]
+    raw = spark.createDataFrame([("a", [(1, 3.0), (2, 4.0)]), ("b", [])], "item_id string, f array<struct<fid: bigint, weight: double>>")
+    v = C.unit_vectors(raw)
+    assert [(r.item_id, r.idx, r.val) for r in v.collect()] == [("a", [1, 2], [0.6, 0.8]), ("b", [], [])]
+    for df in (u, v):
+        assert "/ SQRT" not in df._jdf.queryExecution().optimizedPlan().toString()
