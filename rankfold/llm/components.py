@@ -1,7 +1,8 @@
 """Connected components of an edge list by alternating large and small stars.
 
 Each round is two aggregations and two joins over the edge list; the number of
-rounds grows with the logarithm of the component sizes. No component is ever
+rounds grows with the logarithm of the component sizes. Rounds end when every
+edge leads to a root, so edges that are stars already take none. No component is ever
 held by one task: the stars are edges, the minimum per node is a partial
 (map-side combined) aggregate, and the join on a hub node is an ordinary
 equi-join that adaptive execution may split.
@@ -33,25 +34,25 @@ def _small_star(e: DataFrame) -> DataFrame:
         .select("x.src", "x.dst").where("src <> dst").distinct()
 
 
-def _state(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
+def _all_stars(e: DataFrame) -> bool:
+    """Whether every src of distinct edges (src > dst) has one edge, and none is a dst."""
+    ends = e.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+                                      F.struct(F.col("dst").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+                                      )).alias("x")).select("x.*")
+    inner = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1")
+    return not inner.limit(1).count()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (src long, dst long) -> (node, component): the smallest id
     reachable. Self-loops, repeats and either direction are fine; null ends are
     ignored; ids without an edge to another id do not appear."""
-    e = materialise(edges.select("src", "dst").where("src is not null and dst is not null and src <> dst")
-                    .distinct(), "cc")
-    before = _state(e)
+    e = materialise(edges.where("src is not null and dst is not null and src <> dst")
+                    .select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "cc")
     for _ in range(MAX_ROUNDS):
-        if not before[0]:
+        if _all_stars(e):
             break
         e = materialise(_small_star(_large_star(e)), "cc")
-        now = _state(e)
-        if now == before:
-            break
-        before = now
     else:
         raise RuntimeError("components did not converge")
     return e.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(

@@ -20,6 +20,7 @@ first. Repeated rows give repeated rows; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,9 +47,17 @@ SLACK = 1.25
 QUANTILE = 0.99
 #: a class with fewer texts is judged by pieces of that length, then by all languages
 MIN_TEXTS = 100
-_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
-_MARK = regex.compile(r"\p{M}")
 FIRST_MARK = 0x300
+BLANK = np.array([32], np.uint32)
+
+
+@functools.cache
+def _is(kind: str) -> np.ndarray:
+    """Whether a code point is of a kind, a set of Unicode classes, by code point."""
+    out = np.zeros(0x110000, bool)
+    for m in regex.finditer(f"[{kind}]+", "".join(map(chr, range(len(out))))):
+        out[m.start():m.end()] = True
+    return out
 
 
 def gram_counts(text: str | None) -> tuple[np.ndarray, int]:
@@ -58,17 +67,21 @@ def gram_counts(text: str | None) -> tuple[np.ndarray, int]:
     if not text:
         return out, 0
     letters = 0
-    carry = " "
+    carry = BLANK
     for at in range(0, len(text), CHUNK):
-        plain = _OTHER.sub(" ", text[at:at + CHUNK].lower())
-        if carry.endswith(" "):
-            plain = plain.removeprefix(" ")  # a run of other characters that a cut divides is one blank
-        end = " " if at + CHUNK >= len(text) and not (carry + plain).endswith(" ") else ""
-        c = np.frombuffer((carry + plain + end).encode("utf-32-le"), np.uint32)
+        raw = np.frombuffer(text[at:at + CHUNK].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        word = _is(r"\p{L}\p{M}")[raw]
+        first = word.copy()  # of a run of other characters the first stays, as a blank
+        first[1:] |= word[:-1]
+        first[0] |= carry[-1] != 32  # a run of other characters that a cut divides is one blank
+        plain = np.where(word, raw, BLANK)[first]
+        c = np.concatenate((carry, plain))
         new = len(carry)
+        if at + CHUNK >= len(text) and c[-1] != 32:
+            c = np.concatenate((c, BLANK))
         letters += int((c[new:] != 32).sum())
         if (c >= FIRST_MARK).any():  # marks are part of a word, but no letters
-            letters -= len(_MARK.findall(plain))
+            letters -= int(_is(r"\p{M}")[plain].sum())
         h = c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         h2 = (h[:-1] >> np.uint64(7)) ^ (h[1:] * np.uint64(3))
         h3 = (h2[:-1] >> np.uint64(5)) ^ (h[2:] * np.uint64(7))
@@ -76,7 +89,7 @@ def gram_counts(text: str | None) -> tuple[np.ndarray, int]:
             g = g[max(0, new - k + 1):]  # grams that end in this chunk
             g = (g * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(51)
             out += np.bincount(g.astype(np.int64), minlength=DIMS)
-        carry = "".join(map(chr, c[-2:]))
+        carry = c[-2:]
     out[int(((32 * 0x9E3779B97F4A7C15 & (1 << 64) - 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1) >> 51)] = 0  # lone blank
     return out, letters
 

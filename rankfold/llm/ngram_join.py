@@ -242,8 +242,8 @@ def _segment_batch(rep, parts, part, seg) -> pa.RecordBatch:
 
 
 def _second_level(stars: DataFrame, sizes: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """Linked pairs (src, dst) among the members of one pivot that are in different
-    components. stars: (a, b, part, diff); sizes: (a, na, b, nb, s, linked)."""
+    """Components (src, dst) that a linked pair joins, of members of one pivot.
+    stars: (a, b, part, diff); sizes: (a, na, b, nb, s, linked)."""
     g = (100 - percent) / (100 + percent)
     of = comp.select(F.col("node").alias("b"), "component")
     st = sizes.join(of, "b", "left").withColumn("c", F.coalesce("component", "b")).drop("component")
@@ -266,15 +266,15 @@ def _second_level(stars: DataFrame, sizes: DataFrame, comp: DataFrame, percent:
     pairs = x.join(y, ["a", "e"]).where("b1 < b2 and c1 <> c2 and not (linked1 and linked2)") \
         .where(f"least(s1 - at1, s2 - at2) + 1 >= {share}") \
         .where(f"100 * least(nb1, nb2) >= {percent} * greatest(nb1, nb2)") \
-        .groupBy("b1", "b2", "nb1", "nb2").agg(F.min(F.struct("a", "s1", "s2")).alias("p")) \
-        .select("b1", "b2", "nb1", "nb2", "p.*")
+        .groupBy("b1", "b2", "nb1", "nb2", "c1", "c2").agg(F.min(F.struct("a", "s1", "s2")).alias("p")) \
+        .select("b1", "b2", "nb1", "nb2", "c1", "c2", "p.*")
     left = stars.select("a", F.col("b").alias("b1"), "part", F.col("diff").alias("d1"))
     right = stars.select("a", F.col("b").alias("b2"), "part", F.col("diff").alias("d2"))
     both = pairs.join(left, ["a", "b1"]).join(right, ["a", "b2", "part"])
     return both.withColumn("o", F.size(F.array_intersect("d1", "d2"))) \
-        .groupBy("b1", "b2", "nb1", "nb2", "s1", "s2").agg(F.sum("o").alias("o")) \
+        .groupBy("b1", "b2", "nb1", "nb2", "c1", "c2", "s1", "s2").agg(F.sum("o").alias("o")) \
         .where(f"(s1 + s2 - 2 * o) * {100 + percent} <= (nb1 + nb2) * {100 - percent}") \
-        .select(F.col("b1").alias("src"), F.col("b2").alias("dst"))
+        .select(F.col("c1").alias("src"), F.col("c2").alias("dst"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -334,12 +334,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     first = sizes.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     comp = components(first)
     second = materialise(_second_level(stars, sizes, comp, percent), "nj-links")
-    if second.limit(1).count():
-        comp = components(first.unionByName(second))
-
     of_class = reps.select("node", "node2", "rep") \
         .join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left") \
         .select("node", "node2", F.coalesce("component", "rep").alias("component"))
+    if second.limit(1).count():
+        joined = components(second).select(F.col("node").alias("component"), F.col("component").alias("smallest"))
+        of_class = of_class.join(joined, "component", "left") \
+            .select("node", "node2", F.coalesce("smallest", "component").alias("component"))
     return info.join(of_class, ["node", "node2"], "left").select(
         F.col("doc_id").alias(key), F.col("n").alias("n_shingles"),
         F.coalesce("component", "doc_id").alias("component_id"))

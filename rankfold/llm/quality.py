@@ -44,6 +44,7 @@ for _c in b" \t\r\x0b\x0c":
     _KIND[_c] = 5
 _KIND[10] = 6
 _KIND[128:] = 7
+_WORD = (_KIND != 5) & (_KIND != 6)
 
 NAMES = ["bytes", "words", "word_bytes", "word_spread", "distinct", "repeat", "lower", "upper", "digit", "mark",
          "symbol", "blank", "line", "other_bytes", "odd_ends", "lone", "line_bytes", "line_distinct", "ends"]
@@ -51,13 +52,17 @@ NAMES = ["bytes", "words", "word_bytes", "word_spread", "distinct", "repeat", "l
 
 def statistics(text: str | None) -> list[float]:
     raw = (text or "").encode()
-    kinds = np.bincount(_KIND[np.frombuffer(raw, np.uint8)], minlength=8) if raw else np.zeros(8)
+    a = np.frombuffer(raw, np.uint8)
+    kinds = np.bincount(_KIND, np.bincount(a, minlength=256), 8)
     share = kinds / max(1, len(raw))
     words = raw.split()
     n = len(words)
-    size = np.fromiter(map(len, words), np.float64, n) if n else np.zeros(1)
+    inside = np.zeros(len(a) + 2, bool)
+    inside[1:-1] = _WORD[a]
+    edge = np.flatnonzero(inside[1:] != inside[:-1])  # where words start and end, in turn
+    size = (edge[1::2] - edge[0::2]).astype(np.float64) if n else np.zeros(1)
     same = sum(map(operator.eq, words, words[1:]))
-    last = np.fromiter((w[-1] for w in words), np.int64, n) if n else np.zeros(0, np.int64)
+    last = a[edge[1::2] - 1]
     ends = _KIND[last]
     lines = raw.split(b"\n")
     full = [x for x in lines if x]

@@ -99,6 +99,28 @@ def test_components_of_a_chain_and_a_hub(spark):
     assert got == {i: 0 for i in range(n + 1)} | {1000 + i: 1000 for i in range(300)}
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    import rankfold.llm.components as cc
+    written, write = [], cc.materialise
+    monkeypatch.setattr(cc, "materialise", lambda df, name: written.append(name) or write(df, name))
+    stars = [(1, 5), (6, 1), (1, 6), (2, 9), (9, 2), (3, 3), (None, 4)]
+    got = components(spark.createDataFrame(stars, "src long, dst long")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (2, 2), (5, 1), (6, 1), (9, 2)] and len(written) == 1
+    path = spark.createDataFrame([(1, 5), (5, 9), (9, 2), (7, 8)], "src long, dst long")
+    assert {r[0]: r[1] for r in components(path).collect()} == {1: 1, 5: 1, 9: 1, 2: 1, 7: 7, 8: 7}
+    assert components(path.limit(0)).collect() == []
+
+
+def test_join_merges_found_components_only(spark, monkeypatch):
+    edges = []
+    monkeypatch.setattr(ngram_join, "components", lambda e: edges.append(e.collect()) or components(e))
+    texts = near_copies(1, 3, 40, 60)
+    check_join(spark, texts)
+    first, second = edges
+    root = roots(range(len(texts)), [tuple(e) for e in first])
+    assert second and all(root[a] == a and root[b] == b and a != b for a, b in second)
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, rank string"
 
 

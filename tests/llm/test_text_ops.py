@@ -170,6 +170,23 @@ def test_language_id(spark):
     assert n == m and (whole == parts).all()
 
 
+def test_text_helpers_equal_plain_ones():
+    import regex
+    texts = [*filter(None, ODD), " a", "a ", "\u0301", "e\u0301a \u0130X", "\x00a\x1cb\x1d", "\x85 a\xa0b\n\n", "a-b  c\tcc\r\n!"]
+    for t in texts:
+        plain = regex.sub(r"[^\p{L}\p{M}]+", " ", t.lower()).strip(" ")
+        grams, letters = langid.gram_counts(t)
+        assert letters == len(regex.findall(r"\p{L}", t.lower()))
+        again, _ = langid.gram_counts(plain)
+        assert (grams == again).all()
+        raw = t.encode()
+        words, got = raw.split(), dict(zip(quality.NAMES, quality.statistics(t), strict=True))
+        assert got["word_bytes"] == (np.mean([len(w) for w in words]) if words else 0)
+        assert got["lone"] == (np.mean([len(w) == 1 for w in words]) if words else 0)
+        assert got["ends"] == (np.mean([w[-1:] in (b".", b",") for w in words]) if words else 0)
+        assert got["blank"] == sum(raw.count(c) for c in (b" ", b"\t", b"\r", b"\x0b", b"\x0c")) / max(1, len(raw))
+
+
 def test_quality(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
