@@ -26,7 +26,7 @@ from rankfold.llm.queries import vocabulary
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts (all, if nothing is labelled)."""
     stats = materialise(quality.with_statistics(docs.select("doc_id", "text")), "pipeline-quality")
-    labelled = quality.with_labels(stats, read_table(spark, sf_dir, "labels"))
+    labelled = materialise(quality.with_labels(stats, read_table(spark, sf_dir, "labels")), "pipeline-labelled")
     model = quality.fit(labelled)
     return docs if model.weights is None else quality.keep_good(docs, model)
 
@@ -52,8 +52,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             row += "_"
         rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
     comp = ngram_join.near_duplicates(rows, row)
-    kept = materialise(comp.where(F.col(row) == F.col("component_id")).select(row), "pipeline-kept")
-    return rows.join(kept, row, "left_semi").select(docs.columns)
+    copies = materialise(comp.where(F.col(row) != F.col("component_id")).select(row), "pipeline-copies")
+    return rows.join(copies, row, "left_anti").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
