@@ -9,6 +9,7 @@ from rankfold.operators import blend as B
 from rankfold.operators import strength
 from rankfold.plans.models import collab_model, content_model, interactions
 from rankfold.plans.q_content import CONTENT_RECS_SQL
+from rankfold.plans.q_factors import FILTERS, SERVED
 from rankfold.plans.registry import query
 from rankfold.sources import views as V
 
@@ -52,13 +53,15 @@ def q_fallback(spark, sf):
 @query("filtered_recommendations")
 def q_filtered(spark, sf):
     """Hybrid results for interacting users, then item_type = 'movie' and
-    a metadata/feature filter, cut to n, enriched and clamped."""
+    a metadata/feature filter, counted, cut to n, enriched and clamped. More than n
+    are ranked, so that the cut has something to choose from."""
     inter = interactions(spark, sf)
     users = inter.select("user_id").distinct()
     r = B.recommend_hybrid(content_model(spark, sf), collab_model(spark, sf), users,
-                           strength.liked_items(inter), strength.touched_items(inter), N)
-    s = B.serve(r, V.items_v(spark, sf), N, item_type="movie")
-    return _rounded(s, "user_id", "rank", "item_id", "title", "item_type", "score", "explanation")
+                           strength.liked_items(inter), strength.touched_items(inter), SERVED)
+    s = B.serve(r, V.items_v(spark, sf), N, item_type="movie", filters=FILTERS)
+    return _rounded(s, "user_id", "rank", "item_id", "title", "item_type", "score", "explanation", "metadata",
+                    "total_candidates")
 
 
 @query("content_strategy_recommendations", sql=CONTENT_RECS_SQL.replace(

@@ -8,6 +8,7 @@ from rankfold.operators import blend as B
 from rankfold.operators import collab as K
 from rankfold.operators import content as C
 from rankfold.operators import strength
+from rankfold.plans import q_blend
 
 
 @pytest.fixture()
@@ -124,3 +125,24 @@ def test_users_without_history_are_ranked_once(spark, models, fix_interactions,
         assert [x[:2] for x in mine] == [(r["rank"], r["item_id"]) for r in popular]
         assert [x[2] for x in mine] == pytest.approx([fixed.COLD_START_COLLAB_WEIGHT * r["score"] for r in popular])
     assert {"user_1", "user_2"} <= set(got)
+
+
+def test_filtered_query_filters_cuts_and_counts(spark, fix_interactions, monkeypatch):
+    """Every stage of the query counts: type, metadata (or else feature) value, count, cut."""
+    items = spark.createDataFrame(
+        [(f"m{i:02d}", f"t{i}", "book" if i == 6 else "movie", '{"brand":"Brand#1"}' if i == 4 else "{}",
+          "{}" if i == 4 else f'{{"brand":"Brand#{1 + i % 2}"}}') for i in range(1, 41)],
+        "item_id string, title string, item_type string, features string, metadata string")
+    ranked = spark.createDataFrame([("u", i, f"m{i:02d}", 1.5 - i / 100, "x") for i in range(1, 41)],
+                                   "user_id string, rank int, item_id string, score double, explanation string")
+    monkeypatch.setattr(q_blend.B, "recommend_hybrid", lambda *a: ranked.where(F.col("rank") <= a[5]))
+    monkeypatch.setattr(q_blend.V, "items_v", lambda *a: items)
+    monkeypatch.setattr(q_blend, "interactions", lambda *a: fix_interactions)
+    monkeypatch.setattr(q_blend, "content_model", lambda *a: None)
+    monkeypatch.setattr(q_blend, "collab_model", lambda *a: None)
+    got = sorted(q_blend.q_filtered(spark, "").collect(), key=lambda r: r["rank"])
+    passing = [i for i in range(1, 41) if i % 2 == 0 and i != 6]
+    assert [r.item_id for r in got] == [f"m{i:02d}" for i in passing][:10] and len(passing) > 10
+    assert [r["rank"] for r in got] == list(range(1, 11))
+    assert {r.total_candidates for r in got} == {len(passing)}
+    assert got[0].score == 1.0 and got[0].metadata == '{"brand":"Brand#1"}'
