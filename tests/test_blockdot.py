@@ -122,3 +122,27 @@ def test_grid_bounds_the_rows_of_a_cell():
     assert grid(2_000_000, 2_000_000, 64, k=1000) == (8, 8)
     assert grid(200_000, 200_000, 64, k=1000) == (64, 1)  # long lists: few shards to merge
     assert grid(200_000, 200_000, 64, shard_rows=1 << 16, part_rows=1 << 16) == (8, 8)
+
+
+def test_sparse_pairs_are_skipped_by_their_sketches(spark):
+    """Unit rows of random words, short and long, half their weight in one of two common features: blocks
+    cannot be told apart, but few pairs are scored, and the lists are those of all pairs."""
+    rng = np.random.default_rng(11)
+    n, width = 2400, 6000
+    m = np.zeros((n, width))
+    for i, size in enumerate(rng.choice([4, 30, 100, 200, 400, 900], n, p=[.1, .3, .3, .15, .1, .05])):
+        np.add.at(m[i], 2 + ((width - 2) * rng.random(size) ** 3).astype(int), 1.0 + rng.random(size))
+        m[i] /= np.linalg.norm(m[i])
+    m[np.arange(n), rng.integers(0, 2, n)] = 1.0
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    ids = [f"c{i:04d}" for i in range(n)]
+    c = spark.createDataFrame([(a, np.flatnonzero(v).tolist(), v[v > 0].tolist()) for a, v in zip(ids, m)],
+                              "cid string, idx array<long>, val array<double>")
+    q = c.where("cid < 'c0300'").withColumnRenamed("cid", "qid")
+    total = pruning(q, c, 10, dense=False, min_score=0.0, cells=2).agg(F.sum("pairs"), F.sum("scored")).first()
+    assert total[0] == 300 * n and total[1] < 0.2 * total[0]
+    want = brute(m[:300], m, ids[:300], ids, 10, set(), 0.0)
+    mine = {}
+    for r in sorted(top_n_dot(q, c, 10, dense=False, min_score=0.0, cells=2).collect(), key=lambda r: (r.qid, r.rank)):
+        mine.setdefault(r.qid, []).append((r.cid, round(r.score, 9)))
+    assert mine == {a: [(x, round(y, 9)) for x, y in w] for a, w in want.items()}
