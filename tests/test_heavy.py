@@ -53,3 +53,26 @@ def test_no_lists_and_no_tokens(spark):
     for rows in ([], [(1, []), (2, None)]):
         vocab, counts = heavy.frequent_terms(spark.createDataFrame(rows, "item_id long, toks array<string>"), "toks", 5)
         assert vocab.count() == 0 and counts.count() == len(rows)
+
+
+def test_batches_count_as_lists_do():
+    """Words with and without blanks, empty and missing lists; a cut batch keeps its bounds, whatever its size."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    for blank in (False, True):
+        words = [f"w{i}" for i in range(60)] + ["w1 w2"] * blank
+        rows = [None, [], *[[rng.choice(words) for _ in range(rng.randrange(40))] for _ in range(50)]]
+        lists = pa.array(rows, pa.list_(pa.string()))
+        true = sum((heavy.terms_of(r or []) for r in rows), Counter())
+        assert (heavy._coded(lists) is None) == blank
+        assert heavy._batch_table(lists, 10_000) == (true, 0)
+        low, off = heavy._batch_table(lists, 30)
+        assert off and len(low) <= 30 and all(low.get(t, 0) <= c <= low.get(t, 0) + off for t, c in true.items())
+        wanted = sorted(rng.sample(sorted(true), 200) + ["w1 w2 w3", "none"])
+        split = [t.partition(" ") for t in wanted]
+        got = heavy._row_counts(lists, pa.array(wanted), {t: i for i, t in enumerate(wanted)},
+                                pa.array([a if s else None for a, s, _ in split], pa.string()),
+                                pa.array([b if s else None for _, s, b in split], pa.string()))
+        want = [(i, t, c) for i, r in enumerate(rows) for t, c in sorted(heavy.terms_of(r or []).items()) if t in wanted]
+        assert [(int(i), wanted[t], int(c)) for i, t, c in got] == want
